@@ -1,0 +1,67 @@
+"""Joins that stay balanced when one key holds a large part of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MAX_HOT_KEYS = 500
+ROWS_PER_SALT = 200_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Hashes of heavy keys with the number of salts each should be split into.
+
+    One pass with a bounded sketch and no shuffle of keys. The result has at most
+    `MAX_HOT_KEYS` rows whatever the input, which is what makes broadcasting it safe.
+    The counts may be estimates: they steer the balance of the join, not its result.
+    """
+    sketch = df.select(F.xxhash64(*keys).alias("_hash")).agg(
+        F.expr(f"approx_top_k(_hash, {MAX_HOT_KEYS}, {MAX_HOT_KEYS * 20})").alias("top"),
+    )
+    return (
+        sketch.select(F.explode("top").alias("t"))
+        .select(
+            F.col("t.item").alias("_hash"),
+            F.least(F.ceil(F.col("t.count") / rows_per_salt), F.lit(5000)).cast("int").alias("_salts"),
+        )
+        .filter("_salts > 1")
+    )
+
+
+def skew_join(
+    big: DataFrame,
+    small: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    condition: Column | None = None,
+    rows_per_salt: int = ROWS_PER_SALT,
+) -> DataFrame:
+    """Equi join in which the heavy keys of `big` are spread over salts.
+
+    Rows of `big` get a salt from a hash of their content, so a rerun task gives the
+    same salt; the matching rows of `small` are repeated once per salt. Keys that are
+    not heavy have the single salt 0. `how` is inner, left, left_semi or left_anti, and
+    `condition` may name further columns of both sides.
+    """
+    hot = F.broadcast(hot_keys(big, keys, rows_per_salt))
+    left = (
+        big.withColumn("_hash", F.xxhash64(*keys))
+        .join(hot, "_hash", "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.coalesce("_salts", F.lit(1))).cast("int"))
+        .drop("_hash", "_salts")
+    )
+    right = (
+        small.withColumn("_hash", F.xxhash64(*keys))
+        .join(hot, "_hash", "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        .drop("_hash", "_salts")
+        .withColumnsRenamed({c: f"_right_{c}" for c in [*keys, "_salt"]})
+    )
+    on = F.col("_salt") == F.col("_right__salt")
+    for key in keys:
+        on = on & (F.col(key) == F.col(f"_right_{key}"))
+    if condition is not None:
+        on = on & condition
+    joined = left.join(right, on, how)
+    return joined.drop("_salt", *[f"_right_{c}" for c in [*keys, "_salt"]])

@@ -1,0 +1,2 @@
+"""Kept empty on purpose: every input of this analysis is a finished table, so
+there is no unbounded source, watermark or state to manage."""
