@@ -19,6 +19,7 @@ from hearthway.operators.columns import drop_missing, with_global
 from hearthway.operators.neighbours import row_standardize
 from hearthway.operators.ranking import global_position
 from hearthway.operators.skew import skew_join
+from hearthway.session import cut_lineage
 
 QUADRANTS = {1: "HH", 2: "LH", 3: "LL", 4: "HL"}
 
@@ -105,9 +106,10 @@ def _permuted_moran(
     z = [f"_z{i}" for i in range(len(columns))]
     arrays = received.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("perm", *z))).alias("_all"))
 
-    weights = row_standardize(edges)
+    weights = cut_lineage(row_standardize(edges))
     first = skew_join(weights, arrays.select(F.col(key).alias("i"), F.col("_all").alias("_at_i")), ["i"])
-    both = skew_join(first, arrays.select(F.col(key).alias("j"), F.col("_all").alias("_at_j")), ["j"])
+    there = arrays.select(F.col(key).alias("j"), F.col("_all").alias("_at_j"))
+    both = skew_join(first, there, ["j"], heavy_from=weights)
     products = both.select("w", F.explode(F.arrays_zip("_at_i", "_at_j")).alias("p"))
     sums = products.groupBy(F.col("p._at_i.perm").alias("perm")).agg(
         F.sum("w").alias("_s0"),
@@ -202,7 +204,8 @@ def _conditional_p(
         key, *[(F.col(f"`{c}`") - F.col("_mean")[f"m{i}"]).alias(z[i]) for i, c in enumerate(columns)]
     )
     placed = global_position(centred, [key], "_rank")
-    weights = row_standardize(edges.join(centred.select(F.col(key).alias("j")), "j", "left_semi"))
+    inner = edges.join(centred.select(F.col(key).alias("j")), "j", "left_semi")
+    weights = cut_lineage(row_standardize(inner))
     degrees = weights.groupBy("i").count().agg(F.max("count").alias("k")).first()["k"] or 0
     zones = known.count()
     width = min(degrees + 1, zones)

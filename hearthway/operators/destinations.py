@@ -192,7 +192,7 @@ def merge_close_points(
     there = places.select(F.col("id").alias("b"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
     gap = dx * dx + dy * dy
-    links = skew_join(able.select("a", "b", "x", "y"), there, ["b"], "left_semi", gap <= distance * distance)
+    links = skew_join(able.select("a", "b", "x", "y"), there, ["b"], "left_semi", gap <= distance * distance, heavy_from=tries)
     groups = connected_components(boxes.select("id"), links.select("a", "b").distinct())
 
     merged = skew_join(places.select("id", "x", "y", "_first", "_n"), groups, ["id"]).groupBy("component").agg(

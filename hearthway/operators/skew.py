@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 500
 ROWS_PER_SALT = 200_000
+ONE_TASK_BYTES = 256 * 1024 * 1024
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate, which errs upwards, is within one task's share.
+
+    Then even a single key holding every row needs no splitting.
+    """
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return False
+    size = plan.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= ONE_TASK_BYTES
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -35,7 +51,8 @@ def skew_join(
     keys: list[str],
     how: str = "inner",
     condition: Column | None = None,
-    rows_per_salt: int = ROWS_PER_SALT,
+    rows_per_salt: int | None = None,
+    heavy_from: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join in which the heavy keys of `big` are spread over salts.
 
@@ -43,25 +60,30 @@ def skew_join(
     same salt; the matching rows of `small` are repeated once per salt. Keys that are
     not heavy have the single salt 0. `how` is inner, left, left_semi or left_anti, and
     `condition` may name further columns of both sides.
+
+    Heavy keys are looked for in `heavy_from`, by default `big`; naming an earlier table
+    with the same keys saves computing `big` twice. Input that fits one task is joined as
+    it is. Splitting at run time by adaptive execution still applies on top.
     """
-    hot = F.broadcast(hot_keys(big, keys, rows_per_salt))
-    left = (
-        big.withColumn("_hash", F.xxhash64(*keys))
-        .join(hot, "_hash", "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.coalesce("_salts", F.lit(1))).cast("int"))
-        .drop("_hash", "_salts")
-    )
-    right = (
-        small.withColumn("_hash", F.xxhash64(*keys))
-        .join(hot, "_hash", "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_hash", "_salts")
-        .withColumnsRenamed({c: f"_right_{c}" for c in [*keys, "_salt"]})
-    )
-    on = F.col("_salt") == F.col("_right__salt")
-    for key in keys:
-        on = on & (F.col(key) == F.col(f"_right_{key}"))
+    left, right, split = big, small, list(keys)
+    if rows_per_salt is not None or not fits_one_task(big):
+        hot = F.broadcast(hot_keys(heavy_from or big, keys, rows_per_salt or ROWS_PER_SALT))
+        salts = F.coalesce("_salts", F.lit(1))
+        left = (
+            big.withColumn("_hash", F.xxhash64(*keys))
+            .join(hot, "_hash", "left")
+            .withColumn("_salt", F.pmod(F.xxhash64(*big.columns), salts).cast("int"))
+            .drop("_hash", "_salts")
+        )
+        right = (
+            small.withColumn("_hash", F.xxhash64(*keys))
+            .join(hot, "_hash", "left")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+            .drop("_hash", "_salts")
+        )
+        split.append("_salt")
+    right = right.withColumnsRenamed({c: f"_right_{c}" for c in split})
+    on = reduce(and_, [F.col(c) == F.col(f"_right_{c}") for c in split])
     if condition is not None:
         on = on & condition
-    joined = left.join(right, on, how)
-    return joined.drop("_salt", *[f"_right_{c}" for c in [*keys, "_salt"]])
+    return left.join(right, on, how).drop("_salt", *[f"_right_{c}" for c in split])
