@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 500
 ROWS_PER_SALT = 200_000
-ONE_TASK_BYTES = 256 * 1024 * 1024
+ONE_TASK_BYTES = 64 * 1024 * 1024
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate, which errs upwards, is within one task's share.
+    """Whether even a single key holding every row would be light work for one task.
 
-    Then even a single key holding every row needs no splitting.
+    Judged by the optimizer's size estimate. It is the compressed size for files and does
+    not count rows added by an explode, so the limit is set low enough for a hundredfold
+    error. An unknown size counts as large.
     """
     plan = getattr(df, "_jdf", None)
     if plan is None:

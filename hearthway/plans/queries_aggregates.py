@@ -249,7 +249,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "best_k",
-    """select label as k, avg(v) as mean_score from (select label, floor(list_extract(embedding, 1) * 1024) / 1024 as v
+    """select label as k, avg(v) as mean_score from (select label, cast(floor(list_extract(embedding, 1) * 1024) as double) / 1024 as v
  from embeddings) t group by label order by mean_score desc, k limit 1""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "score_spread",
     """select label as k, min(v) as min, quantile_cont(v, 0.25) as p25, median(v) as median, quantile_cont(v, 0.75) as p75,
- max(v) as max from (select label, floor(list_extract(embedding, 1) * 1024) / 1024 as v from embeddings) t group by label""",
+ max(v) as max from (select label, cast(floor(list_extract(embedding, 1) * 1024) as double) / 1024 as v from embeddings) t group by label""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.score_spread(_scores(spark, sf_dir))
