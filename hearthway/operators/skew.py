@@ -23,8 +23,7 @@ def fits_one_task(df: DataFrame) -> bool:
     plan = getattr(df, "_jdf", None)
     if plan is None:
         return False
-    size = plan.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= ONE_TASK_BYTES
+    return plan.queryExecution().optimizedPlan().stats().sizeInBytes() <= ONE_TASK_BYTES
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:

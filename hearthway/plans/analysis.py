@@ -12,6 +12,7 @@ from hearthway.operators import autocorrelation as M
 from hearthway.operators import clustering as L
 from hearthway.operators.columns import drop_missing, names_containing, select_by_substring
 from hearthway.operators.spatial import spatial_anti_join
+from hearthway.session import cut_lineage
 
 
 def analysis_table(profile: DataFrame, outlines: DataFrame, islands: DataFrame | None, key: str = "grid_id") -> DataFrame:
@@ -33,8 +34,10 @@ def autocorrelation_suite(
     """Global and local statistics of three variable sets: durations, totals, weighted times.
 
     (set, variable, n, moran_i, expected_i, p_sim, then the number of significant zones
-    per quadrant). All variables of a set share their joins and permutations.
+    per quadrant). All variables of a set share their joins and permutations. The graph and
+    the zone tables are written once, as each is read for every statistic.
     """
+    edges = cut_lineage(edges)
     paired = reduce(
         lambda a, b: a.join(b, key),
         [t.select(key, F.col("avg_total_weighted_time").alias(f"weighted_{n}")) for n, t in weighted.items()],
@@ -46,7 +49,7 @@ def autocorrelation_suite(
     }
     results = []
     for name, (table, variables) in sets.items():
-        known = drop_missing(table.select(key, *variables), variables)
+        known = cut_lineage(drop_missing(table.select(key, *variables), variables))
         overall = M.morans_i(known, edges, variables, key, permutations, seed)
         zones = M.local_moran(known, edges, variables, key, permutations=permutations, seed=seed)
         labels = zones.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"`{v}_q`").alias("q")) for v in variables])))

@@ -39,11 +39,11 @@ LAGS_SQL = f"""lags as (select i as grid_id, {', '.join(f'avg({c}) as {c}_lag' f
 
 @query(
     "spatial_lag",
-    f"with {LAGS_SQL} select grid_id, {', '.join(f'round(coalesce({c}_lag, 0), 6) as {c}_lag' for c in TOTALS)} from known",
+    f"with {LAGS_SQL} select grid_id, {', '.join(f'round(coalesce({c}_lag, 0), 8) as {c}_lag' for c in TOTALS)} from known",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     lagged = M.spatial_lag(hex_totals(spark, sf_dir), hex_edges(spark, sf_dir), TOTALS)
-    return lagged.select("grid_id", *[F.round(f"{c}_lag", 6).alias(f"{c}_lag") for c in TOTALS])
+    return lagged.select("grid_id", *[F.round(f"{c}_lag", 8).alias(f"{c}_lag") for c in TOTALS])
 
 
 def _moran_sql(c: str) -> str:

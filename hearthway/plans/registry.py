@@ -104,8 +104,9 @@ def with_views(body: str) -> str:
     ctes = [f"{name} as ({sql})" for name, sql in VIEWS.items() if name in used]
     if not ctes:
         return body
-    if body.lstrip().startswith("with "):
-        return f"with {', '.join(ctes)}, {body.lstrip()[5:]}"
+    for start in ("with recursive ", "with "):
+        if body.lstrip().startswith(start):
+            return f"{start}{', '.join(ctes)}, {body.lstrip().removeprefix(start)}"
     return f"with {', '.join(ctes)} {body}"
 
 
