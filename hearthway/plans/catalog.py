@@ -5,6 +5,7 @@ from hearthway.plans import (  # noqa: F401
     queries_columns,
     queries_destinations,
     queries_joins,
+    queries_plans,
     queries_sources,
     queries_statistics,
 )

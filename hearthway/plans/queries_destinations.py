@@ -97,9 +97,9 @@ def _components(distance: int, same_type: bool) -> str:
   arg_min(type, source_id) as type from g join d using (source_id) group by component"""
 
 
-@query("merge_close_points", _components(3000, False))
+@query("merge_close_points", _components(1800, False))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = D.merge_close_points(destinations(spark, sf_dir), 3000.0, "source_id", ["type"])
+    merged = D.merge_close_points(destinations(spark, sf_dir), 1800.0, "source_id", ["type"])
     return merged.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
