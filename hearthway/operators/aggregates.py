@@ -19,6 +19,7 @@ from hearthway.functions.scalar import numeric_columns, sum_missing_as_zero
 from hearthway.operators.columns import names_containing, weight_lookup, with_global
 from hearthway.operators.joins import attach_zone, widen
 from hearthway.operators.ranking import grouped_quantiles, quantiles
+from hearthway.session import cut_lineage
 
 
 def service_summary(trips: DataFrame) -> DataFrame:
@@ -181,9 +182,12 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every ordered pair: (a, b, r), over rows where both exist.
 
     r is NULL where one side is constant. All pairs of a pass share one aggregate; wide
-    tables take several passes so that no plan grows with the square of the columns.
+    tables take several passes, over a written copy of just these columns, so that no plan
+    grows with the square of the columns.
     """
     pairs = list(combinations(columns, 2))
+    if len(pairs) > PAIRS_PER_PASS:
+        df = cut_lineage(df.select(*[F.col(f"`{c}`") for c in columns]))
     passes = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
     upper = reduce(DataFrame.unionByName, [_pearson(df, some) for some in passes])
     lower = upper.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")

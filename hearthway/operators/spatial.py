@@ -2,7 +2,8 @@
 
 Zones are listed under every cell their bounding box meets; a point lies in one cell. The
 join on the cell carries the exact test as a residual condition, so no pair of point and
-zone is met twice and no nested-loop join is planned. Cells crowded with points are split
+zone is met twice and no nested-loop join is planned. Only cells on the border of a zone
+need the exact test. Cells crowded with points are split
 over salts by `skew_join`.
 """
 
@@ -28,6 +29,29 @@ def _on_cells(boxes: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
     ).withColumn("_cy", F.explode(_cell_range(F.col("_miny") - margin, F.col("_maxy") + margin, size)))
 
 
+def _polygon_cells(zones: DataFrame, key: str, size: float, margin: float = 0.0) -> DataFrame:
+    """(key, cell, _whole, _edges, box): the cells whose points may belong to a polygon.
+
+    A cell without a side of the polygon within `margin` lies wholly inside or wholly
+    outside. Inside, it is marked `_whole` and carries no sides: its points need no test,
+    and the outline is repeated for border cells only. Outside, it is dropped.
+    """
+    cells = _on_cells(_shapes(zones, [key]), size, margin)
+    slack = margin + size * 1e-9
+    x0, y0 = F.col("_cx") * size - slack, F.col("_cy") * size - slack
+    x1, y1 = (F.col("_cx") + 1) * size + slack, (F.col("_cy") + 1) * size + slack
+    border = F.exists(
+        "_edges",
+        lambda e: (F.least(e["ax"], e["bx"]) <= x1)
+        & (F.greatest(e["ax"], e["bx"]) >= x0)
+        & (F.least(e["ay"], e["by"]) <= y1)
+        & (F.greatest(e["ay"], e["by"]) >= y0),
+    )
+    middle = G.point_intersects(F.col("_edges"), (F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size)
+    marked = cells.withColumn("_whole", F.when(border, F.lit(False)).when(middle, F.lit(True)))
+    return marked.filter("_whole is not null").withColumn("_edges", F.when(~F.col("_whole"), F.col("_edges")))
+
+
 def _shapes(zones: DataFrame, keep: list[str], edges: str = "_edges") -> DataFrame:
     """The columns `keep`, the sides of the outline and its bounding box."""
     shaped = zones.select(*keep, G.polygon_edges(F.col("rings")).alias(edges))
@@ -51,10 +75,10 @@ def spatial_join(
     points: DataFrame, zones: DataFrame, key: str, how: str = "left", cell_size: float = CELL_METRES
 ) -> DataFrame:
     """Points with the key of every polygon they intersect; the boundary counts."""
-    shapes = _on_cells(_shapes(zones, [key]), cell_size)
-    inside = _near_box() & G.point_intersects(F.col("_edges"), F.col("x"), F.col("y"))
+    shapes = _polygon_cells(zones, key, cell_size)
+    inside = F.col("_whole") | (_near_box() & G.point_intersects(F.col("_edges"), F.col("x"), F.col("y")))
     joined = skew_join(_point_cells(points, cell_size), shapes, ["_cx", "_cy"], how, inside)
-    return joined.drop("_cx", "_cy", "_edges", *BOX)
+    return joined.drop("_cx", "_cy", "_whole", "_edges", *BOX)
 
 
 def nearest_join(
@@ -71,13 +95,15 @@ def nearest_join(
     enough. The best candidate is a minimum over structs, combined before the shuffle.
     """
     others = [c for c in points.columns if c != point_key]
-    shapes = _on_cells(_shapes(zones, [key]), cell_size, max_distance)
-    pairs = skew_join(_point_cells(points, cell_size), shapes, ["_cx", "_cy"], "left", _near_box(max_distance))
+    shapes = _polygon_cells(zones, key, cell_size, max_distance)
+    near = F.col("_whole") | _near_box(max_distance)
+    pairs = skew_join(_point_cells(points, cell_size), shapes, ["_cx", "_cy"], "left", near)
     edges, x, y = F.col("_edges"), F.col("x"), F.col("y")
-    gap = F.when(G.point_intersects(edges, x, y), F.lit(0.0)).otherwise(G.distance_to_boundary(edges, x, y))
+    inside = F.col("_whole") | G.point_intersects(edges, x, y)
+    gap = F.when(inside, F.lit(0.0)).otherwise(G.distance_to_boundary(edges, x, y))
     measured = pairs.withColumn("_gap", gap)
-    near = F.when(F.col("_gap") <= max_distance, F.struct(F.col("_gap").alias("distance"), F.col(key)))
-    best = measured.groupBy(point_key, *others).agg(F.min(near).alias("_best"))
+    reached = F.when(F.col("_gap") <= max_distance, F.struct(F.col("_gap").alias("distance"), F.col(key)))
+    best = measured.groupBy(point_key, *others).agg(F.min(reached).alias("_best"))
     return best.select(point_key, *others, F.col(f"_best.{key}").alias(key), F.col("_best.distance").alias("distance"))
 
 

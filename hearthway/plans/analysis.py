@@ -63,10 +63,11 @@ def cluster_zones(
 ) -> tuple[DataFrame, list[str]]:
     """Zones with a k-means `label` on robustly scaled total times and missing connections.
 
-    Returns the labelled table and its cluster variables.
+    Returns the labelled table and its cluster variables. The zone table is written first:
+    scaling, fitting and labelling each read it.
     """
     variables = names_containing(table, ["total_time_min", "no_connection_count"])
-    known = drop_missing(table, variables)
+    known = cut_lineage(drop_missing(table, variables))
     scaled = L.robust_scale(known.select(key, *variables), variables)
     labels = L.kmeans_assign(L.features(scaled, variables), k, seed).select(key, "label")
     return known.join(labels, key), variables
