@@ -92,10 +92,13 @@ def nearest_join(
     """Each point with its nearest polygon within `max_distance`, the lowest key on ties.
 
     Adds `key` and `distance` (0 inside a polygon); both are NULL when nothing is near
-    enough. The best candidate is a minimum over structs, combined before the shuffle.
+    enough. Where a cell has a single candidate, which is the rule away from borders, the
+    answer stands at once; only points of the other cells are shuffled to compare theirs.
     """
     others = [c for c in points.columns if c != point_key]
     shapes = _polygon_cells(zones, key, cell_size, max_distance)
+    rivals = shapes.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_rivals"))
+    shapes = shapes.join(rivals, ["_cx", "_cy"])
     near = F.col("_whole") | _near_box(max_distance)
     pairs = skew_join(_point_cells(points, cell_size), shapes, ["_cx", "_cy"], "left", near)
     edges, x, y = F.col("_edges"), F.col("x"), F.col("y")
@@ -103,7 +106,9 @@ def nearest_join(
     gap = F.when(inside, F.lit(0.0)).otherwise(G.distance_to_boundary(edges, x, y))
     measured = pairs.withColumn("_gap", gap)
     reached = F.when(F.col("_gap") <= max_distance, F.struct(F.col("_gap").alias("distance"), F.col(key)))
-    best = measured.groupBy(point_key, *others).agg(F.min(reached).alias("_best"))
+    settled = measured.filter("_rivals is null or _rivals = 1").select(point_key, *others, reached.alias("_best"))
+    compared = measured.filter("_rivals > 1").groupBy(point_key, *others).agg(F.min(reached).alias("_best"))
+    best = settled.unionByName(compared)
     return best.select(point_key, *others, F.col(f"_best.{key}").alias(key), F.col("_best.distance").alias("distance"))
 
 

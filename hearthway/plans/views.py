@@ -45,8 +45,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("source_id"), service.alias("service"))
-        .agg(F.min(F.struct("o_orderkey", "o_totalprice")).alias("o"))
-        .select("source_id", "service", "o.*")
+        .agg(F.min("o_orderkey").alias("o_orderkey"), F.min_by("o_totalprice", "o_orderkey").alias("o_totalprice"))
     )
     key, connected = F.col("o_orderkey"), F.col("o_orderkey") % 17 != 0
     timed = first.select(
