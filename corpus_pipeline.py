@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from hearthway.llm.exact_dedup import drop_copies
 from hearthway.llm.packing import pack
-from hearthway.llm.queries import STORED
+from hearthway.llm.queries import stored
 from hearthway.session import scratch_path
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
-    return drop_copies(docs, F.coalesce(STORED, F.lit(False)))
+    return drop_copies(docs, stored())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

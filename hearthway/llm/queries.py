@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthway.llm.exact_dedup import exact_dedup
@@ -30,8 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Which rows stand for the stored snapshot; the others arrive as a batch.
-STORED = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+def stored() -> Column:
+    """Which rows stand for the stored snapshot; the others arrive as a batch."""
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(False))
 
 
 @query(
@@ -44,7 +45,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t
 )
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the documents are the snapshot, the other half the batch; every row is in the result."""
-    return exact_dedup(table(spark, sf_dir, "documents"), F.coalesce(STORED, F.lit(False)))
+    return exact_dedup(table(spark, sf_dir, "documents"), stored())
 
 
 @query("op3_mixture_packing")
