@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthway.llm.exact_dedup import exact_dedup
+from hearthway.llm.jaccard import near_duplicates
 from hearthway.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +56,8 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         tokenizer=public_tokenizers.path("byte_bpe_50k.json"),
         ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"),
     )
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
