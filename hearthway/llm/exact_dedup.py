@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthway.llm import fuse
-from hearthway.llm.shared import as_bytes, fetch_rows
+from hearthway.llm.shared import as_bytes, fetch_rows, free_name
 from hearthway.session import cut_lineage
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -165,7 +165,8 @@ def _equal_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str)
 
 def drop_copies(docs: DataFrame, stored: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    kept = exact_dedup(docs, stored, id_col, text_col).where("kept").select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias("_digest"))
-    keyed = with_digest(docs, text_col, "_digest").withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    staying = keyed.join(kept, ["_id", "_digest"], "left_semi")
-    return staying.dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    own, digest = free_name(docs, "_own"), free_name(docs, "_digest")
+    as_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    kept = exact_dedup(docs, stored, id_col, text_col).where("kept").select(as_text.alias(own), F.col("text_sha256").alias(digest))
+    keyed = with_digest(docs, text_col, digest).withColumn(own, as_text)
+    return keyed.join(kept, [own, digest], "left_semi").dropDuplicates([own, digest]).select(*docs.columns)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from hearthway.llm.exact_dedup import exact_dedup
 from hearthway.llm.jaccard import near_duplicates
+from hearthway.llm.language_id import identify
 from hearthway.llm.packing import pack
+from hearthway.llm.secret_scan import scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +63,13 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))

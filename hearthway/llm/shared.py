@@ -27,6 +27,23 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     return getattr(home, name)
 
 
+def worker_latest(slot: str, key: str, make: Callable[[], object]) -> object:
+    """The object of the latest key in a slot; a worker holds one per slot."""
+    held = worker_cache(slot, dict)
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
