@@ -48,7 +48,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str | Non
         before: dict[str, int] = {}
         for batch in batches:
             texts = as_bytes(batch.column(2))
-            for some in byte_chunks(texts, 16 << 20):
+            for some in byte_chunks(texts, 8 << 20):
                 ids = [x.tobytes() + closing for x in own.encode(texts[some])]
                 sources = batch.column(1)[some.start : some.stop].to_pylist()
                 sizes = [len(x) // own.kind.itemsize for x in ids]
