@@ -13,6 +13,7 @@ from hearthway.llm.jaccard import near_duplicates
 from hearthway.llm.language_id import identify
 from hearthway.llm.packing import pack
 from hearthway.llm.secret_scan import scan_secrets
+from hearthway.llm.toxicity import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,3 +74,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_secret_scan")
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
