@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthway.llm.chat import format_conversations, read_conversations
 from hearthway.llm.exact_dedup import exact_dedup
 from hearthway.llm.jaccard import near_duplicates
 from hearthway.llm.language_id import identify
 from hearthway.llm.packing import pack
 from hearthway.llm.secret_scan import scan_secrets
+from hearthway.llm.topk import top_k
 from hearthway.llm.toxicity import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +81,40 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op2_top_k_search",
+    """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
+  where embedding is not null and len(embedding) > 0
+   and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as (select a.vec_id as query_id, b.vec_id,
+  cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from p)
+select query_id, rank, vec_id, score from r where rank <= 5""",
+)
+def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query(
+    "op5_chat_format",
+    """
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, text as loss, regexp_replace(text, '</?s>|\\[/?(SYS|INST|OUT|ROLE|TEXT)\\]|<\\|(image|audio|document)\\|>|\\\\', '\\0#', 'g') as marked,
+  regexp_replace(role, '</?s>|\\[/?(SYS|INST|OUT|ROLE|TEXT)\\]|<\\|(image|audio|document)\\|>|\\\\', '\\0#', 'g') as marked_role from c)
+select conv_id, count(*) as n_turns,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+ cast(3 + sum(length(marked) + case role when 'system' then 13 when 'user' then 15 when 'assistant' then 11 else 24 + length(marked_role) end) as bigint) as formatted_chars
+from e group by conv_id""",
+)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    return read_conversations(format_conversations(rows.union(probe)))
