@@ -2,27 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
 from hearthway.llm.exact_dedup import drop_copies
+from hearthway.llm.jaccard import drop_near_duplicates
+from hearthway.llm.language_id import keep_identified
 from hearthway.llm.packing import pack
 from hearthway.llm.queries import stored
+from hearthway.llm.secret_scan import redact
 from hearthway.session import scratch_path
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a score of a half or more stay."""
+    return keep_identified(docs)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
     return drop_copies(docs, stored())
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles one stays."""
+    return drop_near_duplicates(docs, words=5, percent=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in them are replaced by their kinds."""
+    return redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens, sources mixed by their shares."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("exact dedup", exact_copies), ("packing", packing)]
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("secret scans", secrets),
+    ("packing", packing),
+]
 
 #: Language models, near duplicates and token ids are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

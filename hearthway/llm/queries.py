@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthway.llm import quality
 from hearthway.llm.chat import format_conversations, read_conversations
 from hearthway.llm.exact_dedup import exact_dedup
 from hearthway.llm.jaccard import near_duplicates
 from hearthway.llm.language_id import identify
 from hearthway.llm.packing import pack
+from hearthway.llm.pieces import encode_pieces
 from hearthway.llm.secret_scan import scan_secrets
 from hearthway.llm.topk import top_k
 from hearthway.llm.toxicity import classify
@@ -118,3 +120,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
     return read_conversations(format_conversations(rows.union(probe)))
+
+
+@query("op4_piece_dropout")
+def op4_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode with a tenth of the merges skipped; the digest is that of the decoded ids."""
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=1, with_ids=False)
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of a document is its host, the language a path below it."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
