@@ -32,7 +32,7 @@ LONGEST = 4
 #: Labelled texts that are learned from, about; chosen by a hash of the id.
 TRAIN_ROWS = 20_000
 #: Words and n-grams that a model keeps; the most frequent ones.
-KEPT_WORDS, KEPT_GRAMS = 200_000, 50_000
+KEPT_WORDS, KEPT_GRAMS = 100_000, 40_000
 UNKNOWN = "und"
 
 
