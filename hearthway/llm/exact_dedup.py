@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthway.llm import fuse
-from hearthway.llm.shared import as_bytes, fetch_rows, free_name
+from hearthway.llm.shared import as_bytes, fetch_rows, free_name, worker_release
 from hearthway.session import cut_lineage
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -42,6 +42,7 @@ def with_digest(docs: DataFrame, text: str, name: str = "text_sha256", body: str
     place = docs.columns.index(text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
         for batch in batches:
             plain = [x.translate(None, WHITE) for x in as_bytes(batch.column(place))]
             arrays = [*batch.columns, pa.array([hashlib.sha256(x).hexdigest() for x in plain], pa.string())]
@@ -59,6 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, stored: Column) ->
     schema = f"id {schema[0].dataType.simpleString()}, stored boolean, digest string, n_bytes long, n_chars long, route long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
         for batch in batches:
             plain = [x.translate(None, WHITE) for x in as_bytes(batch.column(2))]
             digests = [hashlib.sha256(x) for x in plain]

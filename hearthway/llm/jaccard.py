@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthway.llm.shared import as_bytes, byte_chunks, components, fetch_rows, forest, mix64
+from hearthway.llm.shared import as_bytes, byte_chunks, components, fetch_rows, forest, mix64, worker_release
 from hearthway.session import cut_lineage
 
 #: Sizes of a class of sets differ by this factor at most.
@@ -121,10 +121,11 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
         parts = Parts(percent)
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            for some in byte_chunks(texts, 4 << 20):
+            for some in byte_chunks(texts, 1 << 20):
                 sets = shingle_sets(texts[some], words)
                 ids = batch.column(0)[some.start : some.stop]
                 first, second = digests(sets)

@@ -33,6 +33,8 @@ LONGEST = 4
 TRAIN_ROWS = 20_000
 #: Words and n-grams that a model keeps; the most frequent ones.
 KEPT_WORDS, KEPT_GRAMS = 100_000, 40_000
+#: Scores of unseen words that a worker remembers.
+KEPT_UNSEEN = 100_000
 UNKNOWN = "und"
 
 
@@ -87,7 +89,7 @@ class Model:
         flat = pa.array([w for x in split for w in x], pa.string()).dictionary_encode()
         unique = flat.dictionary.to_pylist()
         lettered = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in unique], bool)
-        if len(self.seen) > 500_000:
+        if len(self.seen) > KEPT_UNSEEN:
             self.seen.clear()
         table = np.zeros((len(unique) + 1, len(self.languages)))
         for k, w in enumerate(unique):
@@ -165,7 +167,7 @@ def predict(docs: DataFrame, model: tuple, text_col: str = "text", names: tuple[
         own = worker_latest("language_model", name, lambda: Model(*shared.value))
         for batch in batches:
             texts = as_texts(batch.column(place))
-            for some in byte_chunks(texts, 4 << 20):
+            for some in byte_chunks(texts, 2 << 20):
                 langs, scores = own.score(texts[some])
                 part = batch.slice(some.start, some.stop - some.start)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -28,12 +31,22 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
 
 
 def worker_latest(slot: str, key: str, make: Callable[[], object]) -> object:
-    """The object of the latest key in a slot; a worker holds one per slot."""
-    held = worker_cache(slot, dict)
-    if key not in held:
+    """The object of this slot and key; a worker holds one at a time, whatever operator made it."""
+    held = worker_cache("latest", dict)
+    if (slot, key) not in held:
+        worker_release()
+        held[slot, key] = make()
+    return held[slot, key]
+
+
+def worker_release() -> None:
+    """Drop what earlier operators left in this worker."""
+    held = worker_cache("latest", dict)
+    if held:
         held.clear()
-        held[key] = make()
-    return held[key]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -168,7 +181,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in merged(frames, 2_000_000):
+    for frame in merged(frames, 200_000):
         root, node = forest(frame["a"].to_numpy(), frame["b"].to_numpy())
         yield pd.DataFrame({"a": root, "b": node})
 

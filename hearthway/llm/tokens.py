@@ -8,7 +8,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from hearthway.llm.shared import worker_cache
+from hearthway.llm.shared import worker_latest
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -114,8 +114,5 @@ def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def encoder(path: str, ranks_path: str | None = None) -> Encoder:
-    """The encoder of a tokenizer file, loaded once per Python worker."""
-    encoders = worker_cache("encoders", dict)
-    if (path, ranks_path) not in encoders:
-        encoders[path, ranks_path] = Encoder(path, ranks_path)
-    return encoders[path, ranks_path]
+    """The encoder of a tokenizer file, kept by a Python worker from task to task."""
+    return worker_latest("encoder", f"{path} {ranks_path}", lambda: Encoder(path, ranks_path))

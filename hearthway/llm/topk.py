@@ -34,7 +34,7 @@ PIVOTS = 64
 #: Vectors per candidate block and queries per group, about.
 BLOCK, GROUP = 4096, 1024
 #: Nodes of no more vectors are leaves; so are nodes that fall apart into nearly as many children.
-LEAF = 32
+LEAF = 16
 
 
 class CoverTree:
@@ -72,7 +72,7 @@ class CoverTree:
             reach = self.radius[at] / 2
             nearest = away(rows, self.centre[at])
             owner, centres = np.zeros(len(rows), np.int64), [self.centre[at]]
-            while len(centres) <= len(rows) // 8:
+            while len(centres) <= len(rows) // 4:
                 loose = int(nearest.argmax())
                 if nearest[loose] <= reach:
                     break

@@ -37,6 +37,8 @@ POSITIVE_ROWS, UNLABELLED_ROWS = 2_000, 12_000
 KEPT_FEATURES = 1_500
 #: A feature is in so many texts of the sample at least.
 LEAST_TEXTS = 8
+#: Features of words that a worker remembers.
+KEPT_KNOWN = 300_000
 
 
 def parts(word: str) -> set[str]:
@@ -150,7 +152,7 @@ class Scorer:
     def of_word(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > KEPT_KNOWN:
                 self.known.clear()
             names = self.names
             found = self.known[word] = tuple(names[p] for p in parts(word) if p in names)
