@@ -62,6 +62,11 @@ def connection_counts(trips: DataFrame) -> DataFrame:
     )
 
 
+def of_neighbor(trips: DataFrame, neighbor: int) -> DataFrame:
+    """The trips to one of a home's nearest places; all of them where the table does not tell."""
+    return trips.where(F.col("neighbor") == neighbor) if "neighbor" in trips.columns else trips
+
+
 def weighted_time(
     trips: DataFrame,
     services: list[str] = settings.SERVICES,
@@ -73,7 +78,7 @@ def weighted_time(
 
     A missing time counts as 0 in the total; a home without any time has total 0.
     """
-    timed = weight_lookup(trips, weights).select(
+    timed = weight_lookup(of_neighbor(trips, neighbor), weights).select(
         "source_id",
         "service",
         F.col(time_column).alias("travel_time"),
@@ -92,9 +97,9 @@ def zone_weighted_avg(weighted: DataFrame, zone_map: DataFrame, zone_key: str =
     return located.groupBy(zone_key).agg(F.avg("total_weighted_time").alias("avg_total_weighted_time"))
 
 
-def total_times(trips: DataFrame) -> DataFrame:
+def total_times(trips: DataFrame, neighbor: int = 1) -> DataFrame:
     """Sums over all services per home; NULL only where every service is missing."""
-    sums = trips.groupBy("source_id").agg(
+    sums = of_neighbor(trips, neighbor).groupBy("source_id").agg(
         F.sum("duration_min").alias("total_duration"), F.sum("wait_time_dest_min").alias("total_wait_time")
     )
     return sums.withColumn("total_time_min", F.col("total_duration") + F.col("total_wait_time"))

@@ -9,16 +9,15 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthway import settings
 from hearthway.operators.columns import drop_missing, with_global
 from hearthway.operators.neighbours import row_standardize
 from hearthway.operators.ranking import global_position
-from hearthway.operators.skew import skew_join
+from hearthway.operators.equi import equi_join
 from hearthway.session import cut_lineage
 
 QUADRANTS = {1: "HH", 2: "LH", 3: "LL", 4: "HL"}
@@ -31,7 +30,7 @@ def spatial_lag(df: DataFrame, edges: DataFrame, columns: list[str], key: str =
 
 def _with_lag(df: DataFrame, edges: DataFrame, columns: list[str], key: str) -> DataFrame:
     values = df.select(F.col(key).alias("j"), *[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
-    carried = skew_join(edges.select("i", "j", "w"), values, ["j"])
+    carried = equi_join(edges.select("i", "j", "w"), values, ["j"])
     lags = carried.groupBy(F.col("i").alias(key)).agg(
         *[
             F.try_divide(F.sum(F.col("w") * F.col(f"_{i}")), F.sum("w")).alias(f"{c}_lag")
@@ -41,6 +40,13 @@ def _with_lag(df: DataFrame, edges: DataFrame, columns: list[str], key: str) ->
     return df.join(lags, key, "left")
 
 
+def between_known(edges: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The edges between zones that both have values."""
+    for end in ("i", "j"):
+        edges = equi_join(edges, known.select(F.col(key).alias(end)), [end], "left_semi")
+    return edges
+
+
 def morans_i(
     df: DataFrame,
     edges: DataFrame,
@@ -55,6 +61,8 @@ def morans_i(
     of the values over the zones.
     """
     known = drop_missing(df.select(key, *columns), columns)
+    # Observed and rearranged values meet the same graph: that of the known zones.
+    edges = between_known(edges, known, key)
     lagged = _with_lag(known, edges, columns, key)
     lagged = with_global(lagged, "_mean", **{f"m{i}": F.avg(F.col(f"`{c}`")) for i, c in enumerate(columns)})
     rows = []
@@ -107,9 +115,9 @@ def _permuted_moran(
     arrays = received.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("perm", *z))).alias("_all"))
 
     weights = cut_lineage(row_standardize(edges))
-    first = skew_join(weights, arrays.select(F.col(key).alias("i"), F.col("_all").alias("_at_i")), ["i"])
+    first = equi_join(weights, arrays.select(F.col(key).alias("i"), F.col("_all").alias("_at_i")), ["i"])
     there = arrays.select(F.col(key).alias("j"), F.col("_all").alias("_at_j"))
-    both = skew_join(first, there, ["j"], heavy_from=weights)
+    both = equi_join(first, there, ["j"])
     products = both.select("w", F.explode(F.arrays_zip("_at_i", "_at_j")).alias("p"))
     sums = products.groupBy(F.col("p._at_i.perm").alias("perm")).agg(
         F.sum("w").alias("_s0"),
@@ -129,9 +137,6 @@ def _permuted_moran(
     return scaled.select("perm", F.inline(F.array(*rows)))
 
 
-MAX_DRAWN_VALUES = 20_000_000
-
-
 def local_moran(
     df: DataFrame,
     edges: DataFrame,
@@ -194,9 +199,8 @@ def _conditional_p(
     """(key, `{c}_p_sim`...): share of random neighbourhoods at least as extreme.
 
     All zones share the same random draws: per permutation as many distinct zones as the
-    largest neighbourhood has, plus one that stands in when a zone draws itself. The drawn
-    values are therefore bounded by permutations times neighbours, not by the number of
-    zones, and that bound is checked before they are sent to the tasks.
+    largest neighbourhood has, plus one that stands in when a zone draws itself. The draws
+    stay a table; the n-th neighbour of a zone takes the n-th draw of every permutation.
     """
     z = [f"_z{i}" for i in range(len(columns))]
     centred = with_global(known.select(key, *columns), "_mean", **{f"m{i}": F.avg(F.col(f"`{c}`")) for i, c in enumerate(columns)})
@@ -204,70 +208,41 @@ def _conditional_p(
         key, *[(F.col(f"`{c}`") - F.col("_mean")[f"m{i}"]).alias(z[i]) for i, c in enumerate(columns)]
     )
     placed = global_position(centred, [key], "_rank")
-    inner = edges.join(centred.select(F.col(key).alias("j")), "j", "left_semi")
-    weights = cut_lineage(row_standardize(inner))
+    weights = cut_lineage(row_standardize(between_known(edges, known, key)).select("i", "j", "w"))
     degrees = weights.groupBy("i").count().agg(F.max("count").alias("k")).first()["k"] or 0
     zones = known.count()
     width = min(degrees + 1, zones)
-    if permutations * width * len(columns) > MAX_DRAWN_VALUES:
-        raise ValueError(
-            f"{permutations} permutations of up to {degrees} neighbours are too many to send to "
-            "every task; lower the permutations or use a sparser graph"
-        )
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [
-                pd.DataFrame({"perm": perm, "slot": range(width), "_rank": random.Random(f"{seed}-{perm}").sample(range(zones), width)})
-                for perm in batch["id"]
-            ]
-            if parts:
-                yield pd.concat(parts)
+            for perm in batch["id"]:
+                ranks = random.Random(f"{seed}-{perm}").sample(range(zones), width)
+                yield pd.DataFrame({"perm": perm, "slot": range(width), "_rank": ranks})
 
     drawn = known.sparkSession.range(permutations).mapInPandas(draw, "perm bigint, slot int, _rank bigint")
-    rows = drawn.join(placed, "_rank").select("perm", "slot", key, *z).toPandas()
-    rows = rows.sort_values(["perm", "slot"])
-    ids = rows[key].to_numpy().reshape(permutations, width)
-    samples = {c: rows[c].to_numpy().reshape(permutations, width) for c in z}
-    own = {}
-    for perm, row in enumerate(ids):
-        for slot, zone in enumerate(row[:-1]):
-            own.setdefault(zone, []).append((perm, slot))
-    shared = known.sparkSession.sparkContext.broadcast((samples, own))
-
-    carried = skew_join(weights.select("i", "j", "w"), centred.withColumnRenamed(key, "j"), ["j"])
-    around = carried.groupBy("i").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "w"))), lambda e: e["w"]).alias("_weights"),
-        *[F.sum(F.col("w") * F.col(c)).alias(f"_lag{c}") for c in z],
+    rows = cut_lineage(drawn.join(placed, "_rank").select("perm", "slot", F.col(key).alias("_drawn"), *z))
+    spare = rows.where(F.col("slot") == width - 1).select("perm", *[F.col(c).alias(f"_spare{c}") for c in z])
+    draws = rows.join(spare, "perm")
+
+    observed = equi_join(weights, centred.withColumnRenamed(key, "j"), ["j"])
+    observed = observed.groupBy("i").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"_lag{c}") for c in z])
+    observed = observed.join(centred.withColumnRenamed(key, "i"), "i")
+    in_turn = Window.partitionBy("i").orderBy("j")
+    slotted = weights.withColumn("slot", (F.row_number().over(in_turn) - 1).cast("int"))
+    taken = {c: F.when(F.col("_drawn") == F.col("i"), F.col(f"_spare{c}")).otherwise(F.col(c)) for c in z}
+    simulated = equi_join(slotted, draws, ["slot"]).groupBy("i", "perm").agg(
+        *[F.sum(F.col("w") * value).alias(f"_sim{c}") for c, value in taken.items()]
+    )
+    counts = simulated.join(observed, "i").groupBy("i").agg(
+        *[F.count_if(F.col(c) * F.col(f"_sim{c}") >= F.col(c) * F.col(f"_lag{c}")).alias(c) for c in z]
+    )
+    return counts.select(
+        F.col("i").alias(key),
+        *[
+            ((F.least(F.col(c), permutations - F.col(c)) + 1) / (permutations + 1)).alias(f"{columns[i]}_p_sim")
+            for i, c in enumerate(z)
+        ],
     )
-    inputs = around.join(centred.withColumnRenamed(key, "i"), "i")
-    outputs = {c: f"{columns[i]}_p_sim" for i, c in enumerate(z)}
-
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        drawn_values, drawn_as = shared.value
-        for batch in batches:
-            out = pd.DataFrame({"i": batch["i"]})
-            for c in z:
-                out[outputs[c]] = [
-                    _pseudo_p(drawn_values[c], drawn_as.get(zone, ()), np.asarray(w), zone_z, lag)
-                    for zone, w, zone_z, lag in zip(batch["i"], batch["_weights"], batch[c], batch[f"_lag{c}"])
-                ]
-            yield out
-
-    key_type = dict(inputs.dtypes)["i"]
-    schema = f"i {key_type}, " + ", ".join(f"`{name}` double" for name in outputs.values())
-    return inputs.mapInPandas(test, schema).withColumnRenamed("i", key)
-
-
-def _pseudo_p(samples: np.ndarray, own: list, weights: np.ndarray, z: float, lag: float) -> float:
-    """Pseudo p-value of one zone against the shared draws."""
-    k = len(weights)
-    lags = samples[:, :k] @ weights
-    for perm, slot in own:
-        if slot < k:
-            lags[perm] += weights[slot] * (samples[perm, -1] - samples[perm, slot])
-    larger = int(np.sum(z * lags >= z * lag))
-    return (min(larger, len(lags) - larger) + 1) / (len(lags) + 1)
 
 
 def moran_line(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from hearthway.functions import geometry as G
 from hearthway.operators.columns import with_global
 from hearthway.operators.ranking import quantiles
 from hearthway.operators.reshape import sample_rows, unpivot_long
-from hearthway.operators.skew import skew_join
+from hearthway.operators.equi import equi_join
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -237,7 +237,7 @@ def cluster_density(df: DataFrame, cluster: str, variables: list[str], points: i
     start = F.col("_lo") - 3 * F.col("_bw")
     stride = (F.col("_hi") - F.col("_lo") + 6 * F.col("_bw")) / (points - 1)
     placed = (
-        skew_join(counted, stats, [cluster, "variable"])
+        equi_join(counted, stats, [cluster, "variable"])
         .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", start + F.col("step") * stride)
     )

@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 from hearthway import settings
 from hearthway.functions.scalar import lookup, parse_modes, transfers_of
 from hearthway.operators.grid import bin_points
+from hearthway.operators.aggregates import of_neighbor
+from hearthway.operators.equi import equi_join
+from hearthway.operators.graph import star_components
 from hearthway.operators.joins import widen
-from hearthway.operators.skew import skew_join
 from hearthway.operators.spatial import spatial_join
 from hearthway.session import cut_lineage
 
 
 def combine_results(trips: DataFrame, columns: list[str], services: list[str], neighbor: int = 1) -> DataFrame:
     """One row per home with the chosen columns of all services, `{service}_{n}_{column}`."""
-    wide = widen(trips, ["source_id"], "service", services, columns)
+    wide = widen(of_neighbor(trips, neighbor), ["source_id"], "service", services, columns)
     return wide.withColumnsRenamed({f"{s}_{c}": f"{s}_{neighbor}_{c}" for s in services for c in columns})
 
 
@@ -122,29 +124,9 @@ def source_difference(a: DataFrame, b: DataFrame, key: str, columns: list[str])
 
 
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component) of an undirected graph; the component is its smallest id.
-
-    Labels sink to the smallest of the neighbours and then jump to the label of their
-    label, so long chains shorten by half per round. Every round is written to the
-    checkpoint folder; the loop ends when no label moved.
-    """
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(
-        links.select(F.col("b").alias("id"), F.col("a").alias("other"))
-    )
-    both = cut_lineage(both.distinct())
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        known = labels.select(F.col("id").alias("other"), F.col("component").alias("_near"))
-        lowest = skew_join(both, known, ["other"]).groupBy("id").agg(F.min("_near").alias("_near"))
-        hooked = labels.join(lowest, "id", "left").select(
-            "id", F.col("component").alias("_old"), F.least("component", "_near").alias("component")
-        )
-        targets = hooked.select(F.col("id").alias("component"), F.col("component").alias("_next"))
-        jumped = skew_join(hooked, targets, ["component"]).select("id", "_old", F.col("_next").alias("component"))
-        step = cut_lineage(jumped)
-        labels = step.select("id", "component")
-        if step.filter(F.col("_old") != F.col("component")).isEmpty():
-            return labels
+    """(id, component) of an undirected graph; the component is its smallest id."""
+    stars = star_components(links).select(F.col("node").alias("id"), "root")
+    return nodes.select("id").join(stars, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def merge_close_points(
@@ -186,16 +168,16 @@ def merge_close_points(
     )
     off_x = F.greatest(F.col("_x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("_x1"))
     off_y = F.greatest(F.col("_y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("_y1"))
-    able = skew_join(tries, boxes.withColumnRenamed("id", "b"), ["b"]).filter(
+    able = equi_join(tries, boxes.withColumnRenamed("id", "b"), ["b"]).filter(
         off_x * off_x + off_y * off_y <= distance * distance
     )
     there = places.select(F.col("id").alias("b"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
     gap = dx * dx + dy * dy
-    links = skew_join(able.select("a", "b", "x", "y"), there, ["b"], "left_semi", gap <= distance * distance, heavy_from=tries)
+    links = equi_join(able.select("a", "b", "x", "y"), there, ["b"], "left_semi", gap <= distance * distance)
     groups = connected_components(boxes.select("id"), links.select("a", "b").distinct())
 
-    merged = skew_join(places.select("id", "x", "y", "_first", "_n"), groups, ["id"]).groupBy("component").agg(
+    merged = equi_join(places.select("id", "x", "y", "_first", "_n"), groups, ["id"]).groupBy("component").agg(
         F.min("_first").alias("_first"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum("_n").alias("members")
     )
     return merged.select(

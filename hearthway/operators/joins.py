@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthway.operators.skew import skew_join
+from hearthway.operators.equi import equi_join
 
 
 def attach_zone(trips: DataFrame, zone_map: DataFrame, key: str = "source_id") -> DataFrame:
     """Trips with the zones of their home; homes without a zone are dropped."""
-    return skew_join(trips, zone_map, [key])
+    return equi_join(trips, zone_map, [key])
 
 
 def join_all_using(tables: list[DataFrame], key: str) -> DataFrame:
@@ -87,8 +87,8 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def keep_members(df: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
-    return skew_join(df, members.select(*keys).distinct(), keys, "left_semi")
+    return equi_join(df, members.select(*keys).distinct(), keys, "left_semi")
 
 
 def drop_members(df: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
-    return skew_join(df, members.select(*keys).distinct(), keys, "left_anti")
+    return equi_join(df, members.select(*keys).distinct(), keys, "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthway.functions import geometry as G
-from hearthway.operators.skew import skew_join
+from hearthway.operators.equi import equi_join
 
 CELL_METRES = 5000.0
 
@@ -77,7 +77,7 @@ def spatial_join(
     """Points with the key of every polygon they intersect; the boundary counts."""
     shapes = _polygon_cells(zones, key, cell_size)
     inside = F.col("_whole") | (_near_box() & G.point_intersects(F.col("_edges"), F.col("x"), F.col("y")))
-    joined = skew_join(_point_cells(points, cell_size), shapes, ["_cx", "_cy"], how, inside)
+    joined = equi_join(_point_cells(points, cell_size), shapes, ["_cx", "_cy"], how, inside)
     return joined.drop("_cx", "_cy", "_whole", "_edges", *BOX)
 
 
@@ -100,7 +100,7 @@ def nearest_join(
     rivals = shapes.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_rivals"))
     shapes = shapes.join(rivals, ["_cx", "_cy"])
     near = F.col("_whole") | _near_box(max_distance)
-    pairs = skew_join(_point_cells(points, cell_size), shapes, ["_cx", "_cy"], "left", near)
+    pairs = equi_join(_point_cells(points, cell_size), shapes, ["_cx", "_cy"], "left", near)
     edges, x, y = F.col("_edges"), F.col("x"), F.col("y")
     inside = F.col("_whole") | G.point_intersects(edges, x, y)
     gap = F.when(inside, F.lit(0.0)).otherwise(G.distance_to_boundary(edges, x, y))
@@ -138,7 +138,7 @@ def intersecting_zones(zones: DataFrame, others: DataFrame, key: str, cell_size:
         & (F.col("_maxy") >= F.col("_miny2"))
     )
     meets = overlap & G.polygons_intersect(F.col("_edges"), F.col("_edges2"))
-    return skew_join(left, right, ["_cx", "_cy"], "left_semi", meets).select(key).distinct()
+    return equi_join(left, right, ["_cx", "_cy"], "left_semi", meets).select(key).distinct()
 
 
 def spatial_semi_join(zones: DataFrame, others: DataFrame, key: str, cell_size: float = CELL_METRES) -> DataFrame:
@@ -179,7 +179,7 @@ def contained_polygons(polygons: DataFrame, key: str, cell_size: float = CELL_ME
         & (F.col("_maxy") <= F.col("_maxy2"))
     )
     within = (F.col(key) != F.col("_outer")) & boxed & G.polygon_within(F.col("_edges"), F.col("_edges2"))
-    nested = skew_join(inner, outer, ["_cx", "_cy"], "left_semi", within).select(key)
+    nested = equi_join(inner, outer, ["_cx", "_cy"], "left_semi", within).select(key)
     return twins.unionByName(nested).distinct()
 
 

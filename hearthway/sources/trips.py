@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,11 @@ def read_trips(
     """
     names = [f"{service}_{i}" for service in services for i in range(1, neighbors + 1)]
     pattern = f"{folder}/{{{','.join(names)}}}{suffix}"
-    tag = F.regexp_extract(F.col("_metadata.file_path"), rf"([a-z_]+)_(\d+){suffix}", 1)
-    number = F.regexp_extract(F.col("_metadata.file_path"), rf"([a-z_]+)_(\d+){suffix}", 2)
+    # Names are matched as given, the longest first, whatever characters they hold.
+    known = "|".join(re.escape(s) for s in sorted(services, key=len, reverse=True))
+    shape = rf"(?:^|/)({known})_([0-9]+){re.escape(suffix)}(?:/|$)"
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    tag, number = F.regexp_extract(path, shape, 1), F.regexp_extract(path, shape, 2)
     trips = spark.read.option("mergeSchema", "true").parquet(pattern)
     return nan_to_null(trips.select("*", tag.alias("service"), number.cast("int").alias("neighbor")))
 

@@ -20,12 +20,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def salted(monkeypatch):
-    """Treat every join input as large and every key with more than 3 rows as heavy."""
-    from hearthway.operators import skew
-
-    monkeypatch.setattr(skew, "fits_one_task", lambda df: False)
-    monkeypatch.setattr(skew, "ROWS_PER_SALT", 3)

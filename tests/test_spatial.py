@@ -1,4 +1,4 @@
-"""Spatial joins and graphs against brute force, with and without heavy keys."""
+"""Spatial joins and graphs against brute force, crowds and copies among them."""
 
 import itertools
 import math
@@ -14,7 +14,8 @@ from hearthway.operators import joins as J
 from hearthway.operators import neighbours as N
 from hearthway.operators import spatial as S
 from hearthway.operators.columns import centroids, polygon_area_km2
-from hearthway.operators.skew import hot_keys, skew_join
+from hearthway.operators.equi import equi_join
+from hearthway.operators.graph import star_components
 from hearthway.sources.zones import _read_wkb
 
 ZONE = "zone_id int, rings array<array<struct<x:double,y:double>>>"
@@ -74,10 +75,7 @@ def spots():
 POINT = "source_id int, x double, y double"
 
 
-@pytest.mark.parametrize("heavy", [False, True])
-def test_spatial_join_equals_brute_force(spark, shapes, spots, heavy, request):
-    if heavy:
-        request.getfixturevalue("salted")
+def test_spatial_join_equals_brute_force(spark, shapes, spots):
     found = S.spatial_join(spark.createDataFrame(spots, POINT), spark.createDataFrame(shapes, ZONE), "zone_id", "left", 40.0)
     got = sorted((r.source_id, -1 if r.zone_id is None else r.zone_id) for r in found.collect())
     want = []
@@ -87,10 +85,7 @@ def test_spatial_join_equals_brute_force(spark, shapes, spots, heavy, request):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("heavy", [False, True])
-def test_assign_zone_equals_brute_force(spark, shapes, spots, heavy, request):
-    if heavy:
-        request.getfixturevalue("salted")
+def test_assign_zone_equals_brute_force(spark, shapes, spots):
     points, zones = spark.createDataFrame(spots, POINT), spark.createDataFrame(shapes, ZONE)
     found = {r.source_id: r for r in S.nearest_join(points, zones, "zone_id", 30.0, cell_size=40.0).collect()}
     assert len(found) == len(spots)
@@ -182,10 +177,7 @@ def clustered(seed):
     return [(i, float(x), float(y)) for i, (x, y) in enumerate(wide + tight + [(7.0, 7.0)] * 40)]
 
 
-@pytest.mark.parametrize("heavy", [False, True])
-def test_knn_equals_brute_force_on_crowds_and_copies(spark, heavy, request):
-    if heavy:
-        request.getfixturevalue("salted")
+def test_knn_equals_brute_force_on_crowds_and_copies(spark):
     points = clustered(1)
     found = {}
     for r in N.knn_weights(spark.createDataFrame(points, POINT), 6, "source_id").collect():
@@ -200,10 +192,7 @@ def test_knn_with_fewer_points_than_k(spark):
     assert sorted((r.i, r.j) for r in found.collect()) == [(1, 2), (2, 1)]
 
 
-@pytest.mark.parametrize("heavy", [False, True])
-def test_distance_band_equals_brute_force(spark, heavy, request):
-    if heavy:
-        request.getfixturevalue("salted")
+def test_distance_band_equals_brute_force(spark):
     points = clustered(2)
     found = {(r.i, r.j): r.w for r in N.distance_band_weights(spark.createDataFrame(points, POINT), 9000.0, "source_id").collect()}
     want = {}
@@ -214,10 +203,7 @@ def test_distance_band_equals_brute_force(spark, heavy, request):
     assert found == pytest.approx(want)
 
 
-@pytest.mark.parametrize("heavy", [False, True])
-def test_merge_close_points_equals_union_find(spark, heavy, request):
-    if heavy:
-        request.getfixturevalue("salted")
+def test_merge_close_points_equals_union_find(spark):
     chain = [(200 + i, 2e5 + 150.0 * i, 0.0) for i in range(25)]
     points = clustered(3) + chain
     group = {i: i for i, _, _ in points}
@@ -242,25 +228,44 @@ def test_merge_close_points_equals_union_find(spark, heavy, request):
         assert found[first].x == pytest.approx(sum(x for x, _ in distinct) / len(distinct))
 
 
-def test_hot_keys_are_found_and_bounded(spark):
-    df = spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("k"))
-    hot = hot_keys(df, ["k"], 100).collect()
-    assert len(hot) == 1 and hot[0]["_salts"] == 10
-
-
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salting_does_not_change_a_join(spark, salted, how):
-    big = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
+def test_equi_join_equals_a_plain_join(spark, how):
+    tag = F.create_map(F.lit("a"), F.col("id") % 2)
+    big = spark.range(300).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 50).alias("k"), tag.alias("tags"))
     small = spark.range(0, 40, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    got = skew_join(big, small, ["k"], how)
-    want = big.join(small, "k", how)
+    got, want = equi_join(big, small, ["k"], how), big.join(small, "k", how)
     columns = sorted(want.columns)
-    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(
-        map(tuple, want.select(*columns).collect()), key=str
-    )
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
     assert J.dedup_first(got.select("id", "k"), ["k"], ["id"]).count() == got.select("k").distinct().count()
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_long_chains_take_few_rounds(spark, shuffled):
+    names = list(range(2, 1602))
+    if shuffled:
+        random.Random(3).shuffle(names)
+    else:
+        names[0], names[-1] = 0, 1
+    links = spark.createDataFrame([(str(a).zfill(5), str(b).zfill(5)) for a, b in zip(names[:-1], names[1:])], "a string, b string")
+    rounds = []
+    got = star_components(links, rounds.append).collect()
+    assert len(got) == 1600 and len({r.root for r in got}) == 1
+    assert len(rounds) <= 15
+
+
+@pytest.mark.parametrize("extra", [0, 40])
+def test_neighbours_among_copies(spark, extra):
+    rng = random.Random(8)
+    points = [(i, 720000.0, 6170000.0) for i in range(12)] + [(20 + i, 720000.0 + rng.random(), 6170000.0 + rng.random()) for i in range(4)]
+    points += [(100 + i, 720000.0 + rng.randint(-900, 900), 6170000.0 + rng.randint(-900, 900)) for i in range(extra)]
+    got = {}
+    for r in N.knn_weights(spark.createDataFrame(points, POINT), 6, "source_id").collect():
+        got.setdefault(r.i, []).append((r.distance, r.j))
+    for i, x, y in points:
+        near = sorted((math.sqrt((a - x) ** 2 + (b - y) ** 2), j) for j, a, b in points if j != i)[:6]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in near]
+
+
 def test_distance_of_a_point_to_a_side(spark):
     zones = spark.createDataFrame([(1, [ring((0, 0), (10, 0), (10, 10), (0, 10))])], ZONE)
     edges = G.polygon_edges(F.col("rings"))

@@ -121,19 +121,42 @@ def test_local_moran(board):
     assert again == {k: r.trend_p_sim for k, r in found.items()}
 
 
-def test_zone_drawn_for_itself_is_replaced():
-    samples = np.array([[1.0, 2.0, 9.0], [3.0, 4.0, 9.0]])
-    weights = np.array([0.5, 0.5])
-    plain = M._pseudo_p(samples, [], weights, 1.0, 2.0)
-    assert plain == (min(1, 1) + 1) / 3
-    assert M._pseudo_p(samples, [(0, 0)], weights, 1.0, 2.0) == (min(2, 0) + 1) / 3
-
-
-def test_too_many_draws_are_refused(board, monkeypatch):
-    zones, edges, *_ = board
-    monkeypatch.setattr(M, "MAX_DRAWN_VALUES", 10)
-    with pytest.raises(ValueError):
-        M.local_moran(zones, edges, ["trend"], permutations=99)
+def test_local_p_values_of_a_hub(spark):
+    """Shared draws, with the spare draw where a zone drew itself, and no bound on neighbours."""
+    draw = random.Random(6)
+    keys = [f"z{k:03d}" for k in range(80)]
+    value = {k: float(draw.randint(0, 64)) for k in keys}
+    links = {k: ([j for j in keys if j != k] if k == "z000" else ["z000", *draw.sample([j for j in keys[1:] if j != k], 2)]) for k in keys}
+    zones = spark.createDataFrame(list(value.items()), "grid_id string, v double")
+    edges = spark.createDataFrame([(i, j, 1.0) for i, near in links.items() for j in near], "i string, j string, w double")
+    found = {r.grid_id: r.v_p_sim for r in M.local_moran(zones, edges, ["v"], permutations=60, seed=4).collect()}
+    mean = sum(value.values()) / len(keys)
+    width = len(keys)
+    draws = [[keys[r] for r in random.Random(f"4-{perm}").sample(range(len(keys)), width)] for perm in range(60)]
+    for i in keys:
+        near, z = sorted(links[i]), value[i] - mean
+        lag = sum(value[j] - mean for j in near) / len(near)
+        sims = [sum(value[d[-1] if d[s] == i else d[s]] - mean for s in range(len(near))) / len(near) for d in draws]
+        larger = sum(z * s >= z * lag - 1e-9 for s in sims)
+        smaller = sum(z * s >= z * lag + 1e-9 for s in sims)
+        assert (min(smaller, 60 - larger) + 1) / 61 - 1e-9 <= found[i] <= (max(min(larger, 60 - larger), min(smaller, 60 - smaller)) + 1) / 61 + 1e-9
+
+
+def test_unknown_zones_leave_both_parts_of_the_statistic(spark):
+    values = [("a", 1.0), ("b", 2.0), ("c", 4.0), ("d", 8.0), ("e", 16.0), ("x", None)]
+    ring = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a")]
+    edges = ring + [(k, "x") for k in "abcde"]
+    zones = spark.createDataFrame(values, "grid_id string, v double")
+    graph = spark.createDataFrame([(i, j, 1.0) for i, j in edges + [(j, i) for i, j in edges]], "i string, j string, w double")
+    observed = M.morans_i(zones, graph, ["v"]).first().moran_i
+    known = zones.dropna()
+    sims = [r.sim for r in M._permuted_moran(known, M.between_known(graph, known, "grid_id"), ["v"], "grid_id", 200, 3).collect()]
+    # A ring of five zones has few arrangements; the observed one is among them.
+    assert min(abs(s - observed) for s in sims) < 1e-9
+    with_p = M.morans_i(zones, graph, ["v"], permutations=200, seed=3).first()
+    # Arrangements equal to the observed one may fall on either side by rounding.
+    counts = range(sum(s >= observed + 1e-9 for s in sims), sum(s >= observed - 1e-9 for s in sims) + 1)
+    assert any(with_p.p_sim == pytest.approx((min(n, 200 - n) + 1) / 201) for n in counts)
 
 
 def test_isolated_zone_has_no_lag(spark, board):
