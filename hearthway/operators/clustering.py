@@ -135,8 +135,13 @@ def silhouette_euclidean(labelled: DataFrame, sample: int, seed: int, key: str)
             if batch.empty or len(clusters) < 2:
                 continue
             rows = np.array(batch["v"].tolist())
-            gaps = np.sqrt(np.maximum(((rows[:, None, :] - points[None, :, :]) ** 2).sum(axis=2), 0))
-            sums = np.stack([gaps[:, owners == c].sum(axis=1) for c in clusters], axis=1)
+            # Distances from inner products, in blocks, so memory does not grow with the dimensions.
+            sums = np.empty((len(rows), len(clusters)))
+            for low in range(0, len(rows), 500):
+                some = rows[low : low + 500]
+                squares = (some**2).sum(axis=1)[:, None] + (points**2).sum(axis=1) - 2 * some @ points.T
+                gaps = np.sqrt(np.maximum(squares, 0))
+                sums[low : low + 500] = np.stack([gaps[:, owners == c].sum(axis=1) for c in clusters], axis=1)
             at = np.searchsorted(clusters, batch["label"].to_numpy())
             index = np.arange(len(rows))
             inside = sums[index, at] / np.maximum(sizes[at] - 1, 1)

@@ -68,5 +68,5 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cluster_zones")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = analysis_table(profile(spark, sf_dir), hex_cells(spark, sf_dir), V.islands(spark, sf_dir))
-    labelled, variables = cluster_zones(table, k=4)
+    labelled, variables = cluster_zones(table)
     return L.cluster_profile(labelled, "label", variables)

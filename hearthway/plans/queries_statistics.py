@@ -62,7 +62,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("morans_i_permuted")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.morans_i(hex_totals(spark, sf_dir), hex_edges(spark, sf_dir), TOTALS, permutations=99)
+    return M.morans_i(hex_totals(spark, sf_dir), hex_edges(spark, sf_dir), TOTALS, permutations=999)
 
 
 def _local_sql(c: str) -> str:
@@ -90,7 +90,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("local_moran_permuted")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.local_moran(hex_totals(spark, sf_dir), hex_edges(spark, sf_dir), TOTALS, permutations=199)
+    found = M.local_moran(hex_totals(spark, sf_dir), hex_edges(spark, sf_dir), TOTALS, permutations=999)
     return M.significance_label(found, "avg_total_time")
 
 
@@ -128,7 +128,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in ["duration_min", "total_time_min"]
     }
     return autocorrelation_suite(
-        profile(spark, sf_dir), hex_totals(spark, sf_dir), weighted, combined_weights(spark, sf_dir), permutations=19
+        profile(spark, sf_dir), hex_totals(spark, sf_dir), weighted, combined_weights(spark, sf_dir), permutations=999
     )
 
 
@@ -168,12 +168,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("elbow_curve")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.elbow_curve(vectors(spark, sf_dir), list(range(1, 6)))
+    return L.elbow_curve(vectors(spark, sf_dir), list(range(1, 30)))
 
 
 @query("silhouette_scores")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.silhouette_scores(vectors(spark, sf_dir), [6, 7, 8], iterations=2)
+    return L.silhouette_scores(vectors(spark, sf_dir), list(range(6, 12)), iterations=10)
 
 
 @query("silhouette_spread")
@@ -189,7 +189,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_seed_test")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tested = L.kmeans_seed_test(vectors(spark, sf_dir), seeds=[13, 42], n_runs=2)
+    tested = L.kmeans_seed_test(vectors(spark, sf_dir), n_runs=10)
     return L.adjusted_rand(tested, "label_13", "label_42")
 
 
@@ -228,11 +228,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
   select label, 'f1', f1 from {NUMBERS_SQL}),
  s as (select label, variable, count(*) as n, min(v) as lo, max(v) as hi, stddev_samp(v) * pow(count(*), -0.2) as bw
   from l group by label, variable having stddev_samp(v) > 0),
- g as (select *, lo - 3 * bw + step * ((hi - lo + 6 * bw) / 19) as x from s, (select unnest(generate_series(0, 19)) as step) t)
+ g as (select *, lo - 3 * bw + step * ((hi - lo + 6 * bw) / 199) as x from s, (select unnest(generate_series(0, 199)) as step) t)
  select g.label, g.variable, cast(step as integer) as step, round(x, 6) as x,
   round(sum(exp(-((x - v) / bw) * ((x - v) / bw) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 6) as density
  from g join l on g.label = l.label and g.variable = l.variable group by g.label, g.variable, step, x""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = L.cluster_density(numbers(spark, sf_dir), "label", ["f0", "f1"], points=20)
+    curve = L.cluster_density(numbers(spark, sf_dir), "label", ["f0", "f1"], points=200)
     return curve.withColumns({"x": F.round("x", 6), "density": F.round("density", 6)})
