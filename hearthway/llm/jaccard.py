@@ -115,27 +115,25 @@ class Parts:
         return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """A row per document: id, size and digest (s1, s2) of its set, keys of the parts."""
+def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """A row per document: id, size and digest (s1, s2) of its set."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_release()
-        parts = Parts(percent)
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for some in byte_chunks(texts, 1 << 20):
                 sets = shingle_sets(texts[some], words)
                 ids = batch.column(0)[some.start : some.stop]
                 first, second = digests(sets)
-                keys = [parts.keys(x) if k else np.zeros(0, np.int64) for x, k in zip(sets, ids.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(first), pa.array(second), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "s1", "s2", "keys"],
+                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(first), pa.array(second)],
+                    names=["doc_id", "n_shingles", "s1", "s2"],
                 )
 
-    return cut_lineage(narrow.mapInArrow(scan, f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>"))
+    return cut_lineage(narrow.mapInArrow(scan, f"doc_id {kind}, n_shingles long, s1 long, s2 long"))
 
 
 def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,63 +143,74 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(first + size * _ODD).view(np.int64), mix64(second).view(np.int64)
 
 
-def clustered(rows: DataFrame) -> DataFrame:
+def clustered(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the sets that share parts with others, directly or over others.
 
-    Each task first ties the sets of a key together within a batch, so that a key of very many sets
-    sends one row per batch through the shuffle.
+    `texts` has doc_id and text. Keys are not stored: each task makes those of a batch, ties the sets of
+    a key together within it, so that a key of very many sets sends one entry per batch through the shuffle, and
+    packs the rest by the bucket of the key, each set's number once per bucket. A bucket is a hash share of all
+    keys, as small as the shuffle has partitions.
     """
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("text")
+    names = ["bucket", "nodes", "counts", "keys", "a", "b"]
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
+        parts = Parts(percent)
         for batch in batches:
-            lists = batch.column(0)
-            key = lists.flatten().to_numpy()
-            node = np.repeat(batch.column(1).to_numpy(), lists.value_lengths().fill_null(0).to_numpy())
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            head = np.append(True, key[1:] != key[:-1])[: len(key)]
-            hub = node[np.flatnonzero(head)][np.cumsum(head) - 1] if len(key) else node
-            tied = ~head & (hub != node)
-            root, leaf = forest(hub[tied], node[tied])
-            keys = np.concatenate([key[head], mix64(root.view(np.uint64)).view(np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(np.concatenate([node[head], root])), pa.array(np.concatenate([np.zeros(head.sum(), np.int64), leaf]), mask=np.arange(len(keys)) < head.sum())],
-                names=["key", "a", "b"],
-            )
-
-    def tie(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[int, int] | None = None
-        for frame in frames:
-            key, a = frame["key"].to_numpy(), frame["a"].to_numpy()
-            edge = frame["b"].notna().to_numpy()
-            own = frame[edge]
-            left, right = own["a"].to_numpy(), own["b"].to_numpy(np.int64)
-            key, a = key[~edge], a[~edge]
-            if held is not None:
-                key, a = np.insert(key, 0, held[0]), np.insert(a, 0, held[1])
-            if len(key):
-                head = np.append(True, key[1:] != key[:-1])
-                hub = a[np.flatnonzero(head)][np.cumsum(head) - 1]
-                held = (key[-1], hub[-1])
-                tied = hub != a
-                left, right = np.append(left, hub[tied]), np.append(right, a[tied])
-            root, leaf = forest(left, right)
-            yield pd.DataFrame({"a": root, "b": leaf})
-
-    keyed = rows.where(F.size("keys") > 0).select("keys", "s1").mapInArrow(local, "key long, a long, b long")
-    split = keyed.repartition("key").sortWithinPartitions("key")
-    return components(_exact_longs(split, tie))
-
-
-def _exact_longs(rows: DataFrame, tie) -> DataFrame:
-    """Run `tie` on frames whose nullable column b keeps its integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = (x.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get).astype({"key": np.int64, "a": np.int64}) for x in batches)
-        for frame in tie(frames):
-            yield pa.RecordBatch.from_arrays([pa.array(frame["a"].to_numpy()), pa.array(frame["b"].to_numpy())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+            bodies = as_bytes(batch.column(0))
+            for some in byte_chunks(bodies, 4 << 20):
+                held: dict[int, np.ndarray] = {}
+                for few in byte_chunks(bodies[some], 1 << 20):
+                    sets = shingle_sets(bodies[some][few], words)
+                    held |= {int(n): parts.keys(x) for n, x in zip(digests(sets)[0], sets) if len(x)}
+                yield packed(held)
+
+    def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        key = np.concatenate([np.zeros(0, np.int64), *held.values()])
+        node = np.repeat(np.fromiter(held, np.int64, len(held)), [len(x) for x in held.values()])
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        head = np.append(True, key[1:] != key[:-1])[: len(key)]
+        hub = node[np.flatnonzero(head)][np.cumsum(head) - 1] if len(key) else node
+        root, leaf = forest(hub[~head], node[~head])
+        key, node = key[head], node[head]
+        bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((key, node, bucket))
+        key, node, bucket = key[order], node[order], bucket[order]
+        rows: list[list] = [[] for _ in names]
+        for at in np.split(np.arange(len(key)), np.flatnonzero(np.diff(bucket)) + 1):
+            if len(at):
+                nodes, counts = np.unique(node[at], return_counts=True)
+                for column, value in zip(rows, (int(bucket[at[0]]), nodes, counts, key[at], [], [])):
+                    column.append(value)
+        if len(root):
+            for column, value in zip(rows, (int(root[0]) % buckets, [], [], [], root, leaf)):
+                column.append(value)
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=names)
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            flat = {n: batch.column(n).flatten().to_numpy() for n in names[1:]}
+            keys.append(flat["keys"])
+            nodes.append(np.repeat(flat["nodes"], flat["counts"]))
+            if len(flat["a"]):
+                yield edges(*forest(flat["a"], flat["b"]))
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        same = np.flatnonzero(key[1:] == key[:-1])
+        # Neighbours of one key, chained, are as connected as all of its pairs.
+        yield edges(*forest(node[same], node[same + 1]))
+
+    def edges(root: np.ndarray, leaf: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(leaf, pa.int64())], names=["a", "b"])
+
+    schema = "bucket long, nodes array<long>, counts array<int>, keys array<long>, a array<long>, b array<long>"
+    return components(narrow.mapInArrow(emit, schema).repartition("bucket").mapInArrow(tie, "a long, b long"))
 
 
 class SignatureTree:
@@ -373,7 +382,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns a row per document: doc_id, n_shingles, component_id (the smallest id in the component).
     """
-    rows = described(docs, id_col, text_col, words, percent)
+    rows = described(docs, id_col, text_col, words)
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     links = _verified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), known, words, percent)
     roots = cut_lineage(components(links))
@@ -389,7 +398,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _verified(texts: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
-    clusters = cut_lineage(clustered(known))
+    clusters = cut_lineage(clustered(texts, words, percent))
     members = known.join(clusters.withColumnRenamed("node", "s1"), "s1").groupBy(F.col("root").alias("cluster"), "s1", "s2")
     members = cut_lineage(members.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
     size = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where("sets > 1")
