@@ -37,11 +37,12 @@ def access_tables(
     """All result tables of the access analysis, by name.
 
     `zones` maps homes to `grid_id` and `zone_key`. Every table is built from the trips
-    after the thresholds, written once.
+    after the thresholds.
     """
-    C.assert_covered(trips.select("service").filter(F.col("service").isin(services)), weights)
+    if without := set(services) - set(weights):
+        raise ValueError(f"no weight for {sorted(without)}")
     kept = trips.filter((F.col("neighbor") == 1) & F.col("service").isin(services))
-    kept = cut_lineage(C.null_over_threshold(kept, max_wait, max_duration))
+    kept = C.null_over_threshold(kept, max_wait, max_duration)
     homes = cut_lineage(zones)
     tables = {
         "service_summary": A.service_summary(kept),

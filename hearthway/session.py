@@ -27,7 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table below the shared folder."""
-    return f"{shared_folder(spark)}/hearthway/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Where the written steps of this application lie."""
+    return f"{shared_folder(spark)}/hearthway/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the written steps of this application, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(pathlib.Path(__file__).parent.parent))
 
+from hearthway.session import clear_scratch  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,4 +21,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
