@@ -29,7 +29,7 @@ from hearthway.llm.shared import as_bytes, byte_chunks, components, fetch_rows,
 from hearthway.session import cut_lineage
 
 #: Sizes of a class of sets differ by this factor at most.
-CLASS_RATIO = 1.5
+CLASS_RATIO = 1.25
 #: Shingles of the sets that one task holds at a time, about.
 BLOCK_SHINGLES = 2_000_000
 #: Bits of a token bitmap, and children of a node.
