@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,23 @@ from hearthway.llm.shared import as_texts, byte_chunks, mix64, worker_latest
 SPACE = "▁"
 #: Stands for U+2581 itself while a text is cut; a lone surrogate occurs in no text.
 MARK = "\udc81"
-#: Words with the spaces before them; line ends are apart where no piece holds one.
-UNIT, LINE_UNIT = (re.compile(f"{SPACE}*[^{SPACE}{x}]+|{SPACE}+{y}") for x, y in (("", ""), ("\n", "|\n+")))
-VARIANTS = 4
-KEPT_UNITS = 300_000
+LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", ".,!?%$&|*#;:\"')("
+VARIANTS = 2
+KEPT_UNITS = 500_000
+
+
+def units_of(pieces: dict) -> re.Pattern:
+    """A pattern of words with the spaces before them, cut further where no piece crosses.
+
+    Line ends stand apart if no piece holds one, and a mark behind a letter begins anew if no piece has the two.
+    """
+    all_pieces = "\n\n".join(pieces)
+    line = "" if any("\n" in p for p in pieces) else "\n"
+    marks = "".join(m for m in MARKS if not re.search(LETTER + re.escape(m), all_pieces))
+    rest = f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+|{line or SPACE}+"
+    if not marks:
+        return re.compile(rest)
+    return re.compile(f"{SPACE}*[^{SPACE}{line}{re.escape(marks)}]*{LETTER}(?=[{re.escape(marks)}])|{rest}")
 
 
 class PieceEncoder:
@@ -63,7 +77,7 @@ class PieceEncoder:
             raise ValueError("the model has no pieces for bytes, so it cannot encode every text")
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("the model joins words, which are encoded one by one here")
-        self.cut = UNIT if any("\n" in p for p in self.pieces) else LINE_UNIT
+        self.cut = units_of(self.pieces)
         self.known: dict[tuple[str, int], bytes] = {}
 
     def unit(self, unit: str, variant: int) -> list[int]:
@@ -71,38 +85,37 @@ class PieceEncoder:
         symbols = list(unit)
         n = len(symbols)
         after, before, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        key = unit.encode("utf-8", "surrogatepass")
-        pieces, agenda = self.pieces, []
-
-        def candidate(a: int) -> None:
-            b = after[a]
-            if b < n and (found := pieces.get(symbols[a] + symbols[b])):
-                end = stop[b]
-                if self.rate:
-                    place = key + a.to_bytes(4, "little") + b.to_bytes(4, "little") + end.to_bytes(4, "little") + bytes([variant])
-                    if xxhash.xxh32_intdigest(place, self.seed & 0xFFFFFFFF) < self.rate:
-                        return
-                heapq.heappush(agenda, (-found[0], a, b, end))
-
-        for a in range(n - 1):
-            candidate(a)
-        while agenda:
-            _, a, b, end = heapq.heappop(agenda)
-            if not symbols[a] or not symbols[b] or after[a] != b or stop[b] != end:
-                continue
+        get, push, rate, agenda = self.pieces.get, heapq.heappush, self.rate, []
+        keyed = xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass") + bytes([variant]), self.seed & 0xFFFFFFFF) if rate else 0
+        fresh = range(n - 1)
+        while True:
+            for a in fresh:
+                b = after[a]
+                if b < n and (found := get(symbols[a] + symbols[b])):
+                    end = stop[b]
+                    # The draw of a candidate: its place, mixed with the keyed hash of the word.
+                    if rate:
+                        draw = ((keyed ^ (a * 0x9E3779B1 + b * 0x85EBCA6B + end * 0xC2B2AE35)) * 0x27D4EB2D) & 0xFFFFFFFF
+                        if ((draw ^ (draw >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) < rate:
+                            continue
+                    push(agenda, (-found[0], a, b, end))
+            while agenda:
+                _, a, b, end = heapq.heappop(agenda)
+                if symbols[a] and symbols[b] and after[a] == b and stop[b] == end:
+                    break
+            else:
+                break
             symbols[a] += symbols[b]
             symbols[b] = ""
             stop[a] = end
-            after[a] = after[b]
-            if after[b] < n:
-                before[after[b]] = a
-            if before[a] >= 0:
-                candidate(before[a])
-            candidate(a)
+            after[a] = b = after[b]
+            if b < n:
+                before[b] = a
+            fresh = (before[a], a) if before[a] >= 0 else (a,)
         ids = []
         for s in symbols:
-            if s in pieces:
-                ids.append(pieces[s][1])
+            if s in self.pieces:
+                ids.append(self.pieces[s][1])
             elif s:
                 ids += [self.byte_ids[x] for x in (SPACE if s == MARK else s).encode()]
         return ids
@@ -127,7 +140,7 @@ class PieceEncoder:
             key = (units[w // VARIANTS], w % VARIANTS)
             ids = self.known.get(key)
             if ids is None:
-                ids = np.asarray(self.unit(*key), np.int32).tobytes()
+                ids = array("i", self.unit(*key)).tobytes()
                 if len(ids) <= 256:
                     self.known[key] = ids
             coded.append(ids)
