@@ -136,7 +136,7 @@ def zone_profile(
     """
     measures = trip_measures(trips) if measures is None else measures
     located = attach_zone(
-        trips.select("source_id", "service", *measures), zone_map.select("source_id", zone_key)
+        of_neighbor(trips, neighbor).select("source_id", "service", *measures), zone_map.select("source_id", zone_key)
     )
     cells = located.groupBy(zone_key, "service").agg(
         *[F.avg(m).alias(m) for m in measures],

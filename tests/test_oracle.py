@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
+TABLES += ["pages", "benchmark", "labels", "conversations"]
 
 
 @pytest.fixture(scope="module")
