@@ -22,10 +22,16 @@ from hearthway.operators.ranking import grouped_quantiles, quantiles
 from hearthway.session import cut_lineage
 
 
+def dataset_keys(trips: DataFrame) -> list[str]:
+    """What tells the trip tables apart: the service, and the neighbour where the table has it."""
+    return ["service"] + ["neighbor"] * ("neighbor" in trips.columns)
+
+
 def service_summary(trips: DataFrame) -> DataFrame:
-    """Per service: smallest, mean, largest and median times, median and largest transfers."""
+    """Per service and neighbour: smallest, mean, largest and median times, median and largest transfers."""
+    keys = dataset_keys(trips)
     measures = {"duration_min": "duration", "wait_time_dest_min": "wait_time", "transfers": "transfers"}
-    simple = trips.groupBy("service").agg(
+    simple = trips.groupBy(*keys).agg(
         *[
             function(column).alias(f"{prefix}_{name}")
             for column, name in list(measures.items())[:2]
@@ -33,28 +39,28 @@ def service_summary(trips: DataFrame) -> DataFrame:
         ],
         F.max("transfers").cast("int").alias("max_transfers"),
     )
-    long = trips.select("service", *[F.col(c).cast("double").alias(n) for c, n in measures.items()]).unpivot(
-        ["service"], list(measures.values()), "measure", "value"
+    long = trips.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in measures.items()]).unpivot(
+        keys, list(measures.values()), "measure", "value"
     )
     medians = widen(
-        grouped_quantiles(long, ["service", "measure"], "value", [0.5]).withColumnRenamed("quantile", "median"),
-        ["service"],
+        grouped_quantiles(long, [*keys, "measure"], "value", [0.5]).withColumnRenamed("quantile", "median"),
+        keys,
         "measure",
         list(measures.values()),
         ["median"],
     )
     named = medians.select(
-        "service",
+        *keys,
         F.col("duration_median").alias("median_duration"),
         F.col("wait_time_median").alias("median_wait_time"),
         F.col("transfers_median").cast("int").alias("median_transfers"),
     )
-    return simple.join(named, "service", "left")
+    return simple.join(named, keys, "left")
 
 
 def connection_counts(trips: DataFrame) -> DataFrame:
-    """Solved and unsolved rows and mean times per service, before any threshold."""
-    return trips.groupBy("service").agg(
+    """Solved and unsolved rows and mean times per service and neighbour, before any threshold."""
+    return trips.groupBy(*dataset_keys(trips)).agg(
         F.count_if(F.col("duration_min").isNotNull()).alias("solved"),
         F.count_if(F.col("duration_min").isNull()).alias("unsolved"),
         F.avg("duration_min").alias("mean_duration"),

@@ -36,15 +36,16 @@ def access_tables(
 ) -> dict[str, DataFrame]:
     """All result tables of the access analysis, by name.
 
-    `zones` maps homes to `grid_id` and `zone_key`. Every table is built from the trips
-    after the thresholds.
+    `zones` maps homes to `grid_id` and `zone_key`. Connections are counted before the thresholds and
+    everything else after them. The summaries list every neighbour; the other tables take the nearest.
     """
     if without := set(services) - set(weights):
         raise ValueError(f"no weight for {sorted(without)}")
-    kept = trips.filter((F.col("neighbor") == 1) & F.col("service").isin(services))
-    kept = C.null_over_threshold(kept, max_wait, max_duration)
+    wanted = trips.filter(F.col("service").isin(services))
+    kept = C.null_over_threshold(wanted, max_wait, max_duration)
     homes = cut_lineage(zones)
     tables = {
+        "connection_counts": A.connection_counts(wanted),
         "service_summary": A.service_summary(kept),
         "hex_travel_times": A.zone_profile(kept, homes, "grid_id", services=services),
         "municipal_travel_times": A.zone_profile(kept, homes, zone_key, services=services),

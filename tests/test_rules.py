@@ -191,3 +191,21 @@ def test_pivoted_helpers_keep_every_key(spark):
 def test_silhouette_needs_two_clusters(spark):
     with pytest.raises(ValueError):
         L.silhouette_scores(spark.range(3), [1, 2])
+
+
+def test_neighbours_are_told_apart(spark, tmp_path):
+    from hearthway.operators import aggregates as A
+    from hearthway.sources.trips import read_trips, write_trips
+
+    rows = [(k, s, n, float(10 * n + k), 1.0, 1) for k in range(3) for s in ("school2", "school") for n in (1, 2)]
+    trips = spark.createDataFrame(rows, "source_id long, service string, neighbor int, duration_min double, wait_time_dest_min double, transfers int")
+    write_trips(trips, str(tmp_path))
+    read = read_trips(spark, str(tmp_path), ["school", "school2"], neighbors=2)
+    columns = trips.columns
+    assert sorted(map(tuple, read.select(columns).collect())) == sorted(rows)
+    found = {(r.service, r.neighbor): (r.mean_duration, r.median_duration) for r in A.service_summary(read).collect()}
+    assert found == {(s, n): (10 * n + 1.0, 10 * n + 1.0) for s in ("school", "school2") for n in (1, 2)}
+    assert {(r.service, r.neighbor, r.solved) for r in A.connection_counts(read).collect()} == {(s, n, 3) for s in ("school", "school2") for n in (1, 2)}
+    weighted = A.weighted_time(read.withColumn("total_time_min", read.duration_min), ["school"], {"school": 2.0, "school2": 1.0}, neighbor=2)
+    assert {r.school_2_travel_time for r in weighted.collect()} == {20.0, 21.0, 22.0}
+    assert {r.total_duration for r in A.total_times(read).collect()} == {20.0, 22.0, 24.0}
