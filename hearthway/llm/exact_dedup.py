@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthway.llm import fuse
-from hearthway.llm.shared import as_bytes, fetch_rows, free_name, worker_release
+from hearthway.llm.shared import as_bytes, fetch_rows, free_name, trimmed, worker_release
 from hearthway.session import cut_lineage
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -50,7 +50,7 @@ def with_digest(docs: DataFrame, text: str, name: str = "text_sha256", body: str
                 arrays.append(pa.array(plain, pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.mapInArrow(add, schema)
+    return docs.mapInArrow(trimmed(add), schema)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, stored: Column) -> DataFrame:
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, stored: Column) ->
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "stored", "digest", "n_bytes", "n_chars", "route"])
 
-    rows = cut_lineage(narrow.mapInArrow(scan, schema))
+    rows = cut_lineage(narrow.mapInArrow(trimmed(scan), schema))
     # The number of a row is fixed once the rows are written.
     return cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
 

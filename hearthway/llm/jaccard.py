@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthway.llm.shared import as_bytes, byte_chunks, components, fetch_rows, forest, mix64, worker_release
+from hearthway.llm.shared import as_bytes, byte_chunks, components, fetch_rows, forest, mix64, trimmed, worker_release
 from hearthway.session import cut_lineage
 
 #: Sizes of a class of sets differ by this factor at most.
@@ -133,7 +133,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                     names=["doc_id", "n_shingles", "s1", "s2"],
                 )
 
-    return cut_lineage(narrow.mapInArrow(scan, f"doc_id {kind}, n_shingles long, s1 long, s2 long"))
+    return cut_lineage(narrow.mapInArrow(trimmed(scan), f"doc_id {kind}, n_shingles long, s1 long, s2 long"))
 
 
 def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def clustered(texts: DataFrame, words: int, percent: int) -> DataFrame:
         parts = Parts(percent)
         for batch in batches:
             bodies = as_bytes(batch.column(0))
-            for some in byte_chunks(bodies, 4 << 20):
+            for some in byte_chunks(bodies, 2 << 20):
                 held: dict[int, np.ndarray] = {}
                 for few in byte_chunks(bodies[some], 1 << 20):
                     sets = shingle_sets(bodies[some][few], words)
@@ -210,7 +210,7 @@ def clustered(texts: DataFrame, words: int, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(leaf, pa.int64())], names=["a", "b"])
 
     schema = "bucket long, nodes array<long>, counts array<int>, keys array<long>, a array<long>, b array<long>"
-    return components(narrow.mapInArrow(emit, schema).repartition("bucket").mapInArrow(tie, "a long, b long"))
+    return components(narrow.mapInArrow(trimmed(emit), schema).repartition("bucket").mapInArrow(trimmed(tie), "a long, b long"))
 
 
 class SignatureTree:
@@ -374,7 +374,7 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
             yield flush(held)
 
     narrow = rows.select("cluster", "task", "s1", "s2", "asked", "label", F.col("text").cast("binary").alias("body"))
-    return narrow.repartition("cluster", "task").sortWithinPartitions("cluster", "task").mapInPandas(run, "a long, b long")
+    return narrow.repartition("cluster", "task").sortWithinPartitions("cluster", "task").mapInPandas(trimmed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthway.llm.shared import as_texts, byte_chunks, free_name, worker_latest
+from hearthway.llm.shared import as_texts, byte_chunks, free_name, trimmed, worker_latest
 from hearthway.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                     names=["kind", "lang", "item", "n"],
                 )
 
-    counted = narrow.mapInArrow(count, "kind string, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
+    counted = narrow.mapInArrow(trimmed(count), "kind string, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
     counted = cut_lineage(counted)
     texts = {x["lang"]: x["n"] for x in counted.where("kind = 'text'").collect()}
     languages = sorted(texts)
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: tuple, text_col: str = "text", names: tuple[
                 part = batch.slice(some.start, some.stop - some.start)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthway.llm.shared import as_bytes, byte_chunks, running_total
+from hearthway.llm.shared import as_bytes, byte_chunks, running_total, trimmed
 from hearthway.llm.tokens import encoder
 from hearthway.session import cut_lineage
 
@@ -48,7 +48,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str | Non
         before: dict[str, int] = {}
         for batch in batches:
             texts = as_bytes(batch.column(2))
-            for some in byte_chunks(texts, 8 << 20):
+            for some in byte_chunks(texts, 2 << 20):
                 ids = [x.tobytes() + closing for x in own.encode(texts[some])]
                 sources = batch.column(1)[some.start : some.stop].to_pylist()
                 sizes = [len(x) // own.kind.itemsize for x in ids]
@@ -62,7 +62,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str | Non
                     names=names,
                 )
 
-    return cut_lineage(narrow.mapInArrow(encode, "doc_id long, source string, part int, start long, n long, ids binary"))
+    return cut_lineage(narrow.mapInArrow(trimmed(encode), "doc_id long, source string, part int, start long, n long, ids binary"))
 
 
 def muldiv(x: np.ndarray, y: int, z: int) -> np.ndarray:
@@ -188,7 +188,7 @@ def pack(
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in arrays]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(bodies, pa.binary())] * with_ids, names=names)
 
-    return rows.join(base, ["source", "part"]).select("doc_id", "source", "n", "start", "ids", "queue", "base").mapInArrow(cut, schema)
+    return rows.join(base, ["source", "part"]).select("doc_id", "source", "n", "start", "ids", "queue", "base").mapInArrow(trimmed(cut), schema)
 
 
 def _width(rows: DataFrame) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthway.llm.shared import as_texts
+from hearthway.llm.shared import as_texts, trimmed
 
 #: In the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "token", "hexkey")
@@ -211,7 +211,7 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
             arrays[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    out = docs.mapInArrow(scan, docs.schema)
+    out = docs.mapInArrow(trimmed(scan), docs.schema)
     if size_col in docs.columns:
         changed = F.length(text_col).cast(docs.schema[size_col].dataType)
         out = out.withColumn(size_col, F.when(F.col(text_col).isNull(), F.col(size_col)).otherwise(changed))

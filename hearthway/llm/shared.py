@@ -41,12 +41,27 @@ def worker_latest(slot: str, key: str, make: Callable[[], object]) -> object:
 
 def worker_release() -> None:
     """Drop what earlier operators left in this worker."""
-    held = worker_cache("latest", dict)
-    if held:
-        held.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    worker_cache("latest", dict).clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back, so that idle workers do not hold what busy ones need."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """The function of a task, with its memory given back at the end."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -14,7 +14,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Words longer than this are encoded each time and not remembered.
 LONGEST_KEPT = 48
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 class Encoder:

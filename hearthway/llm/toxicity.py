@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthway.llm.language_id import held_out
-from hearthway.llm.shared import as_texts, fetch_rows, worker_latest
+from hearthway.llm.shared import as_texts, fetch_rows, trimmed, worker_latest
 from hearthway.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+")
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             found = [sorted(features(x)) for x in as_texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["toxic", "features"])
 
-    sets = cut_lineage(sample.mapInArrow(count, "toxic boolean, features array<string>"))
+    sets = cut_lineage(sample.mapInArrow(trimmed(count), "toxic boolean, features array<string>"))
     sizes = {x["toxic"]: x["n"] for x in sets.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     texts = {flag: max(1, sizes.get(flag, 0)) for flag in (True, False)}
     each = sets.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, id_col:
             scores = own.score(texts) if own else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(trimmed(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
