@@ -31,7 +31,7 @@ from hearthway.session import cut_lineage
 #: Sizes of a class of sets differ by this factor at most.
 CLASS_RATIO = 1.25
 #: Shingles of the sets that one task holds at a time, about.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 500_000
 #: Bits of a token bitmap, and children of a node.
 BITS, FAN = 2048, 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
