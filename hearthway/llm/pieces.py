@@ -36,7 +36,7 @@ SPACE = "▁"
 MARK = "\udc81"
 LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", ".,!?%$&|*#;:\"')("
 VARIANTS = 2
-KEPT_UNITS = 500_000
+KEPT_UNITS = 1_200_000
 
 
 def units_of(pieces: dict) -> re.Pattern:
