@@ -1,16 +1,20 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 The pieces and scores of a BPE model drive an agenda: the best-scoring merge of neighbours goes first,
-leftmost among equals. Dropout skips a candidate merge when a keyed hash of the seed, the word, its variant and
-the candidate's place falls below the rate, so one seed gives one segmentation, on any machine and however often a task
-is repeated, and another seed another. An occurrence of a word takes one of `VARIANTS` variants by a keyed
-hash of the document and its place in it. All ids are pieces of the model, and decoding gives the
-text back exactly. Without dropout the ids are those of the model's own encoder.
+leftmost among equals. Dropout skips a candidate merge when a keyed hash of the seed, the document, the word's place
+in it and the candidate's place in the word falls below the rate. Every occurrence of a word thus has draws of its own,
+one seed gives one segmentation, on any machine and however often a task is repeated, and another seed another.
+All ids are pieces of the model, and decoding gives the text back exactly. Without dropout the ids are those of
+the model's own encoder.
+
+Occurrences of words of one length run side by side in numpy: each step takes the best candidate left in each of them.
+What pieces a word holds is looked up once and remembered. Long words, words with characters without a piece and
+lengths that few words have run one by one, with the same draws.
 
 Characters without a piece become bytes. The mark U+2581, which stands for a space in pieces, is written as
 bytes where it occurs in a text, so that it is not read as a space. Null and empty texts have no ids and
-decode to an empty text. Very long words are handled in time n log n. Rows with null ids and repeated rows
-are encoded like others. Empty tables give empty results. Other columns are ignored.
+decode to an empty text. Very long words are handled in time n log n. Rows with null ids are encoded like others and
+draw by their text; repeated rows have the same ids. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +39,14 @@ SPACE = "▁"
 #: Stands for U+2581 itself while a text is cut; a lone surrogate occurs in no text.
 MARK = "\udc81"
 LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", ".,!?%$&|*#;:\"')("
-VARIANTS = 2
-KEPT_UNITS = 1_200_000
+#: Words a worker remembers before it starts anew, the longest of them, and the fewest and most that run side by side.
+KEPT_WORDS, LONGEST, FEWEST, MOST = 500_000, 40, 12, 1 << 15
+#: The draw of a candidate: its place, mixed with the hash of the occurrence.
+PLACE, TURN, WRAP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), (1 << 64) - 1
+NEVER = np.int64(1 << 62)
+#: The parts of a word of each length, by begin and stop; and where those of each begin lie, but for the stop.
+SPANS = [[slice(a, e) for a in range(n) for e in range(a + 1, n + 1)] for n in range(LONGEST + 1)]
+ROWS = [np.array([a * n - a * (a + 1) // 2 - 1 for a in range(n)], np.int64) for n in range(LONGEST + 1)]
 
 
 def units_of(pieces: dict) -> re.Pattern:
@@ -78,25 +88,31 @@ class PieceEncoder:
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("the model joins words, which are encoded one by one here")
         self.cut = units_of(self.pieces)
-        self.known: dict[tuple[str, int], bytes] = {}
+        # Places of pieces in the order of the agenda; equal scores have one place, so that the leftmost goes first.
+        order = sorted({-score for score, _ in self.pieces.values()})
+        place = {score: k for k, score in enumerate(order)}
+        self.order = np.zeros(len(self.bytes_of), np.int64)
+        for score, k in self.pieces.values():
+            self.order[k] = place[-score] << 8
+        self.id_of = {piece: k for piece, (_, k) in self.pieces.items()}
+        self.known: dict[str, bytes] = {}
 
-    def unit(self, unit: str, variant: int) -> list[int]:
-        """Ids of one word with the spaces before it."""
+    def unit(self, unit: str, key: int = 0) -> list[int]:
+        """Ids of one word with the spaces before it, for the occurrence with this hash."""
         symbols = list(unit)
         n = len(symbols)
         after, before, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         get, push, rate, agenda = self.pieces.get, heapq.heappush, self.rate, []
-        keyed = xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass") + bytes([variant]), self.seed & 0xFFFFFFFF) if rate else 0
+        (pa, pb, pe), (ta, tb) = PLACE, TURN
         fresh = range(n - 1)
         while True:
             for a in fresh:
                 b = after[a]
                 if b < n and (found := get(symbols[a] + symbols[b])):
                     end = stop[b]
-                    # The draw of a candidate: its place, mixed with the keyed hash of the word.
                     if rate:
-                        draw = ((keyed ^ (a * 0x9E3779B1 + b * 0x85EBCA6B + end * 0xC2B2AE35)) * 0x27D4EB2D) & 0xFFFFFFFF
-                        if ((draw ^ (draw >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) < rate:
+                        draw = ((key ^ ((a * pa + b * pb + end * pe) & WRAP)) * ta) & WRAP
+                        if ((draw ^ (draw >> 32)) * tb & WRAP) >> 32 < rate:
                             continue
                     push(agenda, (-found[0], a, b, end))
             while agenda:
@@ -120,35 +136,102 @@ class PieceEncoder:
                 ids += [self.byte_ids[x] for x in (SPACE if s == MARK else s).encode()]
         return ids
 
+    def held(self, word: str) -> bytes:
+        """The ids of the pieces between its places, as in `SPANS`, -1 without one; nothing if the word has to run alone."""
+        found = self.known.get(word)
+        if found is None:
+            found = b""
+            if len(word) <= LONGEST and all(map(self.pieces.__contains__, word)):
+                found = array("i", map(self.id_of.get, map(word.__getitem__, SPANS[len(word)]), repeat(-1))).tobytes()
+            self.known[word] = found
+        return found
+
+    def candidates(self, table: np.ndarray, n: int, base: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of candidates in the agenda; `NEVER` where there is no piece or it is dropped."""
+        piece = table[base + ROWS[n][a] + end]
+        out = self.order[piece] | a
+        out[piece < 0] = NEVER
+        if self.rate:
+            draw = a.astype(np.uint64) * np.uint64(PLACE[0]) + b.astype(np.uint64) * np.uint64(PLACE[1]) + end.astype(np.uint64) * np.uint64(PLACE[2])
+            draw ^= own
+            draw *= np.uint64(TURN[0])
+            draw ^= draw >> np.uint64(32)
+            draw *= np.uint64(TURN[1])
+            out[(draw >> np.uint64(32)) < np.uint64(self.rate)] = NEVER
+        return out
+
+    def side_by_side(self, table: np.ndarray, n: int, base: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of words of n characters in order: word, begin, stop. `table`, `base`: what the words hold, and where."""
+        size = len(base)
+        # Where the symbol that begins at a place stops (0: none begins), and where the one that stops there begins.
+        stop = np.repeat(np.arange(1, n + 1)[:, None], size, 1)
+        begin = np.repeat(np.arange(-1, n)[:, None], size, 1)
+        ones = np.ones(size, np.int64)
+        agenda = np.full((n, size), NEVER)
+        for a in range(n - 1):
+            agenda[a] = self.candidates(table, n, base, own, ones * a, ones * (a + 1), ones * (a + 2))
+        live = np.arange(size)
+        while len(live):
+            best = agenda.min(axis=0)
+            on = np.flatnonzero(best != NEVER)
+            if len(on) < len(live):
+                live, best, agenda, base, own = live[on], best[on], agenda[:, on], base[on], own[on]
+            column = np.arange(len(live))
+            a = best & 255
+            b = stop[a, live]
+            end = stop[b, live]
+            stop[a, live], stop[b, live], begin[end, live] = end, 0, a
+            agenda[a, column] = agenda[b, column] = NEVER
+            some = np.flatnonzero(end < n)
+            left, right = a[some], end[some]
+            agenda[left, some] = self.candidates(table, n, base[some], own[some], left, right, stop[right, live[some]])
+            some = np.flatnonzero(a > 0)
+            left, right = begin[a[some], live[some]], a[some]
+            agenda[left, some] = self.candidates(table, n, base[some], own[some], left, right, end[some])
+        which, at = np.nonzero(stop.T)
+        return which, at, stop[at, which]
+
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text; `keys` choose the variants of its words."""
+        """Ids of each text; `keys` are hashes of the documents."""
         split = [self.cut.findall(f"{SPACE}{x.replace(SPACE, MARK).replace(' ', SPACE)}") if x else [] for x in texts]
         flat: dict[str, int] = {}
         where = np.fromiter((flat.setdefault(u, len(flat)) for x in split for u in x), np.int64)
         sizes = np.array([len(x) for x in split], np.int64)
         ends = np.cumsum(sizes)
         place = np.arange(len(where)) - np.repeat(ends - sizes, sizes)
-        variant = np.zeros(len(where), np.int64)
-        if self.rate:
-            variant = (mix64(np.repeat(keys.astype(np.uint64), sizes) + place.astype(np.uint64)) % np.uint64(VARIANTS)).astype(np.int64)
-        wanted, back = np.unique(where * VARIANTS + variant, return_inverse=True)
-        units = list(flat)
-        if len(self.known) > KEPT_UNITS:
+        own = mix64(np.repeat(mix64(keys.astype(np.uint64) ^ np.uint64(self.seed & WRAP)), sizes) + place.astype(np.uint64))
+        if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        coded = []
-        for w in wanted.tolist():
-            key = (units[w // VARIANTS], w % VARIANTS)
-            ids = self.known.get(key)
-            if ids is None:
-                ids = array("i", self.unit(*key)).tobytes()
-                if len(ids) <= 256:
-                    self.known[key] = ids
-            coded.append(ids)
-        lengths = np.fromiter((len(x) // 4 for x in coded), np.int64, len(coded))
-        pool = np.frombuffer(b"".join(coded), np.int32)
-        counts = lengths[back]
+        units = list(flat)
+        tables = [self.held(x) for x in units]
+        length = np.fromiter((len(x) if t else 0 for x, t in zip(units, tables)), np.int64, len(units))[where]
+        order = np.argsort(length, kind="stable")
+        edges = np.searchsorted(length[order], np.arange(LONGEST + 2))
+        counts = np.zeros(len(where), np.int64)
+        done, alone = [], [order[: edges[1]]]
+        for n in range(1, LONGEST + 1):
+            group = order[edges[n] : edges[n + 1]]
+            if len(group) < FEWEST:
+                alone.append(group)
+                continue
+            for low in range(0, len(group), MOST):
+                some = group[low : low + MOST]
+                mine, back = np.unique(where[some], return_inverse=True)
+                table = np.frombuffer(b"".join(tables[k] for k in mine.tolist()), np.int32)
+                base = back * (n * (n + 1) // 2)
+                which, at, stop = self.side_by_side(table, n, base, own[some])
+                counts[some] = np.bincount(which, minlength=len(some))
+                done.append((some, table[base[which] + ROWS[n][at] + stop]))
+        for k in np.concatenate(alone).tolist():
+            ids = self.unit(units[where[k]], int(own[k]))
+            counts[k] = len(ids)
+            done.append((np.array([k]), ids))
         stops = np.cumsum(counts)
-        out = pool[np.repeat((np.cumsum(lengths) - lengths)[back] - (stops - counts), counts) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        out = np.empty(int(stops[-1]) if len(stops) else 0, np.int32)
+        for some, ids in done:
+            long = counts[some]
+            after = np.cumsum(long)
+            out[np.repeat(stops[some] - after, long) + np.arange(after[-1])] = ids
         edges = np.concatenate([[0], stops])
         return [out[edges[e - s] : edges[e]] for s, e in zip(sizes, ends)]
 
@@ -159,7 +242,7 @@ class PieceEncoder:
 
 def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """A row per document: id, n_ids, ids_crc32, decoded_chars, decoded_sha256 of the decoded ids, and the ids themselves."""
-    narrow = docs.select(F.col(id_col), F.coalesce(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(0)).alias("_key"), F.col(text_col).alias("_text"))
+    narrow = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)), F.lit(seed)).alias("_key"), F.col(text_col).alias("_text"))
     schema = T.StructType([narrow.schema.fields[0]]).add("n_ids", "long").add("ids_crc32", "long").add("decoded_chars", "long").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -168,7 +251,7 @@ def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0,
         own = worker_latest("piece_encoder", f"{model} {rate} {seed}", lambda: PieceEncoder(model, rate, seed))
         for batch in batches:
             texts, keys = as_texts(batch.column(2)), batch.column(1).to_numpy()
-            for some in byte_chunks(texts, 2 << 20):
+            for some in byte_chunks(texts, 1 << 20):
                 ids = own.encode(texts[some], keys[some])
                 decoded = [own.decode(x) for x in ids]
                 arrays = [

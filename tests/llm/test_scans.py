@@ -9,6 +9,7 @@ import sentencepiece
 from hearthway.llm.chat import PARTS, escape, format_conversations, read_conversations, unescape
 from hearthway.llm.pieces import PieceEncoder, decode_pieces, encode_pieces
 from hearthway.llm.secret_scan import der_items, find_secrets, redact, redacted, scan_secrets
+from hearthway.llm.shared import mix64
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -137,3 +138,20 @@ def test_parts_become_placeholders(spark):
     assert [(a["type"], a["ref"], a["tokens"]) for a in first["attachments"]] == [("image", "i1", 3), ("audio", "a1", 25), ("document", "d1", 1536)]
     assert all(first["formatted"][a["place"] :].startswith(f"<|{a['type']}|>") for a in first["attachments"]) and first["expanded_tokens"] == 1564
     assert second["formatted"] == "[OUT]  </s>" and second["loss_start"] == second["loss_end"]
+
+
+def test_occurrences_of_a_word_draw_on_their_own():
+    import numpy as np
+
+    text = " ".join(["together", "some", "日本", "x" * 60] * 1500)
+    own = PieceEncoder(MODEL, 0.1, 7)
+    words = own.cut.findall("▁" + text.replace(" ", "▁"))
+    ids, other = own.encode([text, text], np.array([3, 4]))
+    assert own.decode(ids) == own.decode(other) == text and ids.tolist() != other.tolist()
+    runs = [own.unit(w, int(k)) for w, k in zip(words, mix64(np.repeat(mix64(np.array([3]) ^ 7), len(words)) + np.arange(len(words), dtype=np.uint64)))]
+    assert ids.tolist() == [x for run in runs for x in run]
+    # A word with more than one way to be cut has many, and the plain one as often as no candidate on its way is dropped.
+    ways = [tuple(run) for run, w in zip(runs, words) if w == "▁together"]
+    assert len(set(ways)) > 10
+    short = [len(own.unit("of", int(k))) for k in mix64(np.arange(4000))]
+    assert abs(np.mean(np.array(short) == 2) - 0.1) < 0.02
