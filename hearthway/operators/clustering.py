@@ -21,6 +21,7 @@ from hearthway.operators.columns import with_global
 from hearthway.operators.ranking import quantiles
 from hearthway.operators.reshape import sample_rows, unpivot_long
 from hearthway.operators.equi import equi_join
+from hearthway.session import cut_lineage
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -112,46 +113,52 @@ def silhouette_scores(
     return df.sparkSession.createDataFrame(rows, "k int, run int, score double")
 
 
-MAX_SILHOUETTE_SAMPLE = 20_000
+#: Rows of a block of the Euclidean silhouette.
+SILHOUETTE_BLOCK = 2_000
 
 
-def silhouette_euclidean(labelled: DataFrame, sample: int, seed: int, key: str) -> float:
-    """Mean Euclidean silhouette of `sample` random rows among themselves.
+def silhouette_euclidean(labelled: DataFrame, sample: int, seed: int, key: str) -> float | None:
+    """Mean Euclidean silhouette of `sample` random rows among themselves; 0 takes all rows.
 
-    The sample, whose size is an argument and is checked, goes to every task as a matrix;
-    the rows whose distances are taken stay distributed.
+    Rows are written in blocks of one cluster each, and every block meets every other in a join, so
+    neither a task nor the driver holds more than two blocks. Each pair of blocks gives the sums of
+    distances of the rows of one to the rows of the other. The work grows with the square of
+    the rows, which is what the measure is made of. Fewer than two clusters have no silhouette.
     """
-    if sample > MAX_SILHOUETTE_SAMPLE:
-        raise ValueError(f"a Euclidean silhouette takes at most {MAX_SILHOUETTE_SAMPLE} rows")
     chosen = sample_rows(labelled.select(key, "label", vector_to_array("features").alias("v")), sample, seed, key)
-    local = chosen.toPandas()
-    matrix, labels = np.array(local["v"].tolist()), local["label"].to_numpy()
-    shared = labelled.sparkSession.sparkContext.broadcast((matrix, labels))
+    rows = cut_lineage(chosen.select("label", "v").withColumn("row", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    if sizes.count() < 2:
+        return None
+    blocks = -(-rows.count() // SILHOUETTE_BLOCK)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(blocks)))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, owners = shared.value
-        clusters, sizes = np.unique(owners, return_counts=True)
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.array(frame["v"].tolist())
+        return pd.DataFrame({"label": frame["label"].iloc[:1], "part": frame["part"].iloc[:1], "size": [len(frame)], "rows": [frame["row"].to_numpy(np.int64).tobytes()], "v": [matrix.tobytes()]})
+
+    packed = cut_lineage(dealt.groupBy("label", "part").applyInPandas(pack, "label int, part long, size int, rows binary, v binary"))
+    other = packed.select(F.col("label").alias("other"), F.col("size").alias("others"), F.col("v").alias("w"))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty or len(clusters) < 2:
-                continue
-            rows = np.array(batch["v"].tolist())
-            # Distances from inner products, in blocks, so memory does not grow with the dimensions.
-            sums = np.empty((len(rows), len(clusters)))
-            for low in range(0, len(rows), 500):
-                some = rows[low : low + 500]
-                squares = (some**2).sum(axis=1)[:, None] + (points**2).sum(axis=1) - 2 * some @ points.T
-                gaps = np.sqrt(np.maximum(squares, 0))
-                sums[low : low + 500] = np.stack([gaps[:, owners == c].sum(axis=1) for c in clusters], axis=1)
-            at = np.searchsorted(clusters, batch["label"].to_numpy())
-            index = np.arange(len(rows))
-            inside = sums[index, at] / np.maximum(sizes[at] - 1, 1)
-            means = sums / sizes
-            means[index, at] = np.inf
-            outside = means.min(axis=1)
-            value = (outside - inside) / np.maximum(inside, outside)
-            yield pd.DataFrame({"s": np.where(sizes[at] == 1, 0.0, value)})
-
-    return chosen.mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
+            for r in batch.itertuples():
+                some, points = np.frombuffer(r.v).reshape(r.size, -1), np.frombuffer(r.w).reshape(r.others, -1)
+                sums = np.empty(len(some))
+                for low in range(0, len(some), 500):
+                    mine = some[low : low + 500]
+                    squares = (mine**2).sum(axis=1)[:, None] + (points**2).sum(axis=1) - 2 * mine @ points.T
+                    sums[low : low + 500] = np.sqrt(np.maximum(squares, 0)).sum(axis=1)
+                yield pd.DataFrame({"row": np.frombuffer(r.rows, np.int64), "label": r.label, "other": r.other, "d": sums})
+
+    pairs = packed.repartition(max(1, min(blocks * blocks, 200))).crossJoin(other)
+    sums = pairs.mapInPandas(measure, "row long, label int, other int, d double").groupBy("row", "label", "other").agg(F.sum("d").alias("d"))
+    inside = F.max(F.when(F.col("other") == F.col("label"), F.col("d") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("inside")
+    outside = F.min(F.when(F.col("other") != F.col("label"), F.col("d") / F.col("n"))).alias("outside")
+    alone = F.max((F.col("other") == F.col("label")) & (F.col("n") == 1)).alias("alone")
+    scored = sums.join(sizes.withColumnRenamed("label", "other"), "other").groupBy("row").agg(inside, outside, alone)
+    value = F.try_divide(F.col("outside") - F.col("inside"), F.greatest("inside", "outside"))
+    return scored.agg(F.avg(F.when(F.col("alone"), 0.0).otherwise(F.coalesce(value, F.lit(0.0))))).first()[0]
 
 
 def kmeans_assign(df: DataFrame, k: int = settings.CLUSTERS, seed: int = 13) -> DataFrame:

@@ -178,7 +178,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("silhouette_spread")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = L.silhouette_scores(vectors(spark, sf_dir), [6, 7], iterations=2, sample=400, key="vec_id")
+    scores = L.silhouette_scores(vectors(spark, sf_dir), list(range(6, 12)), iterations=10)
     return R.score_spread(scores)
 
 

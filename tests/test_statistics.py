@@ -209,6 +209,33 @@ def test_euclidean_silhouette_by_hand(spark):
     assert found == pytest.approx(((10 - 2) / 10 + (8 - 2) / 8 + 0 + 0) / 4)
 
 
+def test_euclidean_silhouette_of_all_rows_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "SILHOUETTE_BLOCK", 30)
+    draw = random.Random(8)
+    rows = [(i, i % 3, draw.gauss(i % 3, 1), draw.gauss(0, 1)) for i in range(200)] + [(200, 7, 9.0, 9.0)] + [(k, 8, 5.0, 5.0) for k in (201, 202)]
+    df = L.features(spark.createDataFrame(rows, "id int, label int, a double, b double"), ["a", "b"]).repartition(3)
+    points, labels = np.array([r[2:] for r in rows]), np.array([r[1] for r in rows])
+    gaps = np.sqrt(((points[:, None] - points) ** 2).sum(axis=2))
+    want = []
+    for k, c in enumerate(labels):
+        inside = gaps[k, labels == c].sum() / max((labels == c).sum() - 1, 1)
+        outside = min(gaps[k, labels == o].mean() for o in set(labels) - {c})
+        want.append(0 if (labels == c).sum() == 1 else (outside - inside) / max(inside, outside))
+    assert L.silhouette_euclidean(df, 0, 1, "id") == pytest.approx(np.mean(want))
+    # More rows than were taken before.
+    assert L.silhouette_euclidean(df, 30_000, 1, "id") == pytest.approx(np.mean(want))
+
+
+def test_silhouette_spread_scores_all_rows_in_full(spark, monkeypatch):
+    from hearthway.plans import queries_statistics as Q
+    from hearthway.plans.registry import QUERIES
+
+    calls = []
+    monkeypatch.setattr(Q.L, "silhouette_scores", lambda df, ks, iterations=10, seed=13, sample=0, key=None: calls.append((list(ks), iterations, sample)) or spark.createDataFrame([(k, 0, 0.5) for k in ks], "k int, run int, score double"))
+    assert QUERIES["silhouette_spread"](spark, "/root/testdata/sf0.001").count() == 6
+    assert calls == [([6, 7, 8, 9, 10, 11], 10, 0)]
+
+
 def test_pca_scores_are_centred(blobs):
     scores = L.pca_project(blobs).toPandas()
     assert abs(scores.pc1.mean()) < 1e-9 and scores.pc1.std() > scores.pc2.std()
