@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthway import settings
 from hearthway.functions import geometry as G
 from hearthway.functions.hexes import ROOT3
 from hearthway.operators import aggregates as A
+from hearthway.operators import columns as C
 from hearthway.operators import grid
 from hearthway.operators import joins as J
 from hearthway.operators import neighbours as N
@@ -255,7 +257,15 @@ UNION_SQL = """select i, j from v_edges union select i, j from (
    (select grid_id, avg(x) as x, avg(y) as y from v_hex group by grid_id) b where a.grid_id <> b.grid_id) p) q where rn <= 3"""
 
 
+def zone_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queen neighbours and nearest centroids of the hexagons."""
+    cells = hex_cells(spark, sf_dir)
+    centres = C.centroids(cells).select("grid_id", "x", "y")
+    return N.weights_union(N.queen_weights(cells), N.knn_weights(centres, settings.KNN_NEIGHBOURS))
+
+
 def combined_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of `UNION_SQL`, which takes three neighbours of mean home positions."""
     near = N.knn_weights(cell_homes(spark, sf_dir), 3)
     return N.weights_union(N.queen_weights(hex_cells(spark, sf_dir)), near)
 

@@ -15,7 +15,7 @@ from hearthway.operators import reshape as R
 from hearthway.plans import views as V
 from hearthway.plans.analysis import autocorrelation_suite
 from hearthway.plans.queries_aggregates import AREA, GROUPED, grouped_zones, profile
-from hearthway.plans.queries_joins import UNION_SQL, combined_weights, hex_map
+from hearthway.plans.queries_joins import UNION_SQL, combined_weights, hex_map, zone_weights
 from hearthway.plans.registry import query
 
 TOTALS = ["avg_total_duration", "avg_total_wait_time", "avg_total_time"]
@@ -128,7 +128,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in ["duration_min", "total_time_min"]
     }
     return autocorrelation_suite(
-        profile(spark, sf_dir), hex_totals(spark, sf_dir), weighted, combined_weights(spark, sf_dir), permutations=999
+        profile(spark, sf_dir), hex_totals(spark, sf_dir), weighted, zone_weights(spark, sf_dir), permutations=999
     )
 
 
