@@ -16,7 +16,7 @@ cut into many pieces. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from hearthway.session import cut_lineage
 
 #: Chunks per window: the smallest unit of the mixture.
 CHUNKS = 4
-#: Queues with own proportions; the smaller sources beyond share the last queue.
+#: So many queues are known to every task; the places of more are found as a table, in the same order.
 MOST_QUEUES = 256
+#: Chunks of a queue that one row stands for until they are dealt out.
+RUN = 1 << 16
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str | None, tokenizer: str, ranks: str | None, closing_id: int) -> DataFrame:
@@ -117,25 +119,35 @@ def muldiv_negative(x: np.ndarray, y: int, z: int) -> np.ndarray:
 
 def pieces_of(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
     """Cut documents (queue, begin in its queue, size): row, start in the document, length, global place."""
-    step = schedule.chunk
+
+    def places(row: np.ndarray, chunk: np.ndarray, low: np.ndarray) -> np.ndarray:
+        place = np.empty(len(row), np.int64)
+        of, step = queue[row], schedule.chunk
+        for q in np.unique(of):
+            mine = np.flatnonzero(of == q)
+            c = chunk[mine]
+            full = schedule.chunks[q]
+            inner = c < full
+            place[mine[inner]] = schedule.ranks(q, c[inner]) * step + low[mine[inner]] - c[inner] * step
+            place[mine[~inner]] = schedule.tail[q] + low[mine[~inner]] - full * step
+        return place
+
+    return cut_pieces(schedule.window, begin, size, places)
+
+
+def cut_pieces(window: int, begin: np.ndarray, size: np.ndarray, places: Callable) -> tuple[np.ndarray, ...]:
+    """Cut documents by the places of their chunks (row, chunk, begin in its queue)."""
+    step = window // CHUNKS
     first, last = begin // step, (begin + size - 1) // step
     count = last - first + 1
     row = np.repeat(np.arange(len(begin)), count)
     chunk = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
     low = np.maximum(chunk * step, begin[row])
     high = np.minimum((chunk + 1) * step, (begin + size)[row])
-    place = np.empty(len(row), np.int64)
-    of = queue[row]
-    for q in np.unique(of):
-        mine = np.flatnonzero(of == q)
-        c = chunk[mine]
-        full = schedule.chunks[q]
-        inner = c < full
-        place[mine[inner]] = schedule.ranks(q, c[inner]) * step + low[mine[inner]] - c[inner] * step
-        place[mine[~inner]] = schedule.tail[q] + low[mine[~inner]] - full * step
+    place = places(row, chunk, low)
     start, length = low - begin[row], high - low
     # Only the tail can cross a window's end.
-    end = (place // schedule.window + 1) * schedule.window
+    end = (place // window + 1) * window
     over = np.flatnonzero(place + length > end)
     cut = end[over] - place[over]
     at = over + 1
@@ -143,11 +155,60 @@ def pieces_of(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, size: np
     length[over + np.arange(len(over))] = cut
     # Neighbours that lie side by side in one window are one piece.
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + length[:-1]) | (place[1:] % schedule.window == 0)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + length[:-1]) | (place[1:] % window == 0)
     heads = np.flatnonzero(new)
     return row[heads], start[heads], np.add.reduceat(length, heads) if len(heads) else length, place[heads]
 
 
+def chunk_places(totals: DataFrame, window: int, weights: dict[str, float] | None) -> tuple[DataFrame, DataFrame]:
+    """The schedule of any number of queues as tables: (source, full, tail) and (source, chunk, rank).
+
+    The order of all chunks is that of the round, the queue and the chunk, so ranks are running totals. Weights of
+    sources without rows do not count.
+    """
+    spark = totals.sparkSession
+    step = window // CHUNKS
+    sized = totals.select("source", "n", F.floor(F.col("n") / step).alias("full"), (F.col("n") % step).alias("rest"), (-F.col("n")).alias("_less"), F.lit(1).cast("long").alias("_one"))
+    numbered = running_total(sized, ["_less", "source"], "_one", "queue")
+    tails = running_total(numbered, ["queue"], "rest", "before")
+    all_chunks = tails.agg(F.sum("full")).first()[0] or 0
+    rounds = max(1, -(-all_chunks // CHUNKS))
+    if weights is None:
+        tails = tails.withColumn("quantum", F.greatest("full", F.lit(1)))
+    else:
+        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()] or [("", 0.0)], "source string, weight double")
+        tails = cut_lineage(tails.join(given, "source", "left").fillna(0.0, ["weight"]))
+        unit = CHUNKS * rounds / max(tails.agg(F.sum("weight")).first()[0] or 0.0, 1e-300)
+        tails = tails.withColumn("quantum", F.greatest(F.bround(F.col("weight") * unit).cast("long"), F.lit(1)))
+    runs = tails.where("full > 0").select("source", "queue", "quantum", "full", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1, F.lit(RUN).cast("long"))).alias("low"))
+    chunks = runs.repartition("source", "low").select("source", "queue", "quantum", F.explode(F.sequence("low", F.least(F.col("low") + RUN, F.col("full")) - 1)).alias("chunk"))
+
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # The round in which the credit first covers the chunk.
+            turn = -muldiv_negative(batch.column("chunk").to_numpy() + 1, rounds, batch.column("quantum").to_numpy()) - 1
+            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("queue"), batch.column("chunk"), pa.array(turn, pa.int64()), pa.array(np.ones(len(turn), np.int64))], names=["source", "queue", "chunk", "turn", "_one"])
+
+    timed = chunks.mapInArrow(turns, "source string, queue long, chunk long, turn long, _one long")
+    ranks = running_total(timed, ["turn", "queue", "chunk"], "_one", "rank").select("source", "chunk", "rank")
+    return tails.select("source", "full", (F.col("before") + all_chunks * step).alias("tail")), ranks
+
+
+def with_places(rows: DataFrame, parts: DataFrame, totals: DataFrame, window: int, weights: dict[str, float] | None) -> DataFrame:
+    """Documents with their begin in their queue and the places of all chunks that they touch, in order."""
+    step, key = window // CHUNKS, ["source", "part", "start"]
+    tails, ranks = chunk_places(totals, window, weights)
+    # Running totals over all sources, less that of the source's first part.
+    sums = running_total(parts, ["source", "part"], "n", "sum")
+    begins = sums.join(sums.groupBy("source").agg(F.min("sum").alias("first")), "source").select("source", "part", (F.col("sum") - F.col("first")).alias("base"))
+    slim = rows.select(*key, "n").join(begins, ["source", "part"]).join(tails, "source").withColumn("begin", F.col("base") + F.col("start"))
+    touched = slim.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("begin") / step), F.floor((F.col("begin") + F.col("n") - 1) / step))))
+    at = F.coalesce(F.col("rank") * step, F.col("tail") + (F.col("chunk") - F.col("full")) * step)
+    placed = touched.join(ranks, ["source", "chunk"], "left").select(*key, "begin", F.struct("chunk", at.alias("at")).alias("c"))
+    listed = placed.groupBy(*key).agg(F.first("begin").alias("begin"), F.transform(F.array_sort(F.collect_list("c")), lambda c: c["at"]).alias("places"))
+    return rows.join(listed, key).select("doc_id", "source", "n", "ids", "begin", "places")
+
+
 def pack(
     docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
     window: int = 1024, closing_id: int = 0, weights: dict[str, float] | None = None, with_ids: bool = False,
@@ -161,25 +222,33 @@ def pack(
     rows = tokenized(docs, id_col, text_col, source_col, tokenizer, ranks, closing_id)
     parts = cut_lineage(rows.groupBy("source", "part").agg(F.sum("n").alias("n")))
     totals = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    largest = [(x["source"], x["n"]) for x in totals.orderBy(F.desc("n"), "source").limit(MOST_QUEUES - 1).collect()]
-    rest = (totals.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in largest)
-    tokens = [n for _, n in largest] + [rest]
-    listed = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(largest)], "source string, queue int")
-    share = None if weights is None else [weights.get(s, 0.0) for s, _ in largest] + [weights.get("", 0.0)]
-    schedule = Schedule(tokens, window, share)
-    before = np.concatenate([[0], np.cumsum(tokens)[:-1]]).tolist()
-
-    placed = parts.join(F.broadcast(listed), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(largest))))
-    base = running_total(placed, ["queue", "source", "part"], "n", "base").select("source", "part", "queue", "base")
+    largest = [(x["source"], x["n"]) for x in totals.orderBy(F.desc("n"), "source").limit(MOST_QUEUES + 1).collect()]
+    many = len(largest) > MOST_QUEUES
+    if many:
+        placed = with_places(rows, parts, totals, window, weights)
+    else:
+        tokens = [n for _, n in largest]
+        share = None if weights is None else [weights.get(s, 0.0) for s, _ in largest]
+        schedule = Schedule(tokens, window, share)
+        before = np.concatenate([[0], np.cumsum(tokens)[:-1]]).astype(np.int64)
+        listed = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(largest)], "source string, queue int")
+        numbered = parts.join(F.broadcast(listed), "source")
+        base = running_total(numbered, ["queue", "source", "part"], "n", "base").select("source", "part", "queue", "base")
+        placed = rows.join(base, ["source", "part"]).select("doc_id", "source", "n", "start", "ids", "queue", "base")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + (", ids binary" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
     wide = _width(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            queue, size = batch.column("queue").to_numpy(), batch.column("n").to_numpy()
-            begin = batch.column("base").to_numpy() + batch.column("start").to_numpy() - np.asarray(before, np.int64)[queue]
-            row, start, length, place = pieces_of(schedule, queue, begin, size)
+            size = batch.column("n").to_numpy()
+            if many:
+                begin, own = batch.column("begin").to_numpy(), np.asarray(batch.column("places").flatten())
+                row, start, length, place = cut_pieces(window, begin, size, lambda row, chunk, low: own + low - chunk * (window // CHUNKS))
+            else:
+                queue = batch.column("queue").to_numpy()
+                begin = batch.column("base").to_numpy() + batch.column("start").to_numpy() - before[queue]
+                row, start, length, place = pieces_of(schedule, queue, begin, size)
             ids = [np.frombuffer(x, wide).astype("<u4") for x in batch.column("ids").to_pylist()]
             bodies = [ids[r][s : s + n].tobytes() for r, s, n in zip(row, start, length)]
             crc = [zlib.crc32(x) for x in bodies]
@@ -188,7 +257,7 @@ def pack(
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in arrays]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(bodies, pa.binary())] * with_ids, names=names)
 
-    return rows.join(base, ["source", "part"]).select("doc_id", "source", "n", "start", "ids", "queue", "base").mapInArrow(trimmed(cut), schema)
+    return placed.mapInArrow(trimmed(cut), schema)
 
 
 def _width(rows: DataFrame) -> str:

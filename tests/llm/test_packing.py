@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from hearthway.llm import packing
 from hearthway.llm.packing import Schedule, muldiv, muldiv_negative, pack
 from hearthway.llm.tokens import encoder
 
@@ -78,3 +79,14 @@ def test_products_do_not_overflow(x, y, z):
     if x * y // z < 2**62:
         assert muldiv(np.array([x]), y, z)[0] == x * y // z
         assert muldiv_negative(np.array([x]), y, z)[0] == -(-(-x * y // z))
+
+
+def test_more_sources_than_tasks_know_keep_their_proportions(spark, monkeypatch):
+    rows = [(k, "some words to pack " * (40 + 13 * k % 301), f"s{k % 7 if k % 3 else 0}", 0, "x") for k in range(150)] + [(150, "long text " * 3000, "", 0, "x")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+    weights = {"s1": 0.5, "s6": 0.3, "": 0.2}
+    want = [sorted(map(tuple, pack(df, PATH, RANKS, weights=w).collect())) for w in (None, weights)]
+    monkeypatch.setattr(packing, "MOST_QUEUES", 3)
+    monkeypatch.setattr(packing, "RUN", 10)
+    got = [sorted(map(tuple, pack(df, PATH, RANKS, weights=w).collect())) for w in (None, weights)]
+    assert got == want and want[0] != want[1]
