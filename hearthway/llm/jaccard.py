@@ -350,12 +350,13 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links (a, b) within each (cluster, task) of rows with texts."""
 
     def flush(held: list[pd.DataFrame]) -> pd.DataFrame:
-        frame = pd.concat(held, ignore_index=True).drop_duplicates(["s1", "s2", "asked"])
+        frame = pd.concat(held, ignore_index=True).drop_duplicates(["s1", "s2", "asked", "body"], ignore_index=True)
         sets = shingle_sets([x or b"" for x in frame["body"]], words)
         first, second = digests(sets)
         # A row whose id carries several texts comes with each of them; only the described one counts.
         fit = (first == frame["s1"].to_numpy()) & (second == frame["s2"].to_numpy())
-        frame, sets = frame[fit].reset_index(drop=True), [x for x, k in zip(sets, fit) if k]
+        chosen = frame[fit].drop_duplicates(["s1", "s2", "asked"])
+        frame, sets = chosen.reset_index(drop=True), [sets[k] for k in chosen.index]
         asked = frame["asked"].to_numpy(bool)
         node = frame["s1"].to_numpy()
         found = link_sets(sets, percent, frame["label"].to_numpy(), None if not asked.any() else asked)

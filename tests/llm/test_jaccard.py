@@ -59,6 +59,18 @@ def test_components_match_brute_force(spark, words, percent):
     assert got == brute(rows, words, percent)
 
 
+def test_one_id_on_two_texts_with_near_copies(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(0, 40, 2):
+        for side in (0, 1):
+            words = [f"v{rng.randrange(400)}" for _ in range(120)]
+            rows += [(k, " ".join(words)), (1000 + k + side, " ".join([*words[:-1], "other"]))]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(df, words=3, percent=90).collect()), key=str)
+    assert got == brute(rows, 3, 90)
+
+
 def test_blocks_of_large_clusters_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 900)
     rows = list(enumerate(texts(11, bases=6, copies=60)))
