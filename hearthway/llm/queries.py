@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthway.llm import quality
 from hearthway.llm.chat import format_conversations, read_conversations
 from hearthway.llm.exact_dedup import exact_dedup
+from hearthway.llm.filter_audit import audit_documents
 from hearthway.llm.jaccard import near_duplicates
 from hearthway.llm.language_id import identify
 from hearthway.llm.packing import pack
@@ -132,3 +133,34 @@ def op4_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source of a document is its host, the language a path below it."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+
+
+@query(
+    "op11_filter_audit",
+    """
+with marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+  from labels where doc_id is not null group by doc_id),
+t as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as part, min(doc_id) over (partition by coalesce(text, '')) as least from documents),
+w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words from t),
+f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+  case when len(words) < 200 then 1 else 0 end + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+  + case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) then 4 else 0 end
+  + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end + case when w.doc_id > least then 16 else 0 end as failed
+  from w left join marks on w.doc_id = marks.doc_id),
+g as (select part, failed, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, failed),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as a, unnest([1, 2, 4, 8, 16]) as v),
+o as (select p.a || q.a || r.a || s.a || t.a as filter_order, [p.v, q.v, r.v, s.v, t.v] as bits from l p, l q, l r, l s, l t
+  where p.v + q.v + r.v + s.v + t.v = 31 and p.v | q.v | r.v | s.v | t.v = 31),
+k as (select filter_order, cast(step as integer) as step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0) as before from o, range(1, 6) r(step)),
+d as (select part, filter_order, step, bit, sum(case when failed & (before | bit) = 0 then n else 0 end) as kept,
+  sum(case when failed & before = 0 and failed & bit > 0 then n else 0 end) as removed,
+  sum(case when failed & before > 0 and failed & bit > 0 then n else 0 end) as redundant, sum(case when failed = bit then n else 0 end) as unique_fails,
+  sum(case when failed & before = 0 and failed & bit > 0 then good else 0 end) as good_lost,
+  sum(case when failed & before = 0 and failed & bit > 0 then toxic else 0 end) as toxic_lost
+  from k, g group by part, filter_order, step, bit)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+ cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+ cast(sum(removed) over (partition by part, bit) as bigint) as shapley from d""",
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
