@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthway.llm import quality
 from hearthway.llm.chat import format_conversations, read_conversations
 from hearthway.llm.exact_dedup import exact_dedup
+from hearthway.llm.fill_in_middle import fill_in_middle, restore
 from hearthway.llm.filter_audit import audit_documents
 from hearthway.llm.jaccard import near_duplicates
 from hearthway.llm.language_id import identify
@@ -164,3 +165,24 @@ select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as b
 )
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op12_fill_in_middle",
+    """
+with t as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as units, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+  cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from t),
+c as (select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as low, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as high from u),
+f as (select *, case when n = 0 or regexp_matches(text, '<[PSM]>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form,
+  array_to_string(units[1:low], '') as p, array_to_string(units[low + 1:high], '') as m, array_to_string(units[high + 1:n], '') as s from c)
+select doc_id, cast(n as bigint) as n, form, cast(case when form <> 'plain' then length(p) end as bigint) as prefix_chars,
+ cast(case when form <> 'plain' then length(m) end as bigint) as middle_chars,
+ sha256(case form when 'plain' then text when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
+ sha256(text) as restored_sha256 from f""",
+)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the output, and that of the text rebuilt from it."""
+    made = restore(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
