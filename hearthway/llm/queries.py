@@ -13,6 +13,7 @@ from hearthway.llm.chat import format_conversations, read_conversations
 from hearthway.llm.exact_dedup import exact_dedup
 from hearthway.llm.fill_in_middle import fill_in_middle, restore
 from hearthway.llm.filter_audit import audit_documents
+from hearthway.llm.hidden_markov import score_texts
 from hearthway.llm.jaccard import near_duplicates
 from hearthway.llm.language_id import identify
 from hearthway.llm.packing import pack
@@ -186,3 +187,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = restore(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query("op13_hidden_markov")
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id leaves 1 modulo 5 are held out."""
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    return score_texts(table(spark, sf_dir, "documents"), learn)

@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import pytest
+import test_hidden_markov
 import test_jaccard
 import test_packing
 import test_scans
@@ -51,3 +52,5 @@ def test_other_queries_cover_all_documents(spark, documents):
         rows = QUERIES[name](spark, SMALL).collect()
         assert {r["doc_id"] for r in rows} == set(texts) and len(rows) == len(texts)
         assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    scored = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in QUERIES["op13_hidden_markov"](spark, SMALL).collect()), key=str)
+    assert scored == [(*x[:5], round(x[5], 6)) for x in test_hidden_markov.base_rows(documents)]
