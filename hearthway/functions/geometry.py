@@ -78,27 +78,6 @@ def polygon_centroid(edges: Column) -> Column:
     )
 
 
-def point_intersects(edges: Column, x: Column, y: Column) -> Column:
-    """True inside the polygon and on its boundary."""
-
-    def side_of(e: Column) -> Column:
-        return (x - e["ax"]) * (e["by"] - e["ay"]) - (e["bx"] - e["ax"]) * (y - e["ay"])
-
-    def touches(e: Column) -> Column:
-        return (
-            (side_of(e) == 0)
-            & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"]))
-            & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
-        )
-
-    def crosses(e: Column) -> Column:
-        spans = (e["ay"] > y) != (e["by"] > y)
-        return spans & ((side_of(e) < 0) == (e["by"] > e["ay"]))
-
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return odd | F.exists(edges, touches)
-
-
 def distance_to_boundary(edges: Column, x: Column, y: Column) -> Column:
     """Distance from a point to the nearest side."""
 
@@ -131,7 +110,7 @@ def _turns(e: Column, f: Column) -> tuple[Column, Column, Column, Column]:
     )
 
 
-def _meet(e: Column, f: Column) -> Column:
+def sides_meet(e: Column, f: Column) -> Column:
     """Two sides share at least one point."""
     s1, s2, s3, s4 = _turns(e, f)
     return (
@@ -143,35 +122,7 @@ def _meet(e: Column, f: Column) -> Column:
     )
 
 
-def _cross(e: Column, f: Column) -> Column:
+def sides_cross(e: Column, f: Column) -> Column:
     """Two sides cross in a point interior to both."""
     s1, s2, s3, s4 = _turns(e, f)
     return (s1 * s2 < 0) & (s3 * s4 < 0)
-
-
-def polygons_intersect(a: Column, b: Column) -> Column:
-    """Two polygons (as edges) share at least one point."""
-    return (
-        point_intersects(b, a[0]["ax"], a[0]["ay"])
-        | point_intersects(a, b[0]["ax"], b[0]["ay"])
-        | F.exists(a, lambda e: F.exists(b, lambda f: _meet(e, f)))
-    )
-
-
-def polygon_within(a: Column, b: Column) -> Column:
-    """Polygon `a` (as edges) lies inside `b`; shared boundary is allowed.
-
-    Every corner and every side midpoint of `a` is in `b`, no side of one crosses a side
-    of the other, and no corner of `b` lies strictly inside `a`.
-    """
-    corners = F.forall(a, lambda e: point_intersects(b, e["ax"], e["ay"]))
-    middles = F.forall(
-        a, lambda e: point_intersects(b, (e["ax"] + e["bx"]) / 2, (e["ay"] + e["by"]) / 2)
-    )
-    crossing = F.exists(a, lambda e: F.exists(b, lambda f: _cross(e, f)))
-    poking = F.exists(
-        b,
-        lambda f: point_intersects(a, f["ax"], f["ay"])
-        & (distance_to_boundary(a, f["ax"], f["ay"]) > 1e-9),
-    )
-    return corners & middles & ~crossing & ~poking

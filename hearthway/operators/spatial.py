@@ -1,84 +1,26 @@
 """Spatial joins as equi joins on square cells.
 
-Zones are listed under every cell their bounding box meets; a point lies in one cell. The
-join on the cell carries the exact test as a residual condition, so no pair of point and
-zone is met twice and no nested-loop join is planned. Only cells on the border of a zone
-need the exact test. Cells crowded with points are split
-over salts by `skew_join`.
+Polygons are indexed by `polygon_cells`: a row per cell with the few sides that pass it. A point lies in one cell and is tested against
+these sides only. Pairs of polygons meet through the cells their sides share. The cell size follows from the polygons unless it is given.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthway.functions import geometry as G
+from hearthway.operators import polygon_cells as P
 from hearthway.operators.equi import equi_join
 
-CELL_METRES = 5000.0
 
-
-def _cell_range(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
-
-
-def _on_cells(boxes: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    """One row per cell met by the box grown by `margin`."""
-    return boxes.withColumn(
-        "_cx", F.explode(_cell_range(F.col("_minx") - margin, F.col("_maxx") + margin, size))
-    ).withColumn("_cy", F.explode(_cell_range(F.col("_miny") - margin, F.col("_maxy") + margin, size)))
-
-
-def _polygon_cells(zones: DataFrame, key: str, size: float, margin: float = 0.0) -> DataFrame:
-    """(key, cell, _whole, _edges, box): the cells whose points may belong to a polygon.
-
-    A cell without a side of the polygon within `margin` lies wholly inside or wholly
-    outside. Inside, it is marked `_whole` and carries no sides: its points need no test,
-    and the outline is repeated for border cells only. Outside, it is dropped.
-    """
-    cells = _on_cells(_shapes(zones, [key]), size, margin)
-    slack = margin + size * 1e-9
-    x0, y0 = F.col("_cx") * size - slack, F.col("_cy") * size - slack
-    x1, y1 = (F.col("_cx") + 1) * size + slack, (F.col("_cy") + 1) * size + slack
-    border = F.exists(
-        "_edges",
-        lambda e: (F.least(e["ax"], e["bx"]) <= x1)
-        & (F.greatest(e["ax"], e["bx"]) >= x0)
-        & (F.least(e["ay"], e["by"]) <= y1)
-        & (F.greatest(e["ay"], e["by"]) >= y0),
-    )
-    middle = G.point_intersects(F.col("_edges"), (F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size)
-    marked = cells.withColumn("_whole", F.when(border, F.lit(False)).when(middle, F.lit(True)))
-    return marked.filter("_whole is not null").withColumn("_edges", F.when(~F.col("_whole"), F.col("_edges")))
-
-
-def _shapes(zones: DataFrame, keep: list[str], edges: str = "_edges") -> DataFrame:
-    """The columns `keep`, the sides of the outline and its bounding box."""
-    shaped = zones.select(*keep, G.polygon_edges(F.col("rings")).alias(edges))
-    return shaped.withColumns({f"_{name}": value for name, value in G.bounds(F.col(edges)).items()})
-
-
-def _point_cells(points: DataFrame, size: float) -> DataFrame:
-    return points.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
-
-
-def _near_box(margin: float = 0.0) -> Column:
-    return F.col("x").between(F.col("_minx") - margin, F.col("_maxx") + margin) & F.col("y").between(
-        F.col("_miny") - margin, F.col("_maxy") + margin
-    )
-
-
-BOX = ["_minx", "_miny", "_maxx", "_maxy"]
-
-
-def spatial_join(
-    points: DataFrame, zones: DataFrame, key: str, how: str = "left", cell_size: float = CELL_METRES
-) -> DataFrame:
+def spatial_join(points: DataFrame, zones: DataFrame, key: str, how: str = "left", cell_size: float | None = None) -> DataFrame:
     """Points with the key of every polygon they intersect; the boundary counts."""
-    shapes = _polygon_cells(zones, key, cell_size)
-    inside = F.col("_whole") | (_near_box() & G.point_intersects(F.col("_edges"), F.col("x"), F.col("y")))
-    joined = equi_join(_point_cells(points, cell_size), shapes, ["_cx", "_cy"], how, inside)
-    return joined.drop("_cx", "_cy", "_whole", "_edges", *BOX)
+    size = cell_size or P.fitting_size(zones)
+    cells = P.polygon_cells(zones, [key], size)
+    inside = P.covers(F.col("_odd"), F.col("_sides"), F.col("x"), F.col("y"), size)
+    joined = equi_join(P.cell_of(points, size), cells, P.CELL, how, inside)
+    return joined.drop(*P.CELL, "_odd", "_sides")
 
 
 def nearest_join(
@@ -87,28 +29,26 @@ def nearest_join(
     key: str,
     max_distance: float,
     point_key: str = "source_id",
-    cell_size: float = CELL_METRES,
+    cell_size: float | None = None,
 ) -> DataFrame:
     """Each point with its nearest polygon within `max_distance`, the lowest key on ties.
 
     Adds `key` and `distance` (0 inside a polygon); both are NULL when nothing is near
-    enough. Where a cell has a single candidate, which is the rule away from borders, the
-    answer stands at once; only points of the other cells are shuffled to compare theirs.
+    enough. A cell lists all polygons its points may belong to, so every point meets one
+    row and has its answer there: points are read once and never shuffled to be compared.
     """
     others = [c for c in points.columns if c != point_key]
-    shapes = _polygon_cells(zones, key, cell_size, max_distance)
-    rivals = shapes.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_rivals"))
-    shapes = shapes.join(rivals, ["_cx", "_cy"])
-    near = F.col("_whole") | _near_box(max_distance)
-    pairs = equi_join(_point_cells(points, cell_size), shapes, ["_cx", "_cy"], "left", near)
-    edges, x, y = F.col("_edges"), F.col("x"), F.col("y")
-    inside = F.col("_whole") | G.point_intersects(edges, x, y)
-    gap = F.when(inside, F.lit(0.0)).otherwise(G.distance_to_boundary(edges, x, y))
-    measured = pairs.withColumn("_gap", gap)
-    reached = F.when(F.col("_gap") <= max_distance, F.struct(F.col("_gap").alias("distance"), F.col(key)))
-    settled = measured.filter("_rivals is null or _rivals = 1").select(point_key, *others, reached.alias("_best"))
-    compared = measured.filter("_rivals > 1").groupBy(point_key, *others).agg(F.min(reached).alias("_best"))
-    best = settled.unionByName(compared)
+    size = cell_size or P.fitting_size(zones, max_distance)
+    candidate = F.struct(F.col(key).alias("key"), F.col("_odd").alias("odd"), F.col("_sides").alias("sides"))
+    cells = P.polygon_cells(zones, [key], size, max_distance).groupBy(*P.CELL).agg(F.collect_list(candidate).alias("_near"))
+    x, y = F.col("x"), F.col("y")
+
+    def reached(c):
+        gap = F.when(P.covers(c["odd"], c["sides"], x, y, size), F.lit(0.0)).otherwise(G.distance_to_boundary(c["sides"], x, y))
+        return F.struct(gap.alias("distance"), c["key"].alias(key))
+
+    measured = F.filter(F.transform("_near", reached), lambda r: r["distance"] <= max_distance)
+    best = equi_join(P.cell_of(points, size), cells, P.CELL, "left").withColumn("_best", F.array_min(measured))
     return best.select(point_key, *others, F.col(f"_best.{key}").alias(key), F.col("_best.distance").alias("distance"))
 
 
@@ -118,7 +58,7 @@ def assign_zone(
     key: str,
     fallback: float = 300.0,
     point_key: str = "source_id",
-    cell_size: float = CELL_METRES,
+    cell_size: float | None = None,
 ) -> DataFrame:
     """One row per point with the zone it lies in, else the nearest within `fallback`.
 
@@ -127,61 +67,71 @@ def assign_zone(
     return nearest_join(points, zones, key, fallback, point_key, cell_size).drop("distance")
 
 
-def intersecting_zones(zones: DataFrame, others: DataFrame, key: str, cell_size: float = CELL_METRES) -> DataFrame:
-    """Keys of the zones that share a point with any polygon of `others`."""
-    left = _on_cells(_shapes(zones, [key]), cell_size)
-    right = _on_cells(_shapes(others, [], "_edges2"), cell_size).withColumnsRenamed({c: f"{c}2" for c in BOX})
-    overlap = (
-        (F.col("_minx") <= F.col("_maxx2"))
-        & (F.col("_maxx") >= F.col("_minx2"))
-        & (F.col("_miny") <= F.col("_maxy2"))
-        & (F.col("_maxy") >= F.col("_miny2"))
-    )
-    meets = overlap & G.polygons_intersect(F.col("_edges"), F.col("_edges2"))
-    return equi_join(left, right, ["_cx", "_cy"], "left_semi", meets).select(key).distinct()
+def _ring_starts(zones: DataFrame, keep: list[str]) -> DataFrame:
+    """One point of every ring."""
+    return zones.select(*keep, F.explode("rings").alias("_ring")).select(*keep, F.col("_ring")[0]["x"].alias("x"), F.col("_ring")[0]["y"].alias("y"))
+
 
+def intersecting_zones(zones: DataFrame, others: DataFrame, key: str, cell_size: float | None = None) -> DataFrame:
+    """Keys of the zones that share a point with any polygon of `others`.
+
+    Either sides of both meet, in a cell that both pass, or a whole ring lies inside the other polygon, which one of its corners tells.
+    """
+    size = cell_size or max(P.fitting_size(zones), P.fitting_size(others))
+    mine = P.on_cells(P.sides(zones, [key]), size).select(key, *P.CELL, F.struct(*P.SIDE).alias("_side"))
+    theirs = P.on_cells(P.sides(others, []), size).select(*P.CELL, F.struct(*P.SIDE).alias("_other"))
+    meeting = equi_join(mine, theirs, P.CELL, "left_semi", G.sides_meet(F.col("_side"), F.col("_other"))).select(key)
+    named = others.select("rings").withColumn("_id", F.lit(0))
+    inside = spatial_join(_ring_starts(zones, [key]), named, "_id", "left_semi", size).select(key)
+    around = spatial_join(_ring_starts(others, []), zones, key, "inner", size).select(key)
+    return meeting.unionByName(inside).unionByName(around).distinct()
 
-def spatial_semi_join(zones: DataFrame, others: DataFrame, key: str, cell_size: float = CELL_METRES) -> DataFrame:
+
+def spatial_semi_join(zones: DataFrame, others: DataFrame, key: str, cell_size: float | None = None) -> DataFrame:
     return zones.join(intersecting_zones(zones, others, key, cell_size), key, "left_semi")
 
 
-def spatial_anti_join(zones: DataFrame, others: DataFrame, key: str, cell_size: float = CELL_METRES) -> DataFrame:
+def spatial_anti_join(zones: DataFrame, others: DataFrame, key: str, cell_size: float | None = None) -> DataFrame:
     """Zones that touch none of the other polygons, such as a list of islands."""
     return zones.join(intersecting_zones(zones, others, key, cell_size), key, "left_anti")
 
 
-def contained_polygons(polygons: DataFrame, key: str, cell_size: float = CELL_METRES) -> DataFrame:
+def contained_polygons(polygons: DataFrame, key: str, cell_size: float | None = None) -> DataFrame:
     """Keys of polygons that lie inside another polygon of the same table.
 
-    Identical outlines contain each other, so they are settled by a count. What remains is
-    distinct, and looking for one containing polygon is a semi join, which stops at the
-    first match. A polygon is looked up through its first corner, in a single cell.
+    Identical outlines contain each other, so they are settled by a count. Of the others, polygon a lies in b if
+    all corners and middles of sides of a are in b, no side crosses one of b, and no corner of b lies properly
+    inside a. The first is a count per pair over points that each meet one cell; the others look only
+    at the pairs that are left, through the cells of b and of a.
     """
+    size = cell_size or P.fitting_size(polygons)
     outline = polygons.select(key, "rings")
     copies = outline.groupBy("rings").agg(F.count(F.lit(1)).alias("_copies"))
     repeated = copies.filter("_copies > 1").select("rings")
     twins = outline.join(repeated, "rings", "left_semi").select(key)
 
     distinct = outline.groupBy("rings").agg(F.min(key).alias(key))
-    inner = _shapes(distinct, [key]).withColumns(
-        {
-            "_cx": F.floor(F.col("_edges")[0]["ax"] / cell_size),
-            "_cy": F.floor(F.col("_edges")[0]["ay"] / cell_size),
-        }
-    )
-    outer = _on_cells(_shapes(distinct, [F.col(key).alias("_outer")], "_edges2"), cell_size).withColumnsRenamed(
-        {c: f"{c}2" for c in BOX}
-    )
-    boxed = (
-        (F.col("_minx") >= F.col("_minx2"))
-        & (F.col("_maxx") <= F.col("_maxx2"))
-        & (F.col("_miny") >= F.col("_miny2"))
-        & (F.col("_maxy") <= F.col("_maxy2"))
+    lines = P.sides(distinct, [key])
+    spots = F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))))
+    probes = lines.select(F.col(key).alias("_inner"), spots.alias("_spot")).select("_inner", "_spot.*")
+    held = spatial_join(probes, distinct, key, "inner", size).filter(F.col("_inner") != F.col(key))
+    counted = held.groupBy("_inner", F.col(key).alias("_outer")).agg(F.count(F.lit(1)).alias("_held"))
+    needed = probes.groupBy("_inner").agg(F.count(F.lit(1)).alias("_needed"))
+    pairs = counted.join(needed, "_inner").filter("_held = _needed").select("_inner", "_outer")
+
+    listed = P.on_cells(lines, size).select(key, *P.CELL, F.struct(*P.SIDE).alias("_side"))
+    inner = pairs.join(listed.withColumnRenamed(key, "_inner"), "_inner")
+    outer = listed.withColumnsRenamed({key: "_outer", "_side": "_other"})
+    crossing = equi_join(inner, outer, ["_outer", *P.CELL], "left_semi", G.sides_cross(F.col("_side"), F.col("_other"))).select("_inner", "_outer")
+    corners = pairs.join(lines.select(F.col(key).alias("_outer"), F.col("ax").alias("x"), F.col("ay").alias("y")), "_outer")
+    within = P.strictly_inside(F.col("_odd"), F.col("_sides"), F.col("x"), F.col("y"), size) & (
+        F.coalesce(G.distance_to_boundary(F.col("_sides"), F.col("x"), F.col("y")), F.lit(1.0)) > 1e-9
     )
-    within = (F.col(key) != F.col("_outer")) & boxed & G.polygon_within(F.col("_edges"), F.col("_edges2"))
-    nested = equi_join(inner, outer, ["_cx", "_cy"], "left_semi", within).select(key)
+    cells = P.polygon_cells(distinct, [key], size).withColumnRenamed(key, "_inner")
+    poking = equi_join(P.cell_of(corners, size), cells, ["_inner", *P.CELL], "left_semi", within).select("_inner", "_outer")
+    nested = pairs.join(crossing.unionByName(poking), ["_inner", "_outer"], "left_anti").select(F.col("_inner").alias(key))
     return twins.unionByName(nested).distinct()
 
 
-def drop_contained(polygons: DataFrame, key: str, cell_size: float = CELL_METRES) -> DataFrame:
+def drop_contained(polygons: DataFrame, key: str, cell_size: float | None = None) -> DataFrame:
     return polygons.join(contained_polygons(polygons, key, cell_size), key, "left_anti")

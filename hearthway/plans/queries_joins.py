@@ -191,6 +191,31 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("zone_id", "zone_name")
 
 
+@query("spatial_join_slanted", "select source_id, diamond_id from v_points left join (select * from v_diamond_points where distance = 0) d using (source_id)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.spatial_join(V.points(spark, sf_dir), V.diamonds(spark, sf_dir), "diamond_id").select("source_id", "diamond_id")
+
+
+@query(
+    "nearest_join_slanted",
+    """select source_id, arg_min(diamond_id, (distance, diamond_id)) filter (where distance <= 1500) as diamond_id,
+ min(distance) filter (where distance <= 1500) as distance from v_diamond_points group by source_id""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = S.nearest_join(V.points(spark, sf_dir), V.diamonds(spark, sf_dir), "diamond_id", 1500.0)
+    return near.select("source_id", "diamond_id", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "spatial_anti_join_slanted",
+    """select diamond_id from v_diamonds where diamond_id not in (select diamond_id from v_diamonds, v_islands
+ where greatest(minx - mx, 0, mx - maxx) + greatest(miny - my, 0, my - maxy) <= outer_radius
+ and greatest(abs(minx - mx), abs(maxx - mx)) + greatest(abs(miny - my), abs(maxy - my)) >= inner_radius)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.spatial_anti_join(V.diamonds(spark, sf_dir), V.islands(spark, sf_dir), "diamond_id").select("diamond_id")
+
+
 @query("spatial_semi_join", f"select zone_id, zone_name from v_zones where zone_id in ({_TOUCHED})")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = S.spatial_semi_join(V.zones(spark, sf_dir), V.islands(spark, sf_dir), "zone_id")

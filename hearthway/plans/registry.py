@@ -45,6 +45,15 @@ select n_nationkey as zone_id, n_name as zone_name,
 select r_regionkey as island_id, cast(r_regionkey * 21000 + 2000 as double) as minx,
  cast(r_regionkey * 21000 + 6000 as double) as maxx, cast(r_regionkey * 17000 + 1000 as double) as miny,
  cast(r_regionkey * 17000 + 5000 as double) as maxy from region""",
+    "v_diamonds": """
+select n_nationkey as diamond_id, (n_nationkey % 5) * 20004 + 10002 as mx, floor(n_nationkey / 5) * 20004 + 10002 as my,
+ n_nationkey * 150 + 9000 as outer_radius, n_nationkey * 50 + 2000 as inner_radius from nation""",
+    "v_diamond_points": """
+select *, round(case when span > outer_radius then case when abs(dx - dy) <= outer_radius then (span - outer_radius) / sqrt(2.0)
+  else sqrt((greatest(dx, dy) - outer_radius) * (greatest(dx, dy) - outer_radius) + least(dx, dy) * least(dx, dy)) end
+  when span < inner_radius then (inner_radius - span) / sqrt(2.0) else 0 end, 6) as distance from (
+ select source_id, diamond_id, outer_radius, inner_radius, abs(x - mx) as dx, abs(y - my) as dy, abs(x - mx) + abs(y - my) as span
+ from v_points, v_diamonds) s""",
     "v_census": """
 select c_nationkey as zone_id, count(*) as households,
  count(*) filter (where c_mktsegment = 'AUTOMOBILE') as households_with_1_car,

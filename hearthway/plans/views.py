@@ -93,6 +93,18 @@ def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slanted square with a slanted hole per nation; neighbours of large ones overlap."""
+    key, column, row = F.col("n_nationkey"), F.col("n_nationkey") % 5, F.floor(F.col("n_nationkey") / 5)
+
+    def ring(radius, clockwise: bool):
+        steps = [(1, 0), (0, -1), (-1, 0), (0, 1), (1, 0)] if clockwise else [(1, 0), (0, 1), (-1, 0), (0, -1), (1, 0)]
+        x, y = column * 20004 + 10002, row * 20004 + 10002
+        return F.array(*(F.struct((x + a * radius).cast("double").alias("x"), (y + b * radius).cast("double").alias("y")) for a, b in steps))
+
+    return table(spark, sf_dir, "nation").select(key.alias("diamond_id"), F.array(ring(key * 150 + 9000, False), ring(key * 50 + 2000, True)).alias("rings"))
+
+
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment, balance = F.col("c_mktsegment"), F.col("c_acctbal")
     return (

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from hearthway.operators import destinations as D
 from hearthway.operators import grid
 from hearthway.operators import joins as J
 from hearthway.operators import neighbours as N
+from hearthway.operators import polygon_cells as P
 from hearthway.operators import spatial as S
 from hearthway.operators.columns import centroids, polygon_area_km2
 from hearthway.operators.equi import equi_join
@@ -133,6 +135,71 @@ def test_drop_contained(spark):
     assert sorted(r.zone_id for r in left.collect()) == [1, 3, 4]
 
 
+def test_corners_and_sides_on_grid_lines(spark):
+    """Whole and half coordinates: corners, sides and points on borders and corners of cells."""
+    draw = random.Random(8)
+    zones = []
+    for i in range(14):
+        around = sorted((math.atan2(y, x), x, y) for x, y in {(draw.randint(-6, 6), draw.randint(-6, 6)) for _ in range(9)} if x or y)
+        by_angle = {round(a, 9): (x + 3 * (i % 4), y + 3 * (i // 4)) for a, x, y in around}
+        zones.append((i, [ring(*by_angle.values())]))
+    zones.append((14, [ring((0, 0), (8, 0), (8, 8), (0, 8)), list(reversed(ring((2, 2), (6, 2), (6, 6), (2, 6)))), ring((3, 3), (5, 3), (5, 5), (3, 5))]))
+    spots = [(k, x / 2, y / 2) for k, (x, y) in enumerate(itertools.product(range(-18, 40), range(-18, 40)))]
+    df, shapes = spark.createDataFrame(spots, POINT).cache(), spark.createDataFrame(zones, ZONE)
+    hits = {(i, z) for i, x, y in spots for z, rings in zones if inside(rings, x, y)}
+    for size in (1.0, 2.0, 3.5, None):
+        found = S.spatial_join(df, shapes, "zone_id", "inner", size).select("source_id", "zone_id").collect()
+        assert sorted(map(tuple, found)) == sorted(hits)
+    near = {r.source_id: r for r in S.nearest_join(df, shapes, "zone_id", 1.5, cell_size=2.0).collect()}
+    for i, x, y in spots:
+        best = min((gap(rings, x, y), z) for z, rings in zones)
+        assert near[i].zone_id == (best[1] if best[0] <= 1.5 else None)
+
+
+def test_polygon_of_many_sides(spark):
+    corners = 50_000
+    turn = np.arange(corners) * 2 * math.pi / corners
+    far = 9000 + 400 * np.sin(37 * turn) + 50 * np.random.default_rng(1).random(corners)
+    xs, ys = far * np.cos(turn), far * np.sin(turn)
+    zones = spark.createDataFrame([(1, [ring(*zip(xs, ys))])], ZONE)
+    spots = np.random.default_rng(2).uniform(-10_000, 10_000, (400, 2))
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(spots)], POINT)
+    x, y = spots[:, :1], spots[:, 1:]
+    bx, by = np.roll(xs, -1), np.roll(ys, -1)
+    odd = (((ys > y) != (by > y)) & (x < (bx - xs) * (y - ys) / (by - ys) + xs)).sum(axis=1) % 2 == 1
+    cells = P.polygon_cells(zones, ["zone_id"], P.fitting_size(zones))
+    most, held = cells.agg(F.max(F.size("_sides")), F.sum(F.size("_sides"))).first()
+    assert most < 400 and held < 3 * corners
+    assert {r.source_id for r in S.spatial_join(df, zones, "zone_id", "inner").collect()} == set(np.flatnonzero(odd).tolist())
+    near = {r.source_id: r.distance for r in S.nearest_join(df, zones, "zone_id", 300.0).collect()}
+    part = np.clip(((x - xs) * (bx - xs) + (y - ys) * (by - ys)) / ((bx - xs) ** 2 + (by - ys) ** 2), 0, 1)
+    away = np.where(odd, 0, np.hypot(xs + part * (bx - xs) - x, ys + part * (by - ys) - y).min(axis=1))
+    for k, d in enumerate(away):
+        assert near[k] == (pytest.approx(d) if d <= 300 else None)
+    assert S.spatial_anti_join(zones, zones, "zone_id").count() == 0
+
+
+def test_points_are_read_once(spark, shapes, tmp_path):
+    spark.createDataFrame([(1, 2.0, 3.0)], POINT).write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    zones = spark.createDataFrame(shapes, ZONE)
+    for found in (S.assign_zone(points, zones, "zone_id", 30.0), S.spatial_join(points, zones, "zone_id")):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_rings_inside_others_meet(spark):
+    """No side meets: a second part inside the other polygon, and polygons within a hole."""
+    far, near = ring((100, 100), (101, 100), (101, 101), (100, 101)), ring((4, 4), (5, 4), (5, 5), (4, 5))
+    block, hole = ring((0, 0), (10, 0), (10, 10), (0, 10)), list(reversed(ring((3, 3), (7, 3), (7, 7), (3, 7))))
+    parts = spark.createDataFrame([(1, [far, near])], ZONE)
+    assert [r.zone_id for r in S.spatial_semi_join(parts, spark.createDataFrame([(9, [block])], ZONE), "zone_id").collect()] == [1]
+    assert [r.zone_id for r in S.spatial_semi_join(spark.createDataFrame([(9, [block])], ZONE), parts, "zone_id").collect()] == [9]
+    assert S.spatial_semi_join(parts, spark.createDataFrame([(9, [block, hole])], ZONE), "zone_id").count() == 0
+    empty = spark.createDataFrame([(9, None)], ZONE)
+    assert S.spatial_anti_join(parts, empty, "zone_id").count() == 1
+    assert S.spatial_join(spark.createDataFrame([(1, None, 2.0)], POINT), parts, "zone_id").collect()[0].zone_id is None
+
+
 def test_area_and_centroid_respect_holes(spark):
     hole = list(reversed(ring((1000, 1000), (3000, 1000), (3000, 3000), (1000, 3000))))
     zones = spark.createDataFrame([(1, [ring((0, 0), (4000, 0), (4000, 4000), (0, 4000)), hole])], ZONE)
