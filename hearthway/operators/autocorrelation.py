@@ -6,10 +6,8 @@ table, so they share every join.
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
+import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +19,50 @@ from hearthway.operators.equi import equi_join
 from hearthway.session import cut_lineage
 
 QUADRANTS = {1: "HH", 2: "LH", 3: "LL", 4: "HL"}
+#: Numbers of the keyed rearrangement: a prime, multipliers for seed, number and round, and a step. Any other SQL engine gives the same ranks.
+PRIME, KEYS, STEP = 2_147_483_647, (7_368_787, 15_485_863, 32_452_843), (48_271, 12_345)
+#: Rearrangements whose neighbourhood sums one task takes at a time.
+BLOCK = 64
+#: Values in standard units closer than this count as equal.
+EQUAL = 1e-9
+
+
+def rearranged(rank: Column, perm: Column, n: int, seed: int) -> Column:
+    """The rank at which a keyed one-to-one map of 0 .. n - 1 puts `rank`; another map for each `perm`.
+
+    The ranks are read as cells of a table of a x b >= n places. Four rounds shift the row by a keyed function of the column and the column by
+    one of the row, which can be undone, so no two ranks meet. A rank sent to one of the fewer than a places
+    from n on goes through the map again until it is below n; that many places bound the tries.
+    """
+    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    b = max(1, -(-n // a))
+
+    def mixed(x: Column, turn: int, size: int) -> Column:
+        key = (F.lit(seed * KEYS[0] + turn * KEYS[2]) + perm.cast("bigint") * KEYS[1]) % PRIME
+        y = ((x + key) % PRIME * STEP[0] + STEP[1]) % PRIME
+        return (y * y) % PRIME % size
+
+    def once(x: Column) -> Column:
+        row, column = ((x - x % b) / b).cast("bigint"), x % b
+        for turn in (0, 2):
+            row = (row + mixed(column, turn, a)) % a
+            column = (column + mixed(row, turn + 1, b)) % b
+        return row * b + column
+
+    first = once(rank.cast("bigint"))
+    if a * b == n:
+        return first
+    tries = F.sequence(F.lit(1), F.lit(a * b - n))
+    return F.when(first < n, first).otherwise(F.aggregate(tries, first, lambda x, _: F.when(x < n, x).otherwise(once(x))))
+
+
+def _placed(known: DataFrame, columns: list[str], key: str) -> tuple[DataFrame, int]:
+    """(key, _rank, _z0, _z1, ...): values in standard units by rank of the key, written; and how many."""
+    moments = {f"m{i}": F.avg(F.col(f"`{c}`")) for i, c in enumerate(columns)} | {f"s{i}": F.stddev_pop(F.col(f"`{c}`")) for i, c in enumerate(columns)}
+    centred = with_global(known.select(key, *columns), "_all", **moments)
+    z = [F.coalesce(F.try_divide(F.col(f"`{c}`") - F.col("_all")[f"m{i}"], F.col("_all")[f"s{i}"]), F.lit(0.0)).alias(f"_z{i}") for i, c in enumerate(columns)]
+    placed = cut_lineage(global_position(centred.select(key, *z), [key], "_rank"))
+    return placed, placed.count()
 
 
 def spatial_lag(df: DataFrame, edges: DataFrame, columns: list[str], key: str = "grid_id") -> DataFrame:
@@ -83,7 +125,7 @@ def morans_i(
     if not permutations:
         return observed
     simulated = _permuted_moran(known, edges, columns, key, permutations, seed)
-    larger = F.count_if(F.col("sim") >= F.col("moran_i"))
+    larger = F.count_if(F.col("sim") >= F.col("moran_i") - EQUAL)
     return (
         observed.join(simulated, "variable")
         .groupBy("variable", "n", "moran_i", "expected_i")
@@ -96,45 +138,25 @@ def _permuted_moran(
 ) -> DataFrame:
     """(variable, perm, sim): Moran's I of each rearrangement.
 
-    A rearrangement sends the zone at hash rank r to the value at key rank r. Ranks come
-    from range-partitioned slices, so no rearrangement is sorted in one task. The values a
-    zone receives are kept as one array per variable (as long as `permutations`), which
-    lets each edge be joined once for all rearrangements.
+    A rearrangement gives the zone of rank r the value of another rank, by arithmetic on columns. An edge asks for the values of its two ends
+    and adds their product to the sum of its rearrangement: nothing is sorted, and where the values are small
+    enough for Spark to broadcast them, one row per task and rearrangement is shuffled.
     """
-    centred = with_global(known, "_mean", **{f"m{i}": F.avg(F.col(f"`{c}`")) for i, c in enumerate(columns)})
-    centred = centred.select(
-        key, *[(F.col(f"`{c}`") - F.col("_mean")[f"m{i}"]).alias(f"_z{i}") for i, c in enumerate(columns)]
-    )
-    placed = global_position(centred, [key], "_rank")
-    zones = known.agg(F.count(F.lit(1)).alias("n")).scalar()
-    draws = known.select(key, F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
-    draws = draws.withColumn("_draw", F.xxhash64(F.lit(seed), "perm", key))
-    ranked = global_position(draws, ["perm", "_draw", key], "_at").withColumn("_rank", F.col("_at") - F.col("perm") * zones)
-    received = ranked.select(key, "perm", "_rank").join(placed.drop(key), "_rank")
+    placed, zones = _placed(known, columns, key)
     z = [f"_z{i}" for i in range(len(columns))]
-    arrays = received.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("perm", *z))).alias("_all"))
-
-    weights = cut_lineage(row_standardize(edges))
-    first = equi_join(weights, arrays.select(F.col(key).alias("i"), F.col("_all").alias("_at_i")), ["i"])
-    there = arrays.select(F.col(key).alias("j"), F.col("_all").alias("_at_j"))
-    both = equi_join(first, there, ["j"])
-    products = both.select("w", F.explode(F.arrays_zip("_at_i", "_at_j")).alias("p"))
-    sums = products.groupBy(F.col("p._at_i.perm").alias("perm")).agg(
-        F.sum("w").alias("_s0"),
-        *[F.sum(F.col("w") * F.col(f"p._at_i.{c}") * F.col(f"p._at_j.{c}")).alias(c) for c in z],
-    )
-    squares = centred.agg(
-        F.struct(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c) * F.col(c)).alias(c) for c in z]).alias("s")
-    )
-    scaled = sums.withColumn("_all", squares.scalar())
-    rows = [
-        F.struct(
-            F.lit(c).alias("variable"),
-            F.try_divide(F.col("_all.n") * F.col(z[i]), F.col("_s0") * F.col(f"_all.{z[i]}")).alias("sim"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    return scaled.select("perm", F.inline(F.array(*rows)))
+    ends = row_standardize(edges).select("i", "j", "w")
+    for end in ("i", "j"):
+        ends = equi_join(ends, placed.select(F.col(key).alias(end), F.col("_rank").alias(f"_rank_{end}")), [end])
+    ends = cut_lineage(ends.select("w", "_rank_i", "_rank_j"))
+    turned = ends.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    for end in ("i", "j"):
+        turned = turned.withColumn(f"_at_{end}", rearranged(F.col(f"_rank_{end}"), F.col("perm"), zones, seed))
+        values = placed.select(F.col("_rank").alias(f"_at_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in z])
+        turned = equi_join(turned.drop(f"_rank_{end}"), values, [f"_at_{end}"])
+    sums = turned.groupBy("perm").agg(F.sum("w").alias("_s0"), *[F.sum(F.col("w") * F.col(f"{c}_i") * F.col(f"{c}_j")).alias(c) for c in z])
+    # In standard units the squares add up to the number of zones, or to 0 where all values are equal.
+    rows = [F.struct(F.lit(c).alias("variable"), F.try_divide(F.col(z[i]), F.col("_s0")).alias("sim")) for i, c in enumerate(columns)]
+    return sums.select("perm", F.inline(F.array(*rows)))
 
 
 def local_moran(
@@ -198,44 +220,34 @@ def _conditional_p(
 ) -> DataFrame:
     """(key, `{c}_p_sim`...): share of random neighbourhoods at least as extreme.
 
-    All zones share the same random draws: per permutation as many distinct zones as the
-    largest neighbourhood has, plus one that stands in when a zone draws itself. The draws
-    stay a table; the n-th neighbour of a zone takes the n-th draw of every permutation.
+    In rearrangement p the n-th neighbour of a zone (in order of keys) is the zone of the rank to which p sends n; a zone that
+    would be its own neighbour takes the rank behind its last neighbour's instead. The edges of a zone
+    meet the rearrangements in blocks. All of a zone and block are in one task, which sums and compares them there, so a zone with very many neighbours is as many
+    tasks as there are blocks, and only a count per zone and block is shuffled.
     """
+    placed, zones = _placed(known, columns, key)
     z = [f"_z{i}" for i in range(len(columns))]
-    centred = with_global(known.select(key, *columns), "_mean", **{f"m{i}": F.avg(F.col(f"`{c}`")) for i, c in enumerate(columns)})
-    centred = centred.select(
-        key, *[(F.col(f"`{c}`") - F.col("_mean")[f"m{i}"]).alias(z[i]) for i, c in enumerate(columns)]
-    )
-    placed = global_position(centred, [key], "_rank")
-    weights = cut_lineage(row_standardize(between_known(edges, known, key)).select("i", "j", "w"))
-    degrees = weights.groupBy("i").count().agg(F.max("count").alias("k")).first()["k"] or 0
-    zones = known.count()
-    width = min(degrees + 1, zones)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for perm in batch["id"]:
-                ranks = random.Random(f"{seed}-{perm}").sample(range(zones), width)
-                yield pd.DataFrame({"perm": perm, "slot": range(width), "_rank": ranks})
-
-    drawn = known.sparkSession.range(permutations).mapInPandas(draw, "perm bigint, slot int, _rank bigint")
-    rows = cut_lineage(drawn.join(placed, "_rank").select("perm", "slot", F.col(key).alias("_drawn"), *z))
-    spare = rows.where(F.col("slot") == width - 1).select("perm", *[F.col(c).alias(f"_spare{c}") for c in z])
-    draws = rows.join(spare, "perm")
-
-    observed = equi_join(weights, centred.withColumnRenamed(key, "j"), ["j"])
-    observed = observed.groupBy("i").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"_lag{c}") for c in z])
-    observed = observed.join(centred.withColumnRenamed(key, "i"), "i")
-    in_turn = Window.partitionBy("i").orderBy("j")
-    slotted = weights.withColumn("slot", (F.row_number().over(in_turn) - 1).cast("int"))
-    taken = {c: F.when(F.col("_drawn") == F.col("i"), F.col(f"_spare{c}")).otherwise(F.col(c)) for c in z}
-    simulated = equi_join(slotted, draws, ["slot"]).groupBy("i", "perm").agg(
-        *[F.sum(F.col("w") * value).alias(f"_sim{c}") for c, value in taken.items()]
-    )
-    counts = simulated.join(observed, "i").groupBy("i").agg(
-        *[F.count_if(F.col(c) * F.col(f"_sim{c}") >= F.col(c) * F.col(f"_lag{c}")).alias(c) for c in z]
-    )
+    weights = row_standardize(between_known(edges, known, key)).select("i", "j", "w")
+    in_turn, whole = Window.partitionBy("i").orderBy("j"), Window.partitionBy("i")
+    slotted = weights.withColumns({"slot": F.row_number().over(in_turn) - 1, "_size": F.count(F.lit(1)).over(whole)})
+    there = equi_join(slotted, placed.drop("_rank").withColumnRenamed(key, "j"), ["j"])
+    there = there.select("i", "w", "slot", "_size", *[(F.col("w") * F.col(c)).alias(f"_part{c}") for c in z])
+    lags = there.withColumns({f"_lag{c}": F.sum(f"_part{c}").over(whole) for c in z}).drop(*[f"_part{c}" for c in z])
+    observed = cut_lineage(equi_join(lags, placed.withColumnsRenamed({key: "i", **{c: f"_own{c}" for c in z}}), ["i"]))
+
+    blocks = observed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // BLOCK))))
+    first = F.col("_block") * BLOCK
+    perms = F.sequence(first, F.least(first + (BLOCK - 1), F.lit(permutations - 1)))
+    drawn = blocks.repartition("i", "_block").withColumn("perm", F.explode(perms))
+    drawn = drawn.withColumn("_at", rearranged(F.col("slot"), F.col("perm"), zones, seed))
+    # A zone with all others as neighbours has no rank behind the last: its draws are all zones but itself.
+    spare = rearranged(F.least(F.col("_size"), F.lit(zones - 1)), F.col("perm"), zones, seed)
+    drawn = drawn.withColumn("_at", F.when(F.col("_at") == F.col("_rank"), spare).otherwise(F.col("_at"))).drop("_rank")
+    drawn = equi_join(drawn, placed.drop(key).withColumnRenamed("_rank", "_at"), ["_at"])
+    kept = {f"_{name}{c}": F.max(f"_{name}{c}") for c in z for name in ("own", "lag")}
+    sums = drawn.groupBy("i", "_block", "perm").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"_sim{c}") for c in z], *[v.alias(n) for n, v in kept.items()])
+    larger = [F.count_if(F.col(f"_own{c}") * (F.col(f"_sim{c}") - F.col(f"_lag{c}")) >= -EQUAL).alias(c) for c in z]
+    counts = sums.groupBy("i", "_block").agg(*larger).groupBy("i").agg(*[F.sum(c).alias(c) for c in z])
     return counts.select(
         F.col("i").alias(key),
         *[

@@ -60,9 +60,78 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("morans_i_permuted")
+def rearranged_sql(asked: str, sizes: str, seed: int = 13, name: str = "walk") -> str:
+    """Common tables ending in `name` (set, x, perm, v, n): the ranks v to which `M.rearranged` sends the ranks x of `asked` (set, x, perm), with `sizes` (set, n)."""
+
+    def mixed(x: str, turn: int, size: str) -> str:
+        key = f"({seed * M.KEYS[0] + turn * M.KEYS[2]} + perm * {M.KEYS[1]}) % {M.PRIME}"
+        y = f"((({x} + {key}) % {M.PRIME} * {M.STEP[0]} + {M.STEP[1]}) % {M.PRIME})"
+        return f"({y} * {y}) % {M.PRIME} % {size}"
+
+    def once(source: str, value: str) -> str:
+        rounds = f"select *, {value} // b as r0, {value} % b as c0 from {source}"
+        rounds = f"select *, (r0 + {mixed('c0', 0, 'a')}) % a as r1 from ({rounds}) s"
+        rounds = f"select *, (c0 + {mixed('r1', 1, 'b')}) % b as c1 from ({rounds}) s"
+        rounds = f"select *, (r1 + {mixed('c1', 2, 'a')}) % a as r2 from ({rounds}) s"
+        return f"select set, x, perm, n, a, b, r2 * b + (c1 + {mixed('r2', 3, 'b')}) % b as v from ({rounds}) s"
+
+    start = f"""(select asked.set, x, perm, n, a, (n + a - 1) // a as b from ({asked}) asked
+ join (select set, n, cast(ceil(sqrt(n)) as bigint) as a from ({sizes}) sizes) sized on sized.set = asked.set) begun"""
+    return f"""{name}_all as ({once(start, 'x')} union all select set, x, perm, n, a, b, v from ({once(f'(select set, x, perm, n, a, b, v as reached from {name}_all where v >= n) w', 'reached')}) again),
+ {name} as (select * from {name}_all where v < n)"""
+
+
+def moran_p_sql(known: str, edges: str) -> str:
+    """Common tables of both Moran tests for `known` (set, variable, grid_id, v) and `edges` (set, i, j) between known zones.
+
+    p_global (set, variable, n, moran_i, p_sim), p_local (set, variable, grid_id, p_sim, quadrant).
+    """
+    equal = M.EQUAL
+    return f"""known as ({known}), links as ({edges}),
+ places as (select set, grid_id, row_number() over (partition by set order by grid_id) - 1 as rank from (select distinct set, grid_id from known) k),
+ sizes as (select set, count(*) as n from places group by set),
+ units as (select known.set, variable, known.grid_id, rank, coalesce((v - avg(v) over t) / nullif(stddev_pop(v) over t, 0), 0) as z
+  from known join places on places.set = known.set and places.grid_id = known.grid_id window t as (partition by known.set, variable)),
+ slots as (select set, i, j, row_number() over (partition by set, i order by j) - 1 as slot, count(*) over (partition by set, i) as size from links),
+ lags as (select slots.set, variable, i, sum(z / size) as lag from slots join units on units.set = slots.set and grid_id = j group by slots.set, variable, i),
+ perms as (select unnest(range(999)) as perm),
+ {rearranged_sql('select set, rank as x, perm from places, perms', 'select * from sizes')},
+ turned as (select walk.set, variable, perm, x, z from walk join units on units.set = walk.set and rank = v),
+ sums as (select e.set, a.variable, a.perm, sum(a.z * b.z / size) / sum(1.0::double / size) as sim
+  from (select slots.set, size, p.rank as ri, q.rank as rj from slots join places p on p.set = slots.set and p.grid_id = i join places q on q.set = slots.set and q.grid_id = j) e
+  join turned a on a.set = e.set and a.x = ri join turned b on b.set = e.set and b.x = rj and b.variable = a.variable and b.perm = a.perm group by e.set, a.variable, a.perm),
+ observed as (select units.set, units.variable, any_value(n) as n, sum(z * lag) / count(lag) as moran_i from units join sizes on sizes.set = units.set
+  left join lags on lags.set = units.set and i = grid_id and lags.variable = units.variable group by units.set, units.variable),
+ p_global as (select o.set, o.variable, any_value(n) as n, any_value(moran_i) as moran_i,
+  (least(count(*) filter (where sim >= moran_i - {equal}), 999 - count(*) filter (where sim >= moran_i - {equal})) + 1) / 1000.0::double as p_sim
+  from observed o join sums on sums.set = o.set and sums.variable = o.variable group by o.set, o.variable),
+ drawn as (select slots.set, i, own.perm as perm, size, case when own.v = p.rank then spare.v else own.v end as rank, p.rank as rank_i
+  from slots join places p on p.set = slots.set and p.grid_id = i join walk own on own.set = slots.set and own.x = slot
+  join walk spare on spare.set = slots.set and spare.x = size and spare.perm = own.perm),
+ local_sums as (select d.set, variable, i, perm, sum(z / size) as sim from drawn d join units on units.set = d.set and units.rank = d.rank group by d.set, variable, i, perm),
+ p_counts as (select s.set, s.variable, s.i, count(*) filter (where z * (sim - lag) >= -{equal}) as larger from local_sums s
+  join lags on lags.set = s.set and lags.variable = s.variable and lags.i = s.i
+  join units on units.set = s.set and units.variable = s.variable and grid_id = s.i group by s.set, s.variable, s.i),
+ p_local as (select units.set, units.variable, grid_id, (least(larger, 999 - larger) + 1) / 1000.0::double as p_sim,
+  case when z > 0 and coalesce(lag, 0) > 0 then 'HH' when z <= 0 and coalesce(lag, 0) > 0 then 'LH' when z <= 0 then 'LL' else 'HL' end as quadrant
+  from units left join lags on lags.set = units.set and lags.variable = units.variable and lags.i = grid_id
+  left join p_counts c on c.set = units.set and c.variable = units.variable and c.i = grid_id)"""
+
+
+TOTALS_TESTS = moran_p_sql(
+    "select 'total' as set, variable, grid_id, v from (unpivot (select * from v_hex_totals where avg_total_time is not null) on "
+    + ", ".join(TOTALS) + " into name variable value v) u",
+    "select 'total' as set, i, j from v_edges where i in (select grid_id from known) and j in (select grid_id from known)",
+)
+
+
+@query(
+    "morans_i_permuted",
+    f"with recursive {TOTALS_TESTS} select variable, n, round(moran_i, 6) as moran_i, round(-1.0::double / (n - 1), 9) as expected_i, p_sim from p_global",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.morans_i(hex_totals(spark, sf_dir), hex_edges(spark, sf_dir), TOTALS, permutations=999)
+    found = M.morans_i(hex_totals(spark, sf_dir), hex_edges(spark, sf_dir), TOTALS, permutations=999)
+    return found.select("variable", "n", F.round("moran_i", 6).alias("moran_i"), F.round("expected_i", 9).alias("expected_i"), "p_sim")
 
 
 def _local_sql(c: str) -> str:
@@ -88,10 +157,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("grid_id", F.inline(rows))
 
 
-@query("local_moran_permuted")
+@query(
+    "local_moran_permuted",
+    f"""with recursive {TOTALS_TESTS} select grid_id, variable, quadrant, p_sim, case when p_sim < 0.05 then quadrant else 'Non-Significant' end as q,
+ case when p_sim < 0.05 then 'Significant' else 'Non-Significant' end as significance from p_local""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = M.local_moran(hex_totals(spark, sf_dir), hex_edges(spark, sf_dir), TOTALS, permutations=999)
-    return M.significance_label(found, "avg_total_time")
+    for c in TOTALS:
+        found = M.significance_label(found, c)
+    names = {"quadrant": "quadrant", "p_sim": "p_sim", "q": "q", "significance": "significance"}
+    return found.select("grid_id", F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), *[F.col(f"{c}_{n}").alias(n) for n in names]) for c in TOTALS])))
 
 
 @query(

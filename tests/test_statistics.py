@@ -1,5 +1,6 @@
 """Quantiles, Moran statistics and clustering measures."""
 
+import math
 import random
 
 import numpy as np
@@ -121,8 +122,42 @@ def test_local_moran(board):
     assert again == {k: r.trend_p_sim for k, r in found.items()}
 
 
-def test_local_p_values_of_a_hub(spark):
-    """Shared draws, with the spare draw where a zone drew itself, and no bound on neighbours."""
+def sent(rank, perm, n, seed):
+    """The keyed map of ranks, step by step."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def mixed(x, turn, size):
+        y = ((x + (seed * 7_368_787 + turn * 32_452_843 + perm * 15_485_863)) % 2_147_483_647 * 48_271 + 12_345) % 2_147_483_647
+        return y * y % 2_147_483_647 % size
+
+    while True:
+        row, column = divmod(rank, b)
+        for turn in (0, 2):
+            row = (row + mixed(column, turn, a)) % a
+            column = (column + mixed(row, turn + 1, b)) % b
+        rank = row * b + column
+        if rank < n:
+            return rank
+
+
+def test_rearrangements_are_one_to_one(spark):
+    for n in (1, 2, 3, 5, 7, 10, 16, 37, 100, 1009):
+        df = spark.range(n).crossJoin(spark.range(7).withColumnRenamed("id", "perm"))
+        found = {(r.id, r.perm): r.at for r in df.select("id", "perm", M.rearranged(F.col("id"), F.col("perm"), n, 13).alias("at")).collect()}
+        assert found == {(k, p): sent(k, p, n, 13) for k, p in found}
+        for p in range(7):
+            assert sorted(v for (_, q), v in found.items() if q == p) == list(range(n))
+    # Places are even, and neighbouring ranks do not stay neighbours.
+    at = [[sent(k, p, 100, 1) for k in range(100)] for p in range(400)]
+    hits = np.bincount([row[3] for row in at], minlength=100)
+    assert hits.max() < 20
+    assert np.mean([abs(row[k + 1] - row[k]) == 1 for row in at for k in range(99)]) < 0.04
+
+
+def test_local_p_values_of_a_hub(spark, monkeypatch):
+    """Draws by rearrangements, with the spare rank where a zone would draw itself, and no bound on neighbours."""
+    monkeypatch.setattr(M, "BLOCK", 16)
     draw = random.Random(6)
     keys = [f"z{k:03d}" for k in range(80)]
     value = {k: float(draw.randint(0, 64)) for k in keys}
@@ -130,16 +165,25 @@ def test_local_p_values_of_a_hub(spark):
     zones = spark.createDataFrame(list(value.items()), "grid_id string, v double")
     edges = spark.createDataFrame([(i, j, 1.0) for i, near in links.items() for j in near], "i string, j string, w double")
     found = {r.grid_id: r.v_p_sim for r in M.local_moran(zones, edges, ["v"], permutations=60, seed=4).collect()}
-    mean = sum(value.values()) / len(keys)
-    width = len(keys)
-    draws = [[keys[r] for r in random.Random(f"4-{perm}").sample(range(len(keys)), width)] for perm in range(60)]
-    for i in keys:
-        near, z = sorted(links[i]), value[i] - mean
-        lag = sum(value[j] - mean for j in near) / len(near)
-        sims = [sum(value[d[-1] if d[s] == i else d[s]] - mean for s in range(len(near))) / len(near) for d in draws]
-        larger = sum(z * s >= z * lag - 1e-9 for s in sims)
-        smaller = sum(z * s >= z * lag + 1e-9 for s in sims)
-        assert (min(smaller, 60 - larger) + 1) / 61 - 1e-9 <= found[i] <= (max(min(larger, 60 - larger), min(smaller, 60 - smaller)) + 1) / 61 + 1e-9
+    z = np.array(list(value.values()))
+    z = (z - z.mean()) / z.std()
+    for own, i in enumerate(keys):
+        near = sorted(links[i])
+        lag = np.mean([z[keys.index(j)] for j in near])
+        larger = 0
+        for perm in range(60):
+            ranks = [sent(s, perm, 80, 4) for s in range(len(near))]
+            ranks = [sent(len(near), perm, 80, 4) if r == own else r for r in ranks]
+            larger += z[own] * (z[ranks].mean() - lag) >= -1e-9
+        assert found[i] == pytest.approx((min(larger, 60 - larger) + 1) / 61)
+
+
+def test_blocks_of_a_large_hub_are_separate_tasks(spark):
+    spokes = spark.range(1, 20_001).select(F.lit("hub").alias("i"), F.format_string("z%05d", "id").alias("j"), F.lit(1.0).alias("w"))
+    zones = spark.range(20_001).select(F.when(F.col("id") == 0, "hub").otherwise(F.format_string("z%05d", "id")).alias("grid_id"), (F.col("id") % 97).cast("double").alias("v"))
+    found = M.local_moran(zones, spokes, ["v"], permutations=128, seed=2)
+    assert 0 < found.filter("grid_id = 'hub'").first().v_p_sim <= 1
+    assert "Window" not in M._permuted_moran(zones, spokes, ["v"], "grid_id", 9, 1)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_unknown_zones_leave_both_parts_of_the_statistic(spark):
