@@ -11,6 +11,7 @@ from hearthway import settings
 from hearthway.operators import autocorrelation as M
 from hearthway.operators import clustering as L
 from hearthway.operators.columns import drop_missing, names_containing, select_by_substring
+from hearthway.operators.neighbours import isolated_zones, zone_graph
 from hearthway.operators.spatial import spatial_anti_join
 from hearthway.session import cut_lineage
 
@@ -22,40 +23,51 @@ def analysis_table(profile: DataFrame, outlines: DataFrame, islands: DataFrame |
     return located if islands is None else spatial_anti_join(located, islands, key)
 
 
+def variable_sets(profile: DataFrame, totals: DataFrame, weighted: dict[str, DataFrame], key: str = "grid_id") -> dict[str, tuple[DataFrame, list[str]]]:
+    """The zone table and the variables of each analysed set: durations, totals, weighted times."""
+    paired = reduce(
+        lambda a, b: a.join(b, key),
+        [t.select(key, F.col("avg_total_weighted_time").alias(f"weighted_{n}")) for n, t in weighted.items()],
+    )
+    return {
+        "duration": (profile, names_containing(profile, ["duration_min"])),
+        "total": (totals, names_containing(totals, ["total"])),
+        "weighted": (paired, names_containing(paired, ["weighted"])),
+    }
+
+
 def autocorrelation_suite(
     profile: DataFrame,
     totals: DataFrame,
     weighted: dict[str, DataFrame],
-    edges: DataFrame,
+    outlines: DataFrame,
     key: str = "grid_id",
     permutations: int = settings.PERMUTATIONS,
     seed: int = 13,
 ) -> DataFrame:
     """Global and local statistics of three variable sets: durations, totals, weighted times.
 
-    (set, variable, n, moran_i, expected_i, p_sim, then the number of significant zones
-    per quadrant). All variables of a set share their joins and permutations. The graph and
+    (set, variable, n, moran_i, expected_i, p_sim, the number of significant zones per quadrant, and `islands`, the zones of the set
+    without neighbours). Every set has a graph of its own, over the zones that have all its values: queen neighbours
+    and the nearest centroids among them, so a zone whose neighbours are missing still has as many. One search
+    finds the graphs of all sets. All variables of a set share their joins and permutations; the graphs and
     the zone tables are written once, as each is read for every statistic.
     """
-    edges = cut_lineage(edges)
-    paired = reduce(
-        lambda a, b: a.join(b, key),
-        [t.select(key, F.col("avg_total_weighted_time").alias(f"weighted_{n}")) for n, t in weighted.items()],
-    )
-    sets = {
-        "duration": (profile, names_containing(profile, ["duration_min"])),
-        "total": (totals, names_containing(totals, ["total"])),
-        "weighted": (paired, names_containing(paired, ["weighted"])),
-    }
+    tables = variable_sets(profile, totals, weighted, key)
+    known = {name: cut_lineage(drop_missing(table.select(key, *variables), variables)) for name, (table, variables) in tables.items()}
+    members = reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("set"), key) for name, t in known.items()])
+    shaped = cut_lineage(members.join(outlines.select(key, "rings"), key))
+    graphs = cut_lineage(zone_graph(shaped, settings.KNN_NEIGHBOURS, key, ["set"]))
+    islands = isolated_zones(members, graphs, key, ["set"]).groupBy("set").agg(F.count(F.lit(1)).alias("islands"))
     results = []
-    for name, (table, variables) in sets.items():
-        known = cut_lineage(drop_missing(table.select(key, *variables), variables))
-        overall = M.morans_i(known, edges, variables, key, permutations, seed)
-        zones = M.local_moran(known, edges, variables, key, permutations=permutations, seed=seed)
+    for name, (_, variables) in tables.items():
+        edges = graphs.filter(F.col("set") == name).drop("set")
+        overall = M.morans_i(known[name], edges, variables, key, permutations, seed)
+        zones = M.local_moran(known[name], edges, variables, key, permutations=permutations, seed=seed)
         labels = zones.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"`{v}_q`").alias("q")) for v in variables])))
         counts = labels.groupBy("variable").agg(*[F.count_if(F.col("q") == q).alias(q) for q in M.QUADRANTS.values()])
         results.append(overall.join(counts, "variable").select(F.lit(name).alias("set"), "*"))
-    return reduce(DataFrame.unionByName, results)
+    return reduce(DataFrame.unionByName, results).join(islands, "set", "left").na.fill(0, ["islands"])
 
 
 def cluster_zones(

@@ -282,11 +282,19 @@ UNION_SQL = """select i, j from v_edges union select i, j from (
    (select grid_id, avg(x) as x, avg(y) as y from v_hex group by grid_id) b where a.grid_id <> b.grid_id) p) q where rn <= 3"""
 
 
-def zone_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queen neighbours and nearest centroids of the hexagons."""
-    cells = hex_cells(spark, sf_dir)
-    centres = C.centroids(cells).select("grid_id", "x", "y")
-    return N.weights_union(N.queen_weights(cells), N.knn_weights(centres, settings.KNN_NEIGHBOURS))
+def zone_graph_sql(members: str) -> str:
+    """Queen neighbours and the nearest centroids (set, i, j) within each set of `members` (set, grid_id)."""
+    return f"""select a.set, i, j from v_edges join {members} a on a.grid_id = i join {members} b on b.grid_id = j and b.set = a.set
+ union select set, i, j from (select *, row_number() over (partition by set, i order by d, j) as rn from (
+  select a.set, a.grid_id as i, b.grid_id as j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d
+  from (select m.set, c.grid_id, round(x, 3) as x, round(y, 3) as y from v_cells c join {members} m using (grid_id)) a
+  join (select m.set, c.grid_id, round(x, 3) as x, round(y, 3) as y from v_cells c join {members} m using (grid_id)) b
+  on a.set = b.set and a.grid_id <> b.grid_id) p) q where rn <= {settings.KNN_NEIGHBOURS}"""
+
+
+@query("zone_graph", f"with members as (select 'all' as set, grid_id from v_cells) select i, j, 1.0::double as w from ({zone_graph_sql('members')}) g")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.zone_graph(hex_cells(spark, sf_dir), settings.KNN_NEIGHBOURS)
 
 
 def combined_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from hearthway.operators import reshape as R
 from hearthway.plans import views as V
 from hearthway.plans.analysis import autocorrelation_suite
 from hearthway.plans.queries_aggregates import AREA, GROUPED, grouped_zones, profile
-from hearthway.plans.queries_joins import UNION_SQL, combined_weights, hex_map, zone_weights
+from hearthway.plans.queries_joins import UNION_SQL, combined_weights, hex_cells, hex_map, zone_graph_sql
 from hearthway.plans.registry import query
 
 TOTALS = ["avg_total_duration", "avg_total_wait_time", "avg_total_time"]
@@ -196,16 +196,38 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n", F.round("moran_i", 6).alias("moran_i"))
 
 
-@query("autocorrelation_suite")
+def _weighted_sql(time: str) -> str:
+    weights = " ".join(f"when '{s}' then {w}" for s, w in V.WEIGHTS.items())
+    return f"""select 'weighted' as set, 'weighted_{time}' as variable, grid_id, avg(weighted) as v from (
+ select source_id, sum(coalesce({time}, 0) * case service {weights} end) as weighted from v_trips group by source_id) t join v_hex using (source_id) group by grid_id"""
+
+
+SUITE_TESTS = moran_p_sql(
+    f"""select 'duration' as set, 'duration_min_' || service || '_1_ave' as variable, grid_id, avg(duration_min) as v from v_trips join v_hex using (source_id)
+  where grid_id in (select grid_id from (select grid_id, service, avg(duration_min) as v from v_trips join v_hex using (source_id) group by grid_id, service) s
+   group by grid_id having count(*) = {len(V.SERVICES)} and count(v) = {len(V.SERVICES)}) group by grid_id, service
+ union all select 'total' as set, variable, grid_id, v from (unpivot (select * from v_hex_totals where {' and '.join(f'{c} is not null' for c in TOTALS)}) on {', '.join(TOTALS)} into name variable value v) u
+ union all {_weighted_sql('duration_min')} union all {_weighted_sql('total_time_min')}""",
+    f"with members as (select distinct set, grid_id from known) {zone_graph_sql('members')}",
+)
+
+
+@query(
+    "autocorrelation_suite",
+    f"""with recursive {SUITE_TESTS}, labels as (select set, variable, {', '.join(f"count(*) filter (where p_sim < 0.05 and quadrant = '{q}') as {q}" for q in M.QUADRANTS.values())}
+  from p_local group by set, variable)
+ select g.set, g.variable, n, round(moran_i, 6) as moran_i, round(-1.0::double / (n - 1), 9) as expected_i, p_sim, {', '.join(M.QUADRANTS.values())},
+  (select count(*) from places p where p.set = g.set and not exists (select 1 from links l where l.set = p.set and l.i = p.grid_id)) as islands
+ from p_global g join labels l on l.set = g.set and l.variable = g.variable""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips, zones = V.trips(spark, sf_dir), hex_map(spark, sf_dir)
     weighted = {
         t: A.zone_weighted_avg(A.weighted_time(trips, V.SERVICES, V.WEIGHTS, t), zones)
         for t in ["duration_min", "total_time_min"]
     }
-    return autocorrelation_suite(
-        profile(spark, sf_dir), hex_totals(spark, sf_dir), weighted, zone_weights(spark, sf_dir), permutations=999
-    )
+    found = autocorrelation_suite(profile(spark, sf_dir), hex_totals(spark, sf_dir), weighted, hex_cells(spark, sf_dir), permutations=999)
+    return found.withColumns({"moran_i": F.round("moran_i", 6), "expected_i": F.round("expected_i", 9)})
 
 
 FEATURES = ["f0", "f1", "f2", "f3"]

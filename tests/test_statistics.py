@@ -300,27 +300,29 @@ def test_describe(spark):
     assert (found["a"]["count"], found["a"].p50, found["b"]["count"], found["b"].p25) == (3, 2.0, 2, 5.0)
 
 
-def test_suite_takes_six_nearest_centroids(spark, monkeypatch):
+def test_each_set_has_a_graph_of_its_own(spark):
+    """Six nearest centroids among the known zones of a set, whatever other sets know; islands are told."""
     from hearthway.functions import hexes as H
     from hearthway.operators import grid
-    from hearthway.plans import queries_joins as J
-    from hearthway.plans import queries_statistics as Q
-    from hearthway.plans.registry import QUERIES
 
     draw = random.Random(5)
-    places = sorted({(draw.randrange(12), draw.randrange(12)) for _ in range(30)})
+    places = sorted({(draw.randrange(12), draw.randrange(12)) for _ in range(40)})
     cells = spark.createDataFrame(places, "q long, r long").coalesce(1).withColumn("grid_id", H.cell_id(F.col("q"), F.col("r")))
-    monkeypatch.setattr(J, "hex_cells", lambda *_: grid.hex_outlines(cells, 1400.0))
-    for module, name in ((Q, "profile"), (Q, "hex_totals"), (Q, "hex_map"), (Q.V, "trips"), (Q.A, "weighted_time"), (Q.A, "zone_weighted_avg")):
-        monkeypatch.setattr(module, name, lambda *_: None)
-    monkeypatch.setattr(Q, "autocorrelation_suite", lambda profile, totals, weighted, edges, **_: edges)
+    outlines = grid.hex_outlines(cells, 1400.0)
+    names = {f"{q}_{r}": (q, r) for q, r in places}
+    known = {"all": set(names), "half": {n for k, n in enumerate(sorted(names)) if k % 2}, "one": {min(names)}}
+    members = spark.createDataFrame([(s, n) for s, own in known.items() for n in own], "set string, grid_id string")
+    graph = N.zone_graph(members.join(outlines, "grid_id"), 6, by=["set"]).cache()
     linked = {}
-    for row in QUERIES["autocorrelation_suite"](spark, "").collect():
-        linked.setdefault(row.i, set()).add(row.j)
-    names = {row.grid_id: (row.q, row.r) for row in cells.collect()}
-    assert set(linked) == set(names)
-    for i, (q, r) in names.items():
-        gaps = {j: (q - a) ** 2 + (q - a) * (r - b) + (r - b) ** 2 for j, (a, b) in names.items() if j != i}
-        sixth = sorted(gaps.values())[5]
-        assert len(linked[i]) == 6
-        assert {j for j, d in gaps.items() if d < sixth} <= linked[i] <= {j for j, d in gaps.items() if d <= sixth}
+    for row in graph.collect():
+        linked.setdefault((row.set, row.i), set()).add(row.j)
+    for name in ("all", "half"):
+        for i in known[name]:
+            (q, r), own = names[i], known[name]
+            gaps = {j: (q - names[j][0]) ** 2 + (q - names[j][0]) * (r - names[j][1]) + (r - names[j][1]) ** 2 for j in own if j != i}
+            sixth = sorted(gaps.values())[5]
+            assert len(linked[name, i]) == 6
+            assert {j for j, d in gaps.items() if d < sixth} <= linked[name, i] <= {j for j, d in gaps.items() if d <= sixth}
+    assert [tuple(r) for r in N.isolated_zones(members, graph, by=["set"]).collect()] == [("one", min(names))]
+
+
