@@ -7,9 +7,13 @@ table, so they share every join.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthway import settings
 from hearthway.operators.columns import drop_missing, with_global
@@ -27,33 +31,54 @@ BLOCK = 64
 EQUAL = 1e-9
 
 
-def rearranged(rank: Column, perm: Column, n: int, seed: int) -> Column:
-    """The rank at which a keyed one-to-one map of 0 .. n - 1 puts `rank`; another map for each `perm`.
+def rearranged(ranks: np.ndarray, perms: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where the keyed one-to-one maps of 0 .. n - 1 with the numbers `perms` put `ranks`.
 
-    The ranks are read as cells of a table of a x b >= n places. Four rounds shift the row by a keyed function of the column and the column by
-    one of the row, which can be undone, so no two ranks meet. A rank sent to one of the fewer than a places
-    from n on goes through the map again until it is below n; that many places bound the tries.
+    The ranks are read as places of a near-square table of at least n places. Four rounds shift the row by a keyed function of the column and the
+    column by one of the row, which can be undone, so no two ranks meet. A rank sent to an unused place goes through the map again until it is
+    below n. Only whole numbers below 2 ** 63 occur.
     """
-    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    a = math.isqrt(max(n, 1) - 1) + 1
     b = max(1, -(-n // a))
-
-    def mixed(x: Column, turn: int, size: int) -> Column:
-        key = (F.lit(seed * KEYS[0] + turn * KEYS[2]) + perm.cast("bigint") * KEYS[1]) % PRIME
-        y = ((x + key) % PRIME * STEP[0] + STEP[1]) % PRIME
-        return (y * y) % PRIME % size
-
-    def once(x: Column) -> Column:
-        row, column = ((x - x % b) / b).cast("bigint"), x % b
-        for turn in (0, 2):
-            row = (row + mixed(column, turn, a)) % a
-            column = (column + mixed(row, turn + 1, b)) % b
-        return row * b + column
-
-    first = once(rank.cast("bigint"))
-    if a * b == n:
-        return first
-    tries = F.sequence(F.lit(1), F.lit(a * b - n))
-    return F.when(first < n, first).otherwise(F.aggregate(tries, first, lambda x, _: F.when(x < n, x).otherwise(once(x))))
+    out, left = ranks.astype(np.int64), np.arange(len(ranks))
+    while len(left):
+        row, column = np.divmod(out[left], b)
+        for turn in range(4):
+            key = (seed * KEYS[0] + turn * KEYS[2] + perms[left] * KEYS[1]) % PRIME
+            mixed = (((row if turn % 2 else column) + key) % PRIME * STEP[0] + STEP[1]) % PRIME
+            shift = mixed * mixed % PRIME
+            if turn % 2:
+                column = (column + shift) % b
+            else:
+                row = (row + shift) % a
+        out[left] = row * b + column
+        left = left[out[left] >= n]
+    return out
+
+
+def in_rearrangements(df: DataFrame, ranks: dict[str, str], n: int, permutations: int, seed: int, key: list[str]) -> DataFrame:
+    """Each row once per rearrangement `perm`, with the new places (the keys of `ranks`) of rank columns (its values).
+
+    Rows are spread by `key` and blocks of rearrangements first, so that few rows make many tasks; `_block` stays.
+    """
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // BLOCK)))).repartition(spread, *key, "_block")
+    kept = [c for c in blocks.columns if c not in ranks.values()]
+    schema = T.StructType([*blocks.select(*kept).schema.fields, T.StructField("perm", T.LongType()), *(T.StructField(c, T.LongType()) for c in ranks)])
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1024):
+                rows = batch.slice(begin, 1024)
+                first = rows.column("_block").to_numpy().astype(np.int64) * BLOCK
+                times = np.minimum(BLOCK, permutations - first)
+                row = np.repeat(np.arange(len(first)), times)
+                perm = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + first[row]
+                places = [rearranged(rows.column(c).to_numpy()[row], perm, n, seed) for c in ranks.values()]
+                own = rows.select(kept).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(perm), *map(pa.array, places)], names=schema.names)
+
+    return blocks.mapInArrow(turn, schema)
 
 
 def _placed(known: DataFrame, columns: list[str], key: str) -> tuple[DataFrame, int]:
@@ -103,6 +128,9 @@ def morans_i(
     of the values over the zones.
     """
     known = drop_missing(df.select(key, *columns), columns)
+    if permutations:
+        # Read by several steps.
+        known, edges = cut_lineage(known), cut_lineage(edges.select("i", "j", "w"))
     # Observed and rearranged values meet the same graph: that of the known zones.
     edges = between_known(edges, known, key)
     lagged = _with_lag(known, edges, columns, key)
@@ -148,11 +176,10 @@ def _permuted_moran(
     for end in ("i", "j"):
         ends = equi_join(ends, placed.select(F.col(key).alias(end), F.col("_rank").alias(f"_rank_{end}")), [end])
     ends = cut_lineage(ends.select("w", "_rank_i", "_rank_j"))
-    turned = ends.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    turned = in_rearrangements(ends, {"_at_i": "_rank_i", "_at_j": "_rank_j"}, zones, permutations, seed, ["_rank_i"])
     for end in ("i", "j"):
-        turned = turned.withColumn(f"_at_{end}", rearranged(F.col(f"_rank_{end}"), F.col("perm"), zones, seed))
         values = placed.select(F.col("_rank").alias(f"_at_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in z])
-        turned = equi_join(turned.drop(f"_rank_{end}"), values, [f"_at_{end}"])
+        turned = equi_join(turned, values, [f"_at_{end}"])
     sums = turned.groupBy("perm").agg(F.sum("w").alias("_s0"), *[F.sum(F.col("w") * F.col(f"{c}_i") * F.col(f"{c}_j")).alias(c) for c in z])
     # In standard units the squares add up to the number of zones, or to 0 where all values are equal.
     rows = [F.struct(F.lit(c).alias("variable"), F.try_divide(F.col(z[i]), F.col("_s0")).alias("sim")) for i, c in enumerate(columns)]
@@ -174,6 +201,9 @@ def local_moran(
     `{c}_q`, the quadrant where it is significant and "Non-Significant" elsewhere.
     """
     known = drop_missing(df, columns)
+    if permutations:
+        # Read by several steps.
+        known, edges = cut_lineage(known), cut_lineage(edges.select("i", "j", "w"))
     lagged = _with_lag(known, edges, columns, key)
     moments = {f"m{i}": F.avg(F.col(f"`{c}`")) for i, c in enumerate(columns)}
     moments |= {f"s{i}": F.var_pop(F.col(f"`{c}`")) for i, c in enumerate(columns)}
@@ -222,8 +252,8 @@ def _conditional_p(
 
     In rearrangement p the n-th neighbour of a zone (in order of keys) is the zone of the rank to which p sends n; a zone that
     would be its own neighbour takes the rank behind its last neighbour's instead. The edges of a zone
-    meet the rearrangements in blocks. All of a zone and block are in one task, which sums and compares them there, so a zone with very many neighbours is as many
-    tasks as there are blocks, and only a count per zone and block is shuffled.
+    meet the rearrangements in blocks: a zone with very many neighbours is as many
+    tasks as there are blocks, and a count per zone and block is what is left of it.
     """
     placed, zones = _placed(known, columns, key)
     z = [f"_z{i}" for i in range(len(columns))]
@@ -235,14 +265,9 @@ def _conditional_p(
     lags = there.withColumns({f"_lag{c}": F.sum(f"_part{c}").over(whole) for c in z}).drop(*[f"_part{c}" for c in z])
     observed = cut_lineage(equi_join(lags, placed.withColumnsRenamed({key: "i", **{c: f"_own{c}" for c in z}}), ["i"]))
 
-    blocks = observed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // BLOCK))))
-    first = F.col("_block") * BLOCK
-    perms = F.sequence(first, F.least(first + (BLOCK - 1), F.lit(permutations - 1)))
-    drawn = blocks.repartition("i", "_block").withColumn("perm", F.explode(perms))
-    drawn = drawn.withColumn("_at", rearranged(F.col("slot"), F.col("perm"), zones, seed))
-    # A zone with all others as neighbours has no rank behind the last: its draws are all zones but itself.
-    spare = rearranged(F.least(F.col("_size"), F.lit(zones - 1)), F.col("perm"), zones, seed)
-    drawn = drawn.withColumn("_at", F.when(F.col("_at") == F.col("_rank"), spare).otherwise(F.col("_at"))).drop("_rank")
+    slots = observed.withColumn("_next", F.least(F.col("_size"), F.lit(zones - 1))).drop("_size")
+    drawn = in_rearrangements(slots, {"_at": "slot", "_spare": "_next"}, zones, permutations, seed, ["i"])
+    drawn = drawn.withColumn("_at", F.when(F.col("_at") == F.col("_rank"), F.col("_spare")).otherwise(F.col("_at"))).drop("_rank", "_spare")
     drawn = equi_join(drawn, placed.drop(key).withColumnRenamed("_rank", "_at"), ["_at"])
     kept = {f"_{name}{c}": F.max(f"_{name}{c}") for c in z for name in ("own", "lag")}
     sums = drawn.groupBy("i", "_block", "perm").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"_sim{c}") for c in z], *[v.alias(n) for n, v in kept.items()])

@@ -77,7 +77,7 @@ def intersecting_zones(zones: DataFrame, others: DataFrame, key: str, cell_size:
 
     Either sides of both meet, in a cell that both pass, or a whole ring lies inside the other polygon, which one of its corners tells.
     """
-    size = cell_size or max(P.fitting_size(zones), P.fitting_size(others))
+    size = cell_size or P.fitting_size(zones.select("rings").unionByName(others.select("rings")))
     mine = P.on_cells(P.sides(zones, [key]), size).select(key, *P.CELL, F.struct(*P.SIDE).alias("_side"))
     theirs = P.on_cells(P.sides(others, []), size).select(*P.CELL, F.struct(*P.SIDE).alias("_other"))
     meeting = equi_join(mine, theirs, P.CELL, "left_semi", G.sides_meet(F.col("_side"), F.col("_other"))).select(key)

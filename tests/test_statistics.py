@@ -142,12 +142,15 @@ def sent(rank, perm, n, seed):
 
 
 def test_rearrangements_are_one_to_one(spark):
-    for n in (1, 2, 3, 5, 7, 10, 16, 37, 100, 1009):
-        df = spark.range(n).crossJoin(spark.range(7).withColumnRenamed("id", "perm"))
-        found = {(r.id, r.perm): r.at for r in df.select("id", "perm", M.rearranged(F.col("id"), F.col("perm"), n, 13).alias("at")).collect()}
+    for n in (1, 2, 3, 5, 7, 10, 16, 37, 100, 167, 1009):
+        df = spark.range(n).withColumn("other", F.col("id"))
+        made = M.in_rearrangements(df, {"at": "id"}, n, 7, 13, ["id"]).collect()
+        found = {(r.other, r.perm): r["at"] for r in made}
+        assert len(made) == len(found) == 7 * n
         assert found == {(k, p): sent(k, p, n, 13) for k, p in found}
         for p in range(7):
             assert sorted(v for (_, q), v in found.items() if q == p) == list(range(n))
+    assert M.in_rearrangements(spark.range(3), {"at": "id"}, 3, 150, 1, ["id"]).select("perm").distinct().count() == 150
     # Places are even, and neighbouring ranks do not stay neighbours.
     at = [[sent(k, p, 100, 1) for k in range(100)] for p in range(400)]
     hits = np.bincount([row[3] for row in at], minlength=100)
