@@ -7,8 +7,6 @@ through `ranking`, which spreads a group over many tasks.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +16,7 @@ from hearthway.functions import geometry as G
 from hearthway.functions.scalar import numeric_columns, sum_missing_as_zero
 from hearthway.operators.columns import names_containing, weight_lookup, with_global
 from hearthway.operators.joins import attach_zone, widen
-from hearthway.operators.ranking import grouped_quantiles, quantiles
-from hearthway.session import cut_lineage
+from hearthway.operators.ranking import grouped_quantiles
 
 
 def dataset_keys(trips: DataFrame) -> list[str]:
@@ -186,44 +183,6 @@ def describe_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return simple.join(shares, "variable", "left")
 
 
-PAIRS_PER_PASS = 60
-
-
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every ordered pair: (a, b, r), over rows where both exist.
-
-    r is NULL where one side is constant. All pairs of a pass share one aggregate; wide
-    tables take several passes, over a written copy of just these columns, so that no plan
-    grows with the square of the columns.
-    """
-    pairs = list(combinations(columns, 2))
-    if len(pairs) > PAIRS_PER_PASS:
-        df = cut_lineage(df.select(*[F.col(f"`{c}`") for c in columns]))
-    passes = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    upper = reduce(DataFrame.unionByName, [_pearson(df, some) for some in passes])
-    lower = upper.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    stats = df.agg(*[F.stddev_pop(F.col(f"`{c}`")).alias(c) for c in columns])
-    diagonal = stats.unpivot([], columns, "a", "s").select(
-        "a", F.col("a").alias("b"), F.when(F.col("s") > 0, F.lit(1.0)).alias("r")
-    )
-    return upper.unionByName(lower).unionByName(diagonal)
-
-
-def _pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    results = []
-    for a, b in pairs:
-        x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        r = F.try_divide(F.covar_pop(x, y), spread)
-        results.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
-    return df.agg(F.array(*results).alias("all")).select(F.inline("all"))
-
-
-def correlation_by_group(df: DataFrame, token: str) -> DataFrame:
-    """The matrix of the numeric columns whose name holds `token`: a service or a measure."""
-    return correlation_matrix(df, names_containing(df, [token]))
-
-
 def group_sizes(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("size"))
 
@@ -286,7 +245,3 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count_distinct(key).alias("distinct_keys"))
-
-
-def column_quantiles(df: DataFrame, columns: list[str], points: list[float]) -> DataFrame:
-    return quantiles(df, columns, points)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -199,6 +200,22 @@ def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("a", "b", ari.alias("ari"))
 
 
+def adjusted_rand_pairs(labels: DataFrame, columns: list[str]) -> DataFrame:
+    """Adjusted Rand index of every pair of labelings: (a, b, ari), all from one grouping of the rows."""
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("of_a"), F.col(b).alias("of_b")) for a, b in combinations(columns, 2)]
+    counts = labels.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.a", "p.b", "p.of_a", "p.of_b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # Sums per pair over the cells of its table, its rows and its columns: few rows, whatever the data.
+    sides = {"both": ["of_a", "of_b"], "in_a": ["of_a"], "in_b": ["of_b"]}
+    sums = None
+    for name, by in sides.items():
+        margin = counts.groupBy("a", "b", *by).agg(F.sum("n").alias("n")).groupBy("a", "b").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name), F.sum("n").alias(f"n_{name}"))
+        sums = margin if sums is None else sums.join(margin, ["a", "b"])
+    expected = F.coalesce(F.try_divide(F.col("in_a") * F.col("in_b"), F.col("n_both") * (F.col("n_both") - 1) / 2), F.lit(0.0))
+    largest = (F.col("in_a") + F.col("in_b")) / 2
+    ari = F.coalesce(F.try_divide(F.col("both") - expected, largest - expected), F.lit(1.0))
+    return sums.select("a", "b", ari.alias("ari"))
+
+
 def pca_project(df: DataFrame, k: int = 2) -> DataFrame:
     """Scores on the first k principal components, `pc1`...; features are centred first."""
     scaler = StandardScaler(inputCol="features", outputCol="_centred", withMean=True, withStd=False)

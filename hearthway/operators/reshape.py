@@ -80,12 +80,24 @@ def flag_second_largest(df: DataFrame, key: str, columns: list[str]) -> DataFram
     )
 
 
+#: Hexadecimal digits of a draw by which draws are counted: 65,536 counts at most.
+DIGITS = 4
+
+
 def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """`n` rows in random but repeatable order of a seeded hash; 0 keeps all.
+    """`n` rows in random but repeatable order of a seeded hash (md5) of the key; 0 keeps all.
 
-    Positions are found slice by slice, so a large sample is not gathered in one task.
+    Draws are counted by their first digits, from the key alone. The counts tell below which digits the
+    first n draws lie; only rows below are read and ordered, whatever the size of the table.
     """
     if n == 0:
         return df
-    shuffled = df.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key)))
-    return global_position(shuffled, ["_draw", key], "_at").filter(F.col("_at") < n).drop("_draw", "_at")
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    counts = df.select(F.substring(draw, 1, DIGITS).alias("first")).groupBy("first").count().collect()
+    bound, held = "", 0
+    for first, count in sorted(map(tuple, counts)):
+        bound, held = first, held + count
+        if held >= n:
+            break
+    near = df.withColumn("_draw", draw).filter(F.substring("_draw", 1, DIGITS) <= bound)
+    return global_position(near, ["_draw", key], "_at").filter(F.col("_at") < n).drop("_draw", "_at")

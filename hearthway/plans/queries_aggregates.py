@@ -13,6 +13,7 @@ from hearthway.operators import classify as K
 from hearthway.operators import columns as C
 from hearthway.operators import reshape as R
 from hearthway.operators import spatial as S
+from hearthway.operators.correlation import correlation_by_group, correlation_matrix
 from hearthway.plans import views as V
 from hearthway.plans.queries_joins import WEIGHTED_SQL, hex_map, per_service
 from hearthway.plans.registry import query
@@ -143,7 +144,19 @@ def _corr_sql(columns: list[str], source: str) -> str:
 
 @query("correlation_matrix", _corr_sql(NUMBERS, "v_trips"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.correlation_matrix(V.trips(spark, sf_dir), NUMBERS).withColumn("r", F.round("r", 6))
+    return correlation_matrix(V.trips(spark, sf_dir), NUMBERS).withColumn("r", F.round("r", 6))
+
+
+@query(
+    "correlation_dimensions",
+    """with l as (select vec_id, unnest(range(1, 65)) as d, unnest(embedding) as v from embeddings)
+ select concat('d', x.d - 1) as a, concat('d', y.d - 1) as b, round(corr(cast(x.v as double), cast(y.v as double)), 6) as r
+ from l x join l y on x.vec_id = y.vec_id group by x.d, y.d""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64 dimensions of the embeddings against each other."""
+    table = V.table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(64)])
+    return correlation_matrix(table, table.columns).withColumn("r", F.round("r", 6))
 
 
 _BY_SERVICE = ", ".join(
@@ -167,7 +180,7 @@ def _wide_hex(spark: SparkSession, sf_dir: str, token: str) -> DataFrame:
     wide = A.zone_profile(trips, hex_map(spark, sf_dir), "grid_id", NUMBERS, V.SERVICES, require_all=False)
     short = {f"{c}_{s}_1_ave": f"{c}_{s}" for s in V.SERVICES for c in NUMBERS}
     named = C.rename_columns(wide, short).select(*short.values())
-    return A.correlation_by_group(named, token).withColumn("r", F.round("r", 6))
+    return correlation_by_group(named, token).withColumn("r", F.round("r", 6))
 
 
 def grouped_zones(spark: SparkSession, sf_dir: str) -> DataFrame:

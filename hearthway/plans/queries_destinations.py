@@ -160,7 +160,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", local_time_text(millis, settings.LOCAL_TIME_ZONE).alias("local"))
 
 
-@query("sample_rows")
+@query("sample_rows", "select * from v_points order by md5(concat('13:', source_id)), source_id limit 300")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sample_rows(V.points(spark, sf_dir), 300, 13, "source_id")
 

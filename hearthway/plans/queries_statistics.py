@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthway import settings
 from hearthway.operators import aggregates as A
 from hearthway.operators import autocorrelation as M
 from hearthway.operators import clustering as L
@@ -287,8 +290,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_seed_test")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agreement of all pairs of seeds."""
     tested = L.kmeans_seed_test(vectors(spark, sf_dir), n_runs=10)
-    return L.adjusted_rand(tested, "label_13", "label_42")
+    return L.adjusted_rand_pairs(tested, [f"label_{seed}" for seed in settings.CLUSTER_SEEDS])
 
 
 @query(
@@ -304,6 +308,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.adjusted_rand(labels, "label", "other").withColumn("ari", F.round("ari", 9))
 
 
+LABELS = {"given": "label", "seventh": "vec_id % 7", "fifth": "vec_id % 5", "half": "vec_id % 2"}
+
+
+@query(
+    "adjusted_rand_pairs",
+    "with t as (select " + ", ".join(f"cast({v} as integer) as {n}" for n, v in LABELS.items()) + " from embeddings), c as ("
+    + " union all ".join(f"select '{a}' as a, '{b}' as b, {a} as x, {b} as y, count(*)::double as n from t group by {a}, {b}" for a, b in combinations(LABELS, 2))
+    + """), s as (select a, b, sum(n * (n - 1) / 2) as nij, sum(n) as n from c group by a, b),
+ x as (select a, b, sum(n * (n - 1) / 2) as na from (select a, b, x, sum(n) as n from c group by a, b, x) q group by a, b),
+ y as (select a, b, sum(n * (n - 1) / 2) as nb from (select a, b, y, sum(n) as n from c group by a, b, y) q group by a, b)
+ select a, b, round((nij - na * nb / (n * (n - 1) / 2)) / ((na + nb) / 2 - na * nb / (n * (n - 1) / 2)), 9) as ari from s join x using (a, b) join y using (a, b)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = V.table(spark, sf_dir, "embeddings").select(*[F.expr(v).cast("int").alias(n) for n, v in LABELS.items()])
+    return L.adjusted_rand_pairs(labels, list(LABELS)).withColumn("ari", F.round("ari", 9))
+
+
 @query("pca_project")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.pca_project(vectors(spark, sf_dir)).select("vec_id", "pc1", "pc2")

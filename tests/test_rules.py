@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthway.functions.scalar import local_time_text, nan_to_null, transfers_of
+from hearthway.operators.correlation import correlation_matrix
 from hearthway.operators import aggregates as A
 from hearthway.operators import classify as K
 from hearthway.operators import clustering as L
@@ -72,20 +73,29 @@ def test_nan_is_missing(spark):
 
 def test_correlation_of_a_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 1.0, 5.0), (2.0, 2.0, 5.0), (3.0, None, 5.0)], "a double, b double, c double")
-    found = {(r.a, r.b): r.r for r in A.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    found = {(r.a, r.b): r.r for r in correlation_matrix(df, ["a", "b", "c"]).collect()}
     assert found[("a", "b")] == pytest.approx(1.0)
     assert found[("a", "c")] is None and found[("c", "c")] is None
     assert found[("a", "a")] == 1.0 and len(found) == 9
 
 
-def test_many_columns_take_several_passes(spark):
-    columns = [f"c{i}" for i in range(13)]
-    df = spark.range(20).select(*[(F.col("id") * (i + 1) % (i + 7)).cast("double").alias(c) for i, c in enumerate(columns)])
-    found = A.correlation_matrix(df, columns).toPandas()
+def test_correlations_of_many_columns_in_one_scan(spark, tmp_path):
+    """45 columns with gaps, on a large common part, over several tasks and against each other."""
+    columns = [f"c{i}" for i in range(45)]
+    values = [F.when((F.col("id") + i) % 11 != 3, 1e7 * (i % 3) + (F.col("id") * (i + 1) % (i + 7)).cast("double")).alias(c) for i, c in enumerate(columns)]
+    spark.range(400).select(*values).repartition(6).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    made = correlation_matrix(df, columns)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
     expected = df.toPandas().corr()
-    assert len(found) == 169
+    found = made.toPandas()
+    assert len(found) == 45 * 45
     for r in found.itertuples():
-        assert r.r == pytest.approx(expected.loc[r.a, r.b])
+        assert r.r == pytest.approx(expected.loc[r.a, r.b], abs=1e-9)
+    odd = spark.createDataFrame([(1.0, None, float("nan")), (2.0, None, 1.0), (None, 3.0, 2.0), (None, 4.0, 5.0)], "a double, b double, c double")
+    got = {(r.a, r.b): r.r for r in correlation_matrix(odd, ["a", "b", "c"]).collect()}
+    assert got["a", "b"] is None and got["b", "c"] == pytest.approx(1.0) and got["a", "c"] is None and len(got) == 9
+    assert all(r.r is None for r in correlation_matrix(odd.limit(0), ["a", "b"]).collect())
 
 
 def test_tied_extremes_are_all_flagged(spark):
