@@ -166,9 +166,11 @@ def _equal_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str)
 
 
 def drop_copies(docs: DataFrame, stored: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns. Where the id of a row that stays carries several of its group's texts, that is the longest."""
     own, digest = free_name(docs, "_own"), free_name(docs, "_digest")
     as_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     kept = exact_dedup(docs, stored, id_col, text_col).where("kept").select(as_text.alias(own), F.col("text_sha256").alias(digest))
     keyed = with_digest(docs, text_col, digest).withColumn(own, as_text)
-    return keyed.join(kept, [own, digest], "left_semi").dropDuplicates([own, digest]).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    longest = F.max_by(whole, F.struct(F.length(F.col(text_col)), F.col(text_col))).alias("_row")
+    return keyed.join(kept, [own, digest], "left_semi").groupBy(own, digest).agg(longest).select("_row.*")

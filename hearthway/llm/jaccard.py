@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthway.llm.shared import as_bytes, byte_chunks, components, fetch_rows, forest, mix64, trimmed, worker_release
+from hearthway.llm.shared import as_bytes, byte_chunks, components, fetch_rows, forest, free_name, mix64, trimmed, worker_release
 from hearthway.session import cut_lineage
 
 #: Sizes of a class of sets differ by this factor at most.
 CLASS_RATIO = 1.25
 #: Shingles of the sets that one task holds at a time, about.
 BLOCK_SHINGLES = 500_000
+#: Shingles whose part keys make up a bucket, about.
+BUCKET_SHINGLES = 2_000_000
 #: Bits of a token bitmap, and children of a node.
 BITS, FAN = 2048, 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -116,8 +118,8 @@ class Parts:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """A row per document: id, size and digest (s1, s2) of its set."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """A row per document: id, size and digest (s1, s2) of its set, and `mark`, a hash of its text."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +131,11 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                 ids = batch.column(0)[some.start : some.stop]
                 first, second = digests(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(first), pa.array(second)],
-                    names=["doc_id", "n_shingles", "s1", "s2"],
+                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(first), pa.array(second), batch.column(2)[some.start : some.stop]],
+                    names=["doc_id", "n_shingles", "s1", "s2", "mark"],
                 )
 
-    return cut_lineage(narrow.mapInArrow(trimmed(scan), f"doc_id {kind}, n_shingles long, s1 long, s2 long"))
+    return cut_lineage(narrow.mapInArrow(trimmed(scan), f"doc_id {kind}, n_shingles long, s1 long, s2 long, mark long"))
 
 
 def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,15 +145,15 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(first + size * _ODD).view(np.int64), mix64(second).view(np.int64)
 
 
-def clustered(texts: DataFrame, words: int, percent: int) -> DataFrame:
+def clustered(texts: DataFrame, words: int, percent: int, shingles: int = 0) -> DataFrame:
     """(node, root) of the sets that share parts with others, directly or over others.
 
     `texts` has doc_id and text. Keys are not stored: each task makes those of a batch, ties the sets of
     a key together within it, so that a key of very many sets sends one entry per batch through the shuffle, and
     packs the rest by the bucket of the key, each set's number once per bucket. A bucket is a hash share of all
-    keys, as small as the shuffle has partitions.
+    keys. Their number grows with `shingles`, those of all sets, and a task sorts the rows of its buckets and works on one bucket at a time.
     """
-    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_SHINGLES))
     narrow = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("text")
     names = ["bucket", "nodes", "counts", "keys", "a", "b"]
 
@@ -192,25 +194,34 @@ def clustered(texts: DataFrame, words: int, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=names)
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, nodes, current = [], [], None
         for batch in batches:
-            flat = {n: batch.column(n).flatten().to_numpy() for n in names[1:]}
-            keys.append(flat["keys"])
-            nodes.append(np.repeat(flat["nodes"], flat["counts"]))
-            if len(flat["a"]):
-                yield edges(*forest(flat["a"], flat["b"]))
-        key, node = np.concatenate(keys), np.concatenate(nodes)
+            of = batch.column("bucket").to_numpy()
+            for low, high in zip(starts := np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)]), [*starts[1:], len(of)]):
+                if of[low] != current:
+                    yield chained(keys, nodes)
+                    keys, nodes, current = [], [], of[low]
+                flat = {n: batch.column(n).slice(low, high - low).flatten().to_numpy() for n in names[1:]}
+                keys.append(flat["keys"].copy())
+                nodes.append(np.repeat(flat["nodes"], flat["counts"]))
+                if len(flat["a"]):
+                    yield edges(*forest(flat["a"], flat["b"]))
+        yield chained(keys, nodes)
+
+    def chained(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        """Neighbours of one key, chained, are as connected as all of its pairs."""
+        key, node = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *nodes])
         order = np.argsort(key, kind="stable")
         key, node = key[order], node[order]
         same = np.flatnonzero(key[1:] == key[:-1])
-        # Neighbours of one key, chained, are as connected as all of its pairs.
-        yield edges(*forest(node[same], node[same + 1]))
+        return edges(*forest(node[same], node[same + 1]))
 
     def edges(root: np.ndarray, leaf: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(leaf, pa.int64())], names=["a", "b"])
 
     schema = "bucket long, nodes array<long>, counts array<int>, keys array<long>, a array<long>, b array<long>"
-    return components(narrow.mapInArrow(trimmed(emit), schema).repartition("bucket").mapInArrow(trimmed(tie), "a long, b long"))
+    dealt = narrow.mapInArrow(trimmed(emit), schema).repartition("bucket").sortWithinPartitions("bucket")
+    return components(dealt.mapInArrow(trimmed(tie), "a long, b long"))
 
 
 class SignatureTree:
@@ -378,30 +389,38 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return narrow.repartition("cluster", "task").sortWithinPartitions("cluster", "task").mapInPandas(trimmed(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
-    """Connected components of documents whose n-gram sets are at least `percent` similar.
-
-    Returns a row per document: doc_id, n_shingles, component_id (the smallest id in the component).
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """The rows of `described` with component_id, and `first`, the smallest (doc_id, mark) of the component; both null for rows without id or set."""
     rows = described(docs, id_col, text_col, words)
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    links = _verified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), known, words, percent)
+    # Copies are one row from here on.
+    sets = cut_lineage(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min(F.struct("doc_id", "mark")).alias("first")))
+    links = _verified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), sets, words, percent)
     roots = cut_lineage(components(links))
 
-    sets = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
     labelled = cut_lineage(sets.join(roots.withColumnRenamed("node", "s1"), "s1", "left").withColumn("root", F.coalesce("root", "s1")))
     # A set without links is its own component; equal sets have one label by both digests.
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "root").select("s1", "s2", "component_id")
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", own.alias("component_id"))
+    least = labelled.groupBy("root").agg(F.min("first").alias("first"))
+    named = labelled.drop("first").join(least, "root").select("s1", "s2", F.col("first.doc_id").alias("component_id"), "first")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    out = rows.join(named, ["s1", "s2"], "left")
+    return out.withColumns({c: F.when(~alone, F.col(c)) for c in ("component_id", "first")})
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
+    """Connected components of documents whose n-gram sets are at least `percent` similar.
 
+    Returns a row per document: doc_id, n_shingles, component_id (the smallest id in the component).
+    """
+    out = _grouped(docs, id_col, text_col, words, percent)
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
-def _verified(texts: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
-    clusters = cut_lineage(clustered(texts, words, percent))
-    members = known.join(clusters.withColumnRenamed("node", "s1"), "s1").groupBy(F.col("root").alias("cluster"), "s1", "s2")
-    members = cut_lineage(members.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
+
+def _verified(texts: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    clusters = cut_lineage(clustered(texts, words, percent, shingles))
+    members = sets.drop("first").join(clusters.select(F.col("node").alias("s1"), F.col("root").alias("cluster")), "s1")
+    members = cut_lineage(members)
     size = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where("sets > 1")
     blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long")
     placed = members.join(size, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod("s1", "blocks"))
@@ -428,6 +447,12 @@ def _verified(texts: DataFrame, known: DataFrame, words: int, percent: int) -> D
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; rows without id stay."""
-    away = near_duplicates(docs, id_col, text_col, words, percent).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(away, id_col, "left_anti").select(*docs.columns)
+    """One document of each component with all its columns: that of the smallest id, and of its texts the one of the smallest hash.
+
+    An id may carry several texts: each is judged by itself. Rows without id or words stay, and so do rows that repeat id and text of a row that stays.
+    """
+    out = _grouped(docs, id_col, text_col, words, percent)
+    own, mark = free_name(docs, "_own"), free_name(docs, "_mark")
+    away = out.where(F.struct("doc_id", "mark") != F.col("first")).select(F.col("doc_id").alias(own), F.col("mark").alias(mark)).distinct()
+    marked = docs.withColumns({own: F.col(id_col), mark: F.xxhash64(F.col(text_col))})
+    return marked.join(away, [own, mark], "left_anti").select(*docs.columns)

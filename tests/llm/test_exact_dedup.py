@@ -57,3 +57,12 @@ def test_empty_table_and_one_sided_batches(spark):
         got = exact_dedup(rows, stored).collect()
         assert {(r["keep_id"], r["group_size"]) for r in got} == {(0, 50)}
         assert [r["doc_id"] for r in got if r["kept"]] == [0]
+
+
+def test_the_longest_text_of_an_id_stays(spark):
+    for rows in ([(5, "ab"), (5, "a   b"), (6, "a b")], [(6, "a b"), (5, "a   b"), (5, "ab")]):
+        df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _own string").coalesce(1)
+        for stored in (F.lit(True), F.lit(False), F.col("doc_id") == 5):
+            left = drop_copies(df, stored)
+            assert left.columns == df.columns and [r["text"] for r in left.collect()] == ["a   b"]
+    assert drop_copies(df.limit(0), F.lit(True)).count() == 0

@@ -133,3 +133,26 @@ def test_long_chains_take_few_rounds(spark):
     edges = spark.range(600).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(7)
     got = components(edges).collect()
     assert len(got) == 601 and {r["root"] for r in got} == {0}
+
+
+def test_dropping_judges_each_text_of_an_id(spark):
+    base = [f"w{k}" for k in range(40)]
+    near, other, third = " ".join([*base, "more"]), " ".join(f"x{k}" for k in range(30)), " ".join(f"y{k}" for k in range(30))
+    rows = [(3, " ".join(base), 1), (5, near, 2), (5, other, 3), (7, third, 4), (7, third + " end", 5), (None, other, 6), (8, None, 7), (9, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int").repartition(3)
+    left = jaccard.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    kept = {r["mark"] for r in left.collect()}
+    assert kept >= {1, 3, 6, 7, 8} and 2 not in kept and len(kept & {4, 5}) == 1
+    assert jaccard.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_buckets_are_worked_on_one_by_one(spark, monkeypatch):
+    """More buckets than partitions, several to a task: the same clusters."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 30)) for _ in range(80)]
+    rows = [(k, t + f" a{k % 3}") for k, t in enumerate(texts * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str)
+    monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 40)
+    assert sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str) == want == brute(rows, 3, 90)
