@@ -9,7 +9,6 @@ from hearthway import settings
 from hearthway.functions import geometry as G
 from hearthway.functions.hexes import ROOT3
 from hearthway.operators import aggregates as A
-from hearthway.operators import columns as C
 from hearthway.operators import grid
 from hearthway.operators import joins as J
 from hearthway.operators import neighbours as N

@@ -13,7 +13,6 @@ from hearthway.operators import aggregates as A
 from hearthway.operators import autocorrelation as M
 from hearthway.operators import clustering as L
 from hearthway.operators import grid
-from hearthway.operators import neighbours as N
 from hearthway.operators import reshape as R
 from hearthway.plans import views as V
 from hearthway.plans.analysis import autocorrelation_suite
