@@ -7,9 +7,11 @@ one seed gives one segmentation, on any machine and however often a task is repe
 All ids are pieces of the model, and decoding gives the text back exactly. Without dropout the ids are those of
 the model's own encoder.
 
-Occurrences of words of one length run side by side in numpy: each step takes the best candidate left in each of them.
-What pieces a word holds is looked up once and remembered. Long words, words with characters without a piece and
-lengths that few words have run one by one, with the same draws.
+What becomes of an occurrence depends only on its word and on which candidates are dropped, so the ways through the
+agenda are remembered as a trie: each occurrence draws along its word's path, and its first dropped candidate leads to the
+path below. Occurrences without a remembered path run anew: those of one length side by side in numpy, where each step takes
+the best candidate left in each of them; long words, words with characters without a piece and lengths that few
+words have one by one. All have the same draws.
 
 Characters without a piece become bytes. The mark U+2581, which stands for a space in pieces, is written as
 bytes where it occurs in a text, so that it is not read as a space. Null and empty texts have no ids and
@@ -23,9 +25,8 @@ import hashlib
 import heapq
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,14 @@ SPACE = "▁"
 #: Stands for U+2581 itself while a text is cut; a lone surrogate occurs in no text.
 MARK = "\udc81"
 LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", ".,!?%$&|*#;:\"')("
-#: Words a worker remembers before it starts anew, the longest of them, and the fewest and most that run side by side.
-KEPT_WORDS, LONGEST, FEWEST, MOST = 500_000, 40, 12, 1 << 15
+#: The longest words that run side by side, and the fewest and most of them.
+LONGEST, FEWEST, MOST = 40, 12, 1 << 15
+#: Paths through the agenda that a worker remembers before it starts anew, and how many occurrences of a step have to ask for one.
+KEPT_PATHS, ASKED = 300_000, 4
 #: The draw of a candidate: its place, mixed with the hash of the occurrence.
 PLACE, TURN, WRAP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), (1 << 64) - 1
 NEVER = np.int64(1 << 62)
-#: The parts of a word of each length, by begin and stop; and where those of each begin lie, but for the stop.
-SPANS = [[slice(a, e) for a in range(n) for e in range(a + 1, n + 1)] for n in range(LONGEST + 1)]
+#: Where the parts of a word of each length lie, by begin and stop, but for the stop.
 ROWS = [np.array([a * n - a * (a + 1) // 2 - 1 for a in range(n)], np.int64) for n in range(LONGEST + 1)]
 
 
@@ -63,6 +65,116 @@ def units_of(pieces: dict) -> re.Pattern:
     return re.compile(f"{SPACE}*[^{SPACE}{line}{re.escape(marks)}]*{LETTER}(?=[{re.escape(marks)}])|{rest}")
 
 
+class Rows:
+    """Rows of numbers of any length, one behind the other in an array that grows."""
+
+    def __init__(self, dtype: type):
+        self.flat, self.starts, self.count = np.zeros(1024, dtype), np.zeros(1024, np.int64), 0
+
+    def add(self, row: list[int]) -> None:
+        low = int(self.starts[self.count])
+        if low + len(row) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (low + len(row)))
+        if self.count + 2 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * len(self.starts))
+        self.flat[low : low + len(row)] = row
+        self.count += 1
+        self.starts[self.count] = low + len(row)
+
+    def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of these rows in turn, and the length of each."""
+        low = self.starts[which]
+        sizes = self.starts[which + 1] - low
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(low - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
+class Trie:
+    """The characters of the pieces as a tree whose steps are looked up for many places at once.
+
+    A step's key is its node and character. Keys that fall into one slot of a table move on to the next table.
+    """
+
+    def __init__(self, pieces: dict[str, int]):
+        steps: dict[int, int] = {}
+        ends = {}
+        for piece, k in pieces.items():
+            node = 0
+            for c in piece:
+                node = steps.setdefault(node << 21 | ord(c), len(steps) + 1)
+            ends[node] = k
+        self.piece = np.full(len(steps) + 1, -1, np.int32)
+        self.piece[list(ends)] = list(ends.values())
+        self.tables = []
+        keys, nodes = np.array(list(steps), np.uint64), np.array(list(steps.values()), np.int64)
+        while len(keys):
+            factor, shift = np.uint64(PLACE[0] + 2 * len(self.tables) * TURN[0] & WRAP), np.uint64(63 - len(keys).bit_length())
+            slot, first = np.unique(keys * factor >> shift, return_index=True)
+            held, to = np.full(1 << 64 - int(shift), WRAP, np.uint64), np.full(1 << 64 - int(shift), -1, np.int64)
+            held[slot], to[slot] = keys[first], nodes[first]
+            self.tables.append((factor, shift, held, to))
+            keys, nodes = np.delete(keys, first), np.delete(nodes, first)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that the characters lead to, -1 where no piece goes on like that."""
+        keys = node.astype(np.uint64) << np.uint64(21) | char
+        out, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        for factor, shift, held, to in self.tables:
+            slot = keys * factor >> shift
+            there = held[slot]
+            same = there == keys
+            out[open_[same]] = to[slot[same]]
+            # An empty slot was asked for by no key.
+            on = ~same & (there != np.uint64(WRAP))
+            open_, keys = open_[on], keys[on]
+        return out
+
+
+class Paths:
+    """Ways through the agenda of words that were met: the candidates behind the last dropped one, and the ids at the end."""
+
+    def __init__(self, merged: Callable):
+        self.merged = merged
+        self.known: dict[str, int] = {}
+        self.next: dict[int, int] = {}
+        self.path: list[tuple[str, tuple[int, ...], int]] = []
+        self.places, self.ids = Rows(np.uint64), Rows(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.path)
+
+    def find(self, word: str, dropped: tuple[int, ...]) -> int:
+        """The path of a word on which just these candidates, numbered in the order they turn up, are dropped."""
+        places: list[int] = []
+
+        def keeps(place: int) -> bool:
+            places.append(place)
+            return len(places) - 1 not in dropped
+
+        ids = self.merged(word, keeps)
+        behind = dropped[-1] + 1 if dropped else 0
+        self.places.add(places[behind:])
+        self.ids.add(ids)
+        self.path.append((word, dropped, behind))
+        return len(self.path) - 1
+
+    def of(self, words: list[str], often: np.ndarray) -> np.ndarray:
+        """The paths of these words without a dropped candidate; words without one that few ask for, or that are long, have -1."""
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        for k in np.flatnonzero((out < 0) & (often >= ASKED)).tolist():
+            if len(words[k]) <= LONGEST:
+                out[k] = self.known[words[k]] = self.find(words[k], ())
+        return out
+
+    def below(self, asked: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """The paths that leave a path (all but the last eight bits) at a candidate (the last eight)."""
+        out = np.fromiter(map(self.next.get, asked.tolist(), repeat(-1)), np.int64, len(asked))
+        for k in np.flatnonzero((out < 0) & (often >= ASKED)).tolist():
+            word, dropped, behind = self.path[asked[k] >> 8]
+            out[k] = self.next[int(asked[k])] = self.find(word, (*dropped, behind + int(asked[k] & 255)))
+        return out
+
+
 class PieceEncoder:
     def __init__(self, path: str, rate: float, seed: int):
         import sentencepiece
@@ -94,27 +206,24 @@ class PieceEncoder:
         self.order = np.zeros(len(self.bytes_of), np.int64)
         for score, k in self.pieces.values():
             self.order[k] = place[-score] << 8
-        self.id_of = {piece: k for piece, (_, k) in self.pieces.items()}
-        self.known: dict[str, bytes] = {}
+        self.trie = Trie({piece: k for piece, (_, k) in self.pieces.items()})
+        self.paths = Paths(self.merged)
 
-    def unit(self, unit: str, key: int = 0) -> list[int]:
-        """Ids of one word with the spaces before it, for the occurrence with this hash."""
+    def merged(self, unit: str, keeps: Callable[[int], bool] | None) -> list[int]:
+        """Ids of one word with the spaces before it; `keeps` tells of each candidate, by its place, whether it stays."""
         symbols = list(unit)
         n = len(symbols)
         after, before, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        get, push, rate, agenda = self.pieces.get, heapq.heappush, self.rate, []
-        (pa, pb, pe), (ta, tb) = PLACE, TURN
+        get, push, agenda = self.pieces.get, heapq.heappush, []
+        pa, pb, pe = PLACE
         fresh = range(n - 1)
         while True:
             for a in fresh:
                 b = after[a]
                 if b < n and (found := get(symbols[a] + symbols[b])):
                     end = stop[b]
-                    if rate:
-                        draw = ((key ^ ((a * pa + b * pb + end * pe) & WRAP)) * ta) & WRAP
-                        if ((draw ^ (draw >> 32)) * tb & WRAP) >> 32 < rate:
-                            continue
-                    push(agenda, (-found[0], a, b, end))
+                    if keeps is None or keeps((a * pa + b * pb + end * pe) & WRAP):
+                        push(agenda, (-found[0], a, b, end))
             while agenda:
                 _, a, b, end = heapq.heappop(agenda)
                 if symbols[a] and symbols[b] and after[a] == b and stop[b] == end:
@@ -136,15 +245,56 @@ class PieceEncoder:
                 ids += [self.byte_ids[x] for x in (SPACE if s == MARK else s).encode()]
         return ids
 
-    def held(self, word: str) -> bytes:
-        """The ids of the pieces between its places, as in `SPANS`, -1 without one; nothing if the word has to run alone."""
-        found = self.known.get(word)
-        if found is None:
-            found = b""
-            if len(word) <= LONGEST and all(map(self.pieces.__contains__, word)):
-                found = array("i", map(self.id_of.get, map(word.__getitem__, SPANS[len(word)]), repeat(-1))).tobytes()
-            self.known[word] = found
-        return found
+    def unit(self, unit: str, key: int = 0) -> list[int]:
+        """Ids of one word with the spaces before it, for the occurrence with this hash."""
+        rate, (ta, tb) = self.rate, TURN
+
+        def keeps(place: int) -> bool:
+            draw = ((key ^ place) * ta) & WRAP
+            return ((draw ^ (draw >> 32)) * tb & WRAP) >> 32 >= rate
+
+        return self.merged(unit, keeps if rate else None)
+
+    def follow(self, where: np.ndarray, own: np.ndarray, units: list[str]) -> np.ndarray:
+        """The remembered path that each occurrence takes, -1 if there is none.
+
+        An occurrence goes along its path while no candidate is dropped; the first dropped one leads to the path below.
+        Paths that enough of the occurrences ask for are found and remembered.
+        """
+        at = self.paths.of(units, np.bincount(where, minlength=len(units)))[where]
+        live = np.flatnonzero(at >= 0)
+        while len(live):
+            path = at[live]
+            places, sizes = self.paths.places.rows(path)
+            draw = places ^ np.repeat(own[live], sizes)
+            draw *= np.uint64(TURN[0])
+            draw ^= draw >> np.uint64(32)
+            draw *= np.uint64(TURN[1])
+            hits = np.flatnonzero((draw >> np.uint64(32)) < np.uint64(self.rate))
+            ends = np.cumsum(sizes)
+            owner = np.searchsorted(ends, hits, "right")
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            hits, owner = hits[first], owner[first]
+            asked, back, often = np.unique(path[owner] << 8 | (hits - ends[owner] + sizes[owner]), return_inverse=True, return_counts=True)
+            live = live[owner]
+            at[live] = self.paths.below(asked, often)[back]
+            live = live[at[live] >= 0]
+        return at
+
+    def held(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """What words of n characters hold: the ids of the pieces between all their places, -1 without one, and whether each character is a piece."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+        table = np.full((len(words), n * (n + 1) // 2), -1, np.int32)
+        word, a = np.divmod(np.arange(chars.size), n)
+        node = np.zeros(chars.size, np.int64)
+        for k in range(n):
+            node = self.trie.step(node, chars[word, a + k])
+            on = node >= 0
+            table[word[on], ROWS[n][a[on]] + a[on] + k + 1] = self.trie.piece[node[on]]
+            on &= a + k + 1 < n
+            word, a, node = word[on], a[on], node[on]
+        letters = np.arange(n)
+        return table.ravel(), (table[:, ROWS[n] + letters + 1] >= 0).all(axis=1)
 
     def candidates(self, table: np.ndarray, n: int, base: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Places of candidates in the agenda; `NEVER` where there is no piece or it is dropped."""
@@ -194,21 +344,29 @@ class PieceEncoder:
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Ids of each text; `keys` are hashes of the documents."""
         split = [self.cut.findall(f"{SPACE}{x.replace(SPACE, MARK).replace(' ', SPACE)}") if x else [] for x in texts]
-        flat: dict[str, int] = {}
-        where = np.fromiter((flat.setdefault(u, len(flat)) for x in split for u in x), np.int64)
+        words = list(chain.from_iterable(split))
+        units = list(dict.fromkeys(words))
+        where = np.fromiter(map(dict(zip(units, range(len(units)))).__getitem__, words), np.int64, len(words))
         sizes = np.array([len(x) for x in split], np.int64)
         ends = np.cumsum(sizes)
         place = np.arange(len(where)) - np.repeat(ends - sizes, sizes)
         own = mix64(np.repeat(mix64(keys.astype(np.uint64) ^ np.uint64(self.seed & WRAP)), sizes) + place.astype(np.uint64))
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        units = list(flat)
-        tables = [self.held(x) for x in units]
-        length = np.fromiter((len(x) if t else 0 for x, t in zip(units, tables)), np.int64, len(units))[where]
+        if len(self.paths) > KEPT_PATHS:
+            self.paths = Paths(self.merged)
+        counts = np.zeros(len(where), np.int64)
+        done = []
+        path = self.follow(where, own, units)
+        on, rest = np.flatnonzero(path >= 0), np.flatnonzero(path < 0)
+        if len(on):
+            ids, counts[on] = self.paths.ids.rows(path[on])
+            done.append((on, ids))
+        # The others run anew.
+        length = np.fromiter(map(len, units), np.int64, len(units))[where[rest]]
+        length[length > LONGEST] = 0
         order = np.argsort(length, kind="stable")
         edges = np.searchsorted(length[order], np.arange(LONGEST + 2))
-        counts = np.zeros(len(where), np.int64)
-        done, alone = [], [order[: edges[1]]]
+        order = rest[order]
+        alone = [order[: edges[1]]]
         for n in range(1, LONGEST + 1):
             group = order[edges[n] : edges[n + 1]]
             if len(group) < FEWEST:
@@ -217,7 +375,9 @@ class PieceEncoder:
             for low in range(0, len(group), MOST):
                 some = group[low : low + MOST]
                 mine, back = np.unique(where[some], return_inverse=True)
-                table = np.frombuffer(b"".join(tables[k] for k in mine.tolist()), np.int32)
+                table, whole = self.held([units[k] for k in mine.tolist()], n)
+                alone.append(some[~whole[back]])
+                some, back = some[whole[back]], back[whole[back]]
                 base = back * (n * (n + 1) // 2)
                 which, at, stop = self.side_by_side(table, n, base, own[some])
                 counts[some] = np.bincount(which, minlength=len(some))

@@ -155,3 +155,42 @@ def test_occurrences_of_a_word_draw_on_their_own():
     assert len(set(ways)) > 10
     short = [len(own.unit("of", int(k))) for k in mix64(np.arange(4000))]
     assert abs(np.mean(np.array(short) == 2) - 0.1) < 0.02
+
+
+def test_dropout_equals_merging_one_pair_at_a_time():
+    import random
+
+    import numpy as np
+
+    own = PieceEncoder(MODEL, 0.25, 5)
+    wrap = (1 << 64) - 1
+
+    def dropped(key, a, b, end):
+        x = (key ^ (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9)) & wrap
+        x = x * 0xFF51AFD7ED558CCD & wrap
+        return ((x ^ x >> 32) * 0xC4CEB9FE1A85EC53 & wrap) >> 32 < own.rate
+
+    def slowly(word, key):
+        parts = [(k, k + 1) for k in range(len(word))]
+        while True:
+            able = [(-own.pieces[word[a:e]][0], k) for k, ((a, b), (_, e)) in enumerate(zip(parts, parts[1:])) if word[a:e] in own.pieces and not dropped(key, a, b, e)]
+            if not able:
+                break
+            k = min(able)[1]
+            parts[k : k + 2] = [(parts[k][0], parts[k + 1][1])]
+        return [own.pieces[word[a:e]][1] if word[a:e] in own.pieces else x for a, e in parts for x in ([0] if word[a:e] in own.pieces else [own.byte_ids[y] for y in word[a:e].encode()])]
+
+    random.seed(4)
+    # Equal scores do occur: the same pair twice in a word.
+    vocabulary = ["banana", "aaaa", "the", "Mississippi", "œuvre", "naïve", "日本", "0123456789", "𝔘", *("".join(random.choices("aeinrst", k=random.randint(1, 9))) for _ in range(300))]
+    for rounds in range(3):
+        # Many occurrences of a few words go along remembered paths, single ones run anew.
+        texts = [" ".join(random.choices(vocabulary, weights=[50] * 9 + [1] * 300, k=2000)), " ".join(random.sample(vocabulary, 200)), ""]
+        keys = np.arange(3) + 10 * rounds
+        for text, key, ids in zip(texts, mix64(keys.astype(np.uint64) ^ np.uint64(5)), own.encode(texts, keys)):
+            words = own.cut.findall("▁" + text.replace(" ", "▁")) if text else []
+            with np.errstate(over="ignore"):
+                draws = mix64(key + np.arange(len(words), dtype=np.uint64)).tolist()
+            assert ids.tolist() == [x for w, k in zip(words, draws) for x in slowly(w, k)]
+            assert own.decode(ids) == text
+    assert len(own.paths) > 100 and any(dropped for _, dropped, _ in own.paths.path)
