@@ -7,7 +7,8 @@ exceeds `<q,x> + s|x| + r|q| + sr`; a pair of nodes is dropped when that is belo
 score of the query node's queries. Queries first meet the blocks of their own cell, and then only the
 cells that their worst kth score cannot rule out.
 
-Components x become floor(256 * x), bounded by 32-bit integers. Vectors that are null, empty, or hold null
+Components x become floor(256 * x), of any size, and scores are exact; a score beyond 64 bits counts as the nearest
+64-bit integer, and components beyond the largest double as that. Vectors that are null, empty, or hold null
 or non-finite components take no part, as queries or candidates; neither do rows with a null id. Only
 vectors of equal length are compared. Repeated rows are candidates each; a query leaves out only its own row.
 Ties go to the smaller id. Fewer candidates than k give fewer rows, an empty table none. Other
@@ -35,6 +36,15 @@ PIVOTS = 64
 BLOCK, GROUP = 4096, 1024
 #: Nodes of no more vectors are leaves; so are nodes that fall apart into nearly as many children.
 LEAF = 16
+#: Bound of what rounding adds to a distance, as a part of the vectors' lengths.
+ROUNDING = 1e-6
+#: Stands for no score, and the range of scores.
+NONE, LOWEST, HIGHEST = -(1 << 63), 1 - (1 << 63), (1 << 63) - 1
+
+
+def components(blob: bytes, dim: int) -> np.ndarray:
+    """The components of a vector, stored in 32 bits where these hold all of them and as doubles where not."""
+    return np.frombuffer(blob, np.int32 if len(blob) == 4 * dim else np.float64)
 
 
 class CoverTree:
@@ -67,7 +77,8 @@ class CoverTree:
             at = stack.pop()
             begin, end = self.span[at]
             rows = self.order[begin:end]
-            if end - begin <= LEAF or self.radius[at] <= 1e-2:
+            # A radius beyond doubles says nothing.
+            if end - begin <= LEAF or not 1e-2 < self.radius[at] < np.inf:
                 continue
             reach = self.radius[at] / 2
             nearest = away(rows, self.centre[at])
@@ -96,12 +107,14 @@ class CoverTree:
 
 def packed(frame: pd.DataFrame) -> bytes:
     """A block as bytes: its tree, and rows in the tree's order."""
-    vectors = np.stack([np.frombuffer(x, np.int32) for x in frame["vec"]])
+    vectors = np.stack([components(x, dim) for x, dim in zip(frame["vec"], frame["dim"])])
     tree = CoverTree(vectors.astype(float))
     centres = vectors[tree.centre]
+    # Rounding of the distances grows with the vectors.
+    slack = ROUNDING * float(np.sqrt((vectors.astype(float) ** 2).sum(axis=1).max()))
     return pickle.dumps({
         "row": frame["row"].to_numpy()[tree.order], "id": frame["vec_id"].to_numpy()[tree.order], "vec": vectors[tree.order],
-        "centre": centres, "radius": np.asarray(tree.radius), "span": np.asarray(tree.span), "below": tree.below,
+        "centre": centres, "radius": np.asarray(tree.radius) + slack, "span": np.asarray(tree.span), "below": tree.below,
     })
 
 
@@ -109,7 +122,7 @@ class Best:
     """The k best (score, smaller id first) of each query, kept in order."""
 
     def __init__(self, queries: int, k: int, floor: np.ndarray):
-        self.score = np.full((queries, k), -(2**62), np.int64)
+        self.score = np.full((queries, k), NONE, np.int64)
         self.id = np.full((queries, k), 2**62, np.int64)
         self.floor = floor
 
@@ -124,25 +137,41 @@ class Best:
             # The kth largest score bounds what can stay; equal scores stay for the order of ids.
             bound = np.partition(scores, -k, axis=1)[:, -k]
             width = int((scores >= bound[:, None]).sum(axis=1).max())
-            some = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+            some = np.argsort(~scores, axis=1, kind="stable")[:, :width]
             scores, ids = np.take_along_axis(scores, some, 1), np.take_along_axis(ids, some, 1)
-        order = np.lexsort((ids, -scores), axis=1)[:, :k]
+        order = np.lexsort((ids, ~scores), axis=1)[:, :k]
         self.score[low:high] = np.take_along_axis(scores, order, 1)
         self.id[low:high] = np.take_along_axis(ids, order, 1)
 
 
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of both, exactly: in doubles or 64-bit integers if these hold every sum."""
+    most = left.shape[1] * int(max(np.abs(left.astype(float)).max(), 1)) * int(max(np.abs(right.astype(float)).max(), 1))
+    if most < 1 << 52:
+        return (left.astype(float) @ right.astype(float).T).astype(np.int64)
+    if most < 1 << 62:
+        return left.astype(np.int64) @ right.astype(np.int64).T
+    wide = [np.array([[int(x) for x in row] for row in some.tolist()], object) for some in (left, right)]
+    return np.clip(wide[0] @ wide[1].T, LOWEST, HIGHEST).astype(np.int64)
+
+
 def dual_search(queries: dict, block: dict, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, candidate id, score) of the k best in one block per query, none below its floor."""
     best = Best(len(queries["id"]), k, floor)
     q_centre, x_centre = queries["centre"].astype(float), block["centre"].astype(float)
     q_norm, x_norm = np.linalg.norm(q_centre, axis=1), np.linalg.norm(x_centre, axis=1)
-    q_vec, x_vec = queries["vec"].astype(float), block["vec"].astype(float)
-    exact = len(q_vec[0]) * np.abs(q_vec).max() * max(1.0, np.abs(x_vec).max()) < 2**52
+    q_vec, x_vec = queries["vec"], block["vec"]
+    if q_vec.dtype == x_vec.dtype == np.int32 and len(q_vec[0]) * int(np.abs(q_vec.astype(float)).max()) * int(np.abs(x_vec.astype(float)).max()) < 1 << 52:
+        # Doubles hold all products of these blocks.
+        q_vec, x_vec = q_vec.astype(float), x_vec.astype(float)
+        multiplied = lambda a, b: (a @ b.T).astype(np.int64)
+    else:
+        multiplied = products
 
     def bound(a: int, others: list[int]) -> np.ndarray:
         r, s = block["radius"][others], queries["radius"][a]
-        top = x_centre[others] @ q_centre[a] + s * x_norm[others] + r * q_norm[a] + r * s
-        return top + 1e-9 * np.abs(top) + 1e-3
+        far = s * x_norm[others] + r * q_norm[a] + r * s
+        return x_centre[others] @ q_centre[a] + far + 1e-9 * (far + x_norm[others] * q_norm[a]) + 1e-3
 
     stack = [(0, 0, np.inf)]
     while stack:
@@ -153,12 +182,9 @@ def dual_search(queries: dict, block: dict, k: int, floor: np.ndarray) -> tuple[
         q_below, x_below = queries["below"][a], block["below"][b]
         if not q_below and not x_below:
             begin, end = block["span"][b]
-            if exact:
-                scores = (q_vec[low:high] @ x_vec[begin:end].T).astype(np.int64)
-            else:
-                scores = queries["vec"][low:high].astype(np.int64) @ block["vec"][begin:end].astype(np.int64).T
+            scores = multiplied(q_vec[low:high], x_vec[begin:end])
             own = queries["row"][low:high, None] == block["row"][None, begin:end]
-            scores[own] = -(2**62)
+            scores[own] = NONE
             best.offer(low, high, scores, block["id"][begin:end])
             continue
         pairs = []
@@ -167,26 +193,32 @@ def dual_search(queries: dict, block: dict, k: int, floor: np.ndarray) -> tuple[
             pairs += [(one, other, float(t)) for other, t in zip(others, bound(one, others))]
         # The most promising pair comes off the stack first.
         stack += sorted(pairs, key=lambda x: x[2])
-    at, place = np.nonzero((best.score > -(2**62)) & (best.score >= best.floor[:, None]))
+    at, place = np.nonzero((best.score > NONE) & (best.score >= best.floor[:, None]))
     return at, best.id[at, place], best.score[at, place]
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Rows that take part: row, vec_id, dim, vec (32-bit integers)."""
+    """Rows that take part: row, vec_id, dim, vec (see `components`)."""
     # The vector's elements stay nullable for Arrow.
     narrow = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
 
+    most = np.finfo(np.float64).max
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vecs = [], []
+            ids, dims, vecs = [], [], []
             for one, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 values = x.values
                 if len(values) and not values.null_count:
                     value = values.to_numpy(zero_copy_only=False)
                     if np.isfinite(value).all():
                         ids.append(one)
-                        vecs.append(np.clip(np.floor(SCALE * value), -(2**31), 2**31 - 1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(v) // 4 for v in vecs], pa.int64()), pa.array(vecs, pa.binary())], names=["vec_id", "dim", "vec"])
+                        with np.errstate(over="ignore"):
+                            floors = np.clip(np.floor(SCALE * value), -most, most)
+                        narrow = -(2**31) <= floors.min() and floors.max() < 2**31
+                        dims.append(len(floors))
+                        vecs.append(floors.astype(np.int32 if narrow else np.float64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int64()), pa.array(vecs, pa.binary())], names=["vec_id", "dim", "vec"])
 
     return cut_lineage(narrow.mapInArrow(run, "vec_id long, dim long, vec binary").withColumn("row", F.monotonically_increasing_id()))
 
@@ -201,12 +233,14 @@ def in_cells(rows: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
             blobs = batch.column("vec").to_pylist()
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
-                x = np.stack([np.frombuffer(blobs[k], np.int32) for k in mine]).astype(float)
+                x = np.stack([components(blobs[k], dim) for k in mine]).astype(float)
                 near = [k for k, p in enumerate(pivots) if len(p) == dim]
                 if near:
                     p = np.stack([pivots[k] for k in near])
                     square = np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1) - 2 * x @ p.T, 0)
-                    cell[mine], far[mine] = np.asarray(near)[square.argmin(1)], np.sqrt(square.min(1))
+                    best = square.argmin(1)
+                    cell[mine] = np.asarray(near)[best]
+                    far[mine] = np.sqrt(square.min(1)) + ROUNDING * (np.linalg.norm(x, axis=1) + np.linalg.norm(p[best], axis=1))
                 else:
                     far[mine] = np.linalg.norm(x, axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
@@ -222,7 +256,7 @@ def blocks_of(rows: DataFrame, size: int) -> DataFrame:
 
     counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks"))
     dealt = rows.join(F.broadcast(counts), "cell").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
-    return cut_lineage(dealt.select("cell", "block", "row", "vec_id", "vec").groupBy("cell", "block").applyInPandas(pack, "cell long, block long, body binary"))
+    return cut_lineage(dealt.select("cell", "block", "row", "vec_id", "dim", "vec").groupBy("cell", "block").applyInPandas(pack, "cell long, block long, body binary"))
 
 
 def _found(pairs: DataFrame, k: int) -> DataFrame:
@@ -233,7 +267,7 @@ def _found(pairs: DataFrame, k: int) -> DataFrame:
             for q, x, rows, floors in zip(*(batch.column(n).to_pylist() for n in ("q_body", "body", "rows", "floors"))):
                 queries, block = pickle.loads(q), pickle.loads(x)
                 known = dict(zip(rows or [], floors or []))
-                floor = np.asarray([known.get(r, -(2**62)) for r in queries["row"].tolist()], np.int64)
+                floor = np.asarray([known.get(r, NONE) for r in queries["row"].tolist()], np.int64)
                 at, ids, scores = dual_search(queries, block, k, floor)
                 yield pa.RecordBatch.from_arrays([pa.array(queries["row"][at]), pa.array(queries["id"][at]), pa.array(ids), pa.array(scores)], names=["row", "query_id", "vec_id", "score"])
 
@@ -246,8 +280,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     Returns query_id, rank (from 1), vec_id, score.
     """
     rows = quantised(vectors, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("row"), "row").limit(PIVOTS).select("vec").collect()
-    pivots = [np.frombuffer(x["vec"], np.int32).astype(float) for x in sample]
+    sample = rows.orderBy(F.xxhash64("row"), "row").limit(PIVOTS).select("vec", "dim").collect()
+    pivots = [components(x["vec"], x["dim"]).astype(float) for x in sample]
     placed = in_cells(rows, pivots)
     blocks = blocks_of(placed, BLOCK)
     groups = blocks_of(placed.where(queries), GROUP).select("cell", F.col("block").alias("group"), F.col("body").alias("q_body"))
@@ -263,7 +297,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     kth = home.groupBy("row").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
     sizes = placed.where(queries).groupBy("cell").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("blocks"))
     asked = placed.where(queries).join(F.broadcast(sizes), "cell").withColumn("group", F.pmod(F.xxhash64("row"), "blocks"))
-    floors = asked.join(kth, "row", "left").select("cell", "group", "row", F.coalesce("floor", F.lit(-(2**62))).alias("floor"))
+    floors = asked.join(kth, "row", "left").select("cell", "group", "row", F.coalesce("floor", F.lit(NONE)).alias("floor"))
     floors = floors.groupBy("cell", "group").agg(F.collect_list("row").alias("rows"), F.collect_list("floor").alias("floors"), F.min("floor").alias("worst"))
     # At most PIVOTS cells, and one for each further length.
     cells = [(x["cell"], x["far"]) for x in placed.groupBy("cell").agg(F.max("far").alias("far")).collect()]
@@ -278,8 +312,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
                     x = pivots[other] if other >= 0 else np.zeros(-other)
                     if other != cell and len(x) == len(q):
                         far = far * (1 + 1e-9) + 1e-3
-                        top = q @ x + s * np.linalg.norm(x) + far * np.linalg.norm(q) + s * far
-                        if top + 1e-9 * abs(top) + 1e-3 >= worst:
+                        size, own = np.linalg.norm(x), np.linalg.norm(q)
+                        slack = s * size + far * own + s * far
+                        # Bounds that are beyond doubles drop nothing.
+                        if not q @ x + slack + 1e-9 * (slack + size * own) + 1e-3 < worst:
                             out.append((cell, group, other))
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["q_cell", "q_group", "cell"])

@@ -42,12 +42,31 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert [tuple(r)[:3] for r in top_k(few, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1)]
 
 
+def test_top_k_of_large_components_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PIVOTS", 4)
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    rng = np.random.default_rng(9)
+    rows = [(0, [1.0, 1.0]), (1, [9e6, 0.0]), (2, [1e7, 0.0]), (3, [1.2e7, 0.0]), (50, [-3e12, 7.0]), (100, [1e300, 0.0]), (150, [-1.7e308, 0.0])]
+    rows += [(int(k), [float(x) for x in rng.normal(size=2) * 10.0 ** rng.integers(0, 14)]) for k in range(200, 500)]
+    rows += [(k, [2.0**40 + k, 2.0**41]) for k in range(501, 530)]
+    vectors = {i: [int(np.floor(256 * x)) if abs(x) < 1e305 else int(np.copysign(np.finfo(float).max, x)) for x in v] for i, v in rows}
+    wanted = []
+    for i, q in vectors.items():
+        if i % 50 == 0:
+            score = {j: max(topk.LOWEST, min(topk.HIGHEST, sum(a * b for a, b in zip(q, x)))) for j, x in vectors.items() if j != i}
+            wanted += [(i, rank + 1, j, score[j]) for rank, j in enumerate(sorted(score, key=lambda j: (-score[j], j))[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(wanted)
+    few = top_k(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
+    assert [tuple(x) for x in few] == [(0, 1, 3, 256**2 * 12_000_000), (0, 2, 2, 256**2 * 10_000_000), (0, 3, 1, 256**2 * 9_000_000)]
+
+
 def test_dual_trees_drop_pairs():
     rng = np.random.default_rng(1)
     import pandas as pd
 
     def pack(points, start):
-        frame = pd.DataFrame({"row": np.arange(start, start + len(points)), "vec_id": np.arange(start, start + len(points)), "vec": [x.astype(np.int32).tobytes() for x in points]})
+        frame = pd.DataFrame({"row": np.arange(start, start + len(points)), "vec_id": np.arange(start, start + len(points)), "dim": points.shape[1], "vec": [x.astype(np.int32).tobytes() for x in points]})
         return topk.pickle.loads(topk.packed(frame))
 
     # Tight groups far apart: most node pairs can be ruled out.
