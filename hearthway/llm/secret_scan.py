@@ -3,7 +3,9 @@
 Spans of the kinds `assign`, `access` and `hex` come from patterns alone. Candidates in base64 or
 hexadecimal digits are decoded and reported only if what they hold is whole: a private key in DER whose
 nested lengths fill each other exactly, an OpenSSH private key with its length-prefixed fields, or a
-signed token with a JSON header that names an algorithm.
+signed token with a JSON header that names an algorithm. Keys may stand in PEM marks with real or escaped line ends, or
+as base64 wrapped over lines; a key joined to text before it by `/`, `-`, `_` or `+`, or hexadecimal digits with an odd one at an end, are tried
+where such a key can begin.
 
 Null text counts as empty and has no spans. Whole texts are scanned, whatever their length. Rows
 with null ids and repeated rows are scanned like others. Empty tables give empty results. Places count
@@ -37,6 +39,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([^-]*)-----END \1PRIVATE KEY-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 TOKEN = re.compile(r"ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: How a key begins in base64: the sequence of DER, or the OpenSSH magic.
+BEGIN = r"(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)"
+#: A key that is glued to something in front of it.
+GLUED = re.compile(rf"(?<=[-_+/]){BEGIN}")
+#: A key in base64 over several lines, with real or escaped line ends, the first line full.
+LINE_END = re.compile(r"\r?\n|\\r\\n|\\n")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{{60,80}}[\r\n\\]){BEGIN}[A-Za-z0-9+/]+(?:(?:\r?\n|\\r\\n|\\n)[A-Za-z0-9+/]+={{0,2}})+")
 LONG_HEX = re.compile(r"[0-9A-Fa-f]{80,}")
 SSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -135,6 +144,48 @@ def is_signed_token(text: str) -> bool:
     return head["alg"].lower() == "none" or len(from_base64(signature) or b"") >= 16
 
 
+def der_chars(run: str) -> int:
+    """How many characters of base64, but for padding, the DER value has that begins here; 0 if none does."""
+    head = from_base64(run[:8]) if len(run) >= 8 else None
+    if not head or head[0] != 0x30:
+        return 0
+    count = head[1] & 0x7F if head[1] & 0x80 else 0
+    if count > 4:
+        return 0
+    size = int.from_bytes(head[2 : 2 + count], "big") if count else head[1]
+    return ((2 + count + size) * 4 + 2) // 3
+
+
+def key_kind(run: str) -> str | None:
+    """The kind of the key that a base64 run holds, if it does. Only runs as long as their first bytes say are decoded."""
+    bare = run.rstrip("=")
+    if der_chars(bare) == len(bare):
+        return "der" if is_private_key(from_base64(run) or b"") else None
+    return "openssh" if bare.startswith("b3Blbn") and is_openssh_key(from_base64(run) or b"") else None
+
+
+def glued_key(run: str) -> tuple[int, str] | None:
+    """Where a key begins that ends with the run, and its kind. Of several OpenSSH magics the last is tried."""
+    size = len(run.rstrip("="))
+    magics = [m.start() for m in GLUED.finditer(run) if run.startswith("b3", m.start())][-1:]
+    for at in [*(m.start() for m in GLUED.finditer(run) if run[m.start()] == "M"), *magics]:
+        if (at in magics or der_chars(run[at : at + 8]) == size - at) and (kind := key_kind(run[at:])):
+            return at, kind
+    return None
+
+
+def wrapped_key(block: str) -> tuple[int, str] | None:
+    """Where the key stops that a block of base64 lines begins with, and its kind. It ends with a line."""
+    need = der_chars(block)
+    bare = stop = 0
+    for line in re.finditer(r"([A-Za-z0-9+/]+)={0,2}", LINE_END.sub(lambda m: " " * len(m[0]), block)):
+        bare, stop = bare + len(line[1]), line.end()
+        if need and bare >= need:
+            break
+    kind = key_kind(LINE_END.sub("", block[:stop])) if stop else None
+    return (stop, kind) if kind else None
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets, by start and then by kind as listed."""
     found = []
@@ -146,22 +197,28 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            body = "".join(x for x in m[2].splitlines() if ":" not in x)
+            body = "".join(x for x in LINE_END.split(m[2]) if ":" not in x)
             data = from_base64("".join(body.split()))
             # The body of an encrypted key of the old form has no structure; its headers have.
             if data and (is_private_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[2] and "DEK-Info:" in m[2]):
                 found.append((m.start(), m.end(), "pem"))
     for m in BASE64.finditer(text):
-        data = from_base64(m[0])
-        if data and data[:1] == b"\x30" and is_private_key(data):
-            found.append((m.start(), m.end(), "der"))
-        elif data and is_openssh_key(data):
-            found.append((m.start(), m.end(), "openssh"))
+        if kind := key_kind(m[0]):
+            found.append((m.start(), m.end(), kind))
+        elif glued := glued_key(m[0]):
+            found.append((m.start() + glued[0], m.end(), glued[1]))
+    marked = [(start, end) for start, end, kind in found if kind == "pem"]
+    for m in WRAPPED.finditer(text):
+        if (key := wrapped_key(m[0])) and not any(start < m.start() < end for start, end in marked):
+            found.append((m.start(), m.start() + key[0], key[1]))
     if "ey" in text:
         found += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     for m in LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), "hexkey"))
+        # With an odd number of digits one at either end is not the key's.
+        for low, high in [(0, len(m[0]))] if len(m[0]) % 2 == 0 else [(0, len(m[0]) - 1), (1, len(m[0]))]:
+            if m[0].startswith("30", low) and is_private_key(bytes.fromhex(m[0][low:high])):
+                found.append((m.start() + low, m.start() + high, "hexkey"))
+                break
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

@@ -76,6 +76,28 @@ def test_structure_is_confirmed():
     assert der_items(b"\x30\x81\x01") is None and der_items(b"") == []
 
 
+def test_keys_in_other_forms_are_found():
+    import textwrap
+
+    kinds = lambda text: [(text[a:b], k) for a, b, k in find_secrets(text) if k not in ("assign", "access", "hex")]
+    for data, kind in ((RSA, "der"), (SSH, "openssh")):
+        run = base64.b64encode(data).decode()
+        for end in ("\n", "\r\n", "\\n", "\\r\\n"):
+            body = end.join(textwrap.wrap(run, 64))
+            block = f"-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----{end}"
+            assert (block[: -len(end)], "pem") in kinds(f'{{"key": "{block}"}}')
+            assert kinds(f"key:{end} {body} {end}") == [(body, kind)]
+        assert kinds(f"path/x/{run} y") == [(run, kind)] and kinds(f"a-{run}") == [(run, kind)]
+    body = "\n".join(textwrap.wrap(base64.b64encode(RSA).decode(), 64))
+    assert kinds(f"{body}\nnext\nline") == [(body, "der")]
+    for text in ("a" + RSA.hex().upper(), RSA.hex() + "B"):
+        assert [(x.lower(), k) for x, k in kinds(text)] == [(RSA.hex(), "hexkey")]
+    changed = base64.b64encode(RSA[:-1] + b"xy").decode()
+    assert kinds(changed) == kinds("x/" + changed) == kinds("\n".join(textwrap.wrap(changed, 64))) == []
+    # Long texts that look like many beginnings take no longer than others.
+    assert kinds("/MIIB" * 200_000) == kinds("/b3BlbnNzaC1rZXktdjEA" * 20_000) == kinds("MIIB" * 200_000) == kinds(("MIIB" * 16 + "\n") * 5000) == []
+
+
 def test_redaction_keeps_rows_and_clean_texts(spark):
     df = spark.createDataFrame([(1, "clean text", 10, "a"), (2, "x token=abcdefghijkl y", 5, None), (3, None, None, "b"), (3, None, None, "b")], "doc_id long, text string, n_chars long, kind string")
     got = sorted(map(tuple, redact(df).collect()), key=str)
