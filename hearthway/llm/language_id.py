@@ -1,9 +1,12 @@
 """Language identification by known words, backing off to character n-grams.
 
-Fitting counts words and character n-grams per language over a bounded sample of labelled texts. A
+Fitting counts words and character n-grams per language over a bounded sample of labelled texts, of which every
+language has an equal share, as it has of the words and n-grams kept, so a frequent language does not push out a rare one. A
 known word scores by its log frequency in each language. A word that was not seen scores by the longest
 known character n-grams in it: at each place the length falls back from `LONGEST` until an n-gram is known. A text
-is the sum over its words, and its score the posterior of the best language.
+is the sum over its words. Its score is the posterior of the best language times the evidence of the text: the mean over its words of 1 for a
+known word, else of the share of places where an n-gram of `TELLING` or more is known. A text of a language that was not learned
+has little evidence, however sure the posterior.
 
 Words are runs of letters in any script. A text that is null or has no letter is `und` with score 0, and so is every
 text when nothing was learned. Whole texts are read, whatever their length. Ties go to the first language in
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +32,11 @@ from hearthway.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
-#: Labelled texts that are learned from, about; chosen by a hash of the id.
+#: Length of n-grams that are evidence of a learned language; single letters and pairs are common to most of a script.
+TELLING = 3
+#: Labelled texts that are learned from, about; chosen by a hash of the id, as many of each language.
 TRAIN_ROWS = 20_000
-#: Words and n-grams that a model keeps; the most frequent ones.
+#: Words and n-grams that a model keeps; the most frequent ones of each language, as many of each.
 KEPT_WORDS, KEPT_GRAMS = 100_000, 40_000
 #: Scores of unseen words that a worker remembers.
 KEPT_UNSEEN = 100_000
@@ -47,7 +52,7 @@ def grams(word: str) -> Iterator[str]:
 
 
 class Model:
-    """Log frequencies per language of words and n-grams."""
+    """Log frequencies per language of words and n-grams; `texts` counts all labelled texts of each language."""
 
     def __init__(self, languages: list[str], words: dict[str, list[int]], counts: dict[str, list[int]], texts: list[int]):
         self.languages = languages
@@ -68,21 +73,28 @@ class Model:
 
     def word(self, word: str) -> np.ndarray:
         """The score of a word in each language."""
+        return self.judged(word)[:-1]
+
+    def judged(self, word: str) -> np.ndarray:
+        """The score of a word in each language, and last its evidence."""
         if (known := self.words.get(word)) is not None:
-            return known
+            return np.append(known, 1.0)
         marked = f"_{word}_"
-        total, n = np.zeros(len(self.languages)), 0
+        total, n, telling = np.zeros(len(self.languages)), 0, 0
         for k in range(len(marked) - 1):
             for size in range(min(LONGEST, len(marked) - k), 0, -1):
                 found = self.grams.get(marked[k : k + size])
                 if found is not None:
                     total = total + found
                     n += 1
+                    telling += size >= TELLING
                     break
-        return total / n if n else total
+        # The last TELLING - 2 places are too near to the end to hold such an n-gram.
+        places = max(1, len(marked) - TELLING + 1)
+        return np.append(total / n if n else total, min(1.0, telling / places))
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The best language of each text, and its posterior."""
+        """The best language of each text, and its score."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         split = [WORD.findall(x.lower()) for x in texts]
@@ -91,46 +103,55 @@ class Model:
         lettered = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in unique], bool)
         if len(self.seen) > KEPT_UNSEEN:
             self.seen.clear()
-        table = np.zeros((len(unique) + 1, len(self.languages)))
+        table = np.zeros((len(unique) + 1, len(self.languages) + 1))
         for k, w in enumerate(unique):
             if lettered[k]:
                 found = self.seen.get(w)
                 if found is None:
-                    found = self.seen[w] = self.word(w)
+                    found = self.seen[w] = self.judged(w)
                 table[k] = found
         ends = np.cumsum([len(x) for x in split], dtype=np.int64)
         where = flat.indices.to_numpy(zero_copy_only=False)
-        running = np.zeros((len(where) + 1, len(self.languages)))
+        running = np.zeros((len(where) + 1, len(self.languages) + 1))
         np.cumsum(table[where], axis=0, out=running[1:])
         letters = np.concatenate([[0], np.cumsum(lettered[where])])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        total = running[ends] - running[starts] + self.prior
+        sums = running[ends] - running[starts]
+        total = sums[:, :-1] + self.prior
         best = total.argmax(axis=1)
         odds = np.exp(total - total.max(axis=1, keepdims=True))
-        has = letters[ends] > letters[starts]
-        scores = np.where(has, odds.max(axis=1) / odds.sum(axis=1), 0.0)
-        return [self.languages[b] if h else UNKNOWN for b, h in zip(best, has)], scores
+        words = letters[ends] - letters[starts]
+        evidence = np.clip(sums[:, -1] / np.maximum(words, 1), 0.0, 1.0)
+        scores = np.where(words > 0, evidence * odds.max(axis=1) / odds.sum(axis=1), 0.0)
+        return [self.languages[b] if n else UNKNOWN for b, n in zip(best, words)], scores
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple:
-    """Learn from about `rows` of the rows where `learn` holds and the language is given: the arguments of `Model`."""
-    labelled = docs.where(learn & F.col(lang_col).isNotNull())
-    share = min(1.0, rows / max(1, labelled.select(lang_col).count()))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(6)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    narrow = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    """Learn from about `rows` of the rows where `learn` holds and the language is given, as many of each language: the arguments of `Model`.
+
+    Languages are a short list by nature; their counts, and the words and n-grams kept, reach the driver.
+    """
+    spark = docs.sparkSession
+    labelled = docs.where(learn & F.col(lang_col).isNotNull()).withColumn("_lang", F.col(lang_col).cast("string"))
+    texts = {x["_lang"]: x["n"] for x in labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(texts)
+    if not languages:
+        return [], {}, {}, []
+    bounds = spark.createDataFrame([(k, int(min(1.0, max(1, rows // len(texts)) / n) * (1 << 30))) for k, n in texts.items()], "_lang string, _bound long")
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(6)), F.lit(1 << 30))
+    chosen = labelled.select("_lang", F.col(text_col).alias("_text"), draw.alias("_draw")).join(F.broadcast(bounds), "_lang").where("_draw < _bound")
+    narrow = chosen.select(F.col("_lang").alias("lang"), F.col("_text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[tuple[str, str]] = Counter()
-        texts: Counter[str] = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1))):
-                texts[lang] += 1
                 words.update((lang, w) for w in WORD.findall(text.lower()))
         chars: Counter[tuple[str, str]] = Counter()
         for (lang, word), n in words.items():
             for g in grams(word):
                 chars[lang, g] += n
-        for kind, counts in (("word", words), ("gram", chars), ("text", {(k, ""): n for k, n in texts.items()})):
+        for kind, counts in (("word", words), ("gram", chars)):
             items = list(counts.items())
             for k in range(0, len(items), 50_000):
                 some = items[k : k + 50_000]
@@ -141,18 +162,18 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     counted = narrow.mapInArrow(trimmed(count), "kind string, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
     counted = cut_lineage(counted)
-    texts = {x["lang"]: x["n"] for x in counted.where("kind = 'text'").collect()}
-    languages = sorted(texts)
-
-    def top(kind: str, most: int, least: int) -> dict[str, list[int]]:
-        items = counted.where(F.col("kind") == kind).groupBy("item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        table = {}
-        for x in items.where(F.col("total") >= least).orderBy(F.desc("total"), "item").limit(most).collect():
-            by = dict(x["by"])
-            table[x["item"]] = [by.get(lang, 0) for lang in languages]
-        return table
 
-    return languages, top("word", KEPT_WORDS, 3), top("gram", KEPT_GRAMS, 3), [texts[x] for x in languages]
+    def top(kind: str, most: int) -> dict[str, list[int]]:
+        mine = counted.where((F.col("kind") == kind) & (F.col("n") >= 2))
+        placed = mine.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item")))
+        kept = placed.where(F.col("_place") <= max(1, most // len(languages))).select("item").distinct()
+        table: dict[str, list[int]] = {}
+        place = {lang: k for k, lang in enumerate(languages)}
+        for x in counted.where(F.col("kind") == kind).join(kept, "item", "left_semi").select("lang", "item", "n").collect():
+            table.setdefault(x["item"], [0] * len(languages))[place[x["lang"]]] = x["n"]
+        return dict(sorted(table.items()))
+
+    return languages, top("word", KEPT_WORDS), top("gram", KEPT_GRAMS), [texts[x] for x in languages]
 
 
 def predict(docs: DataFrame, model: tuple, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

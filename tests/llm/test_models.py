@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from hearthway.llm import quality, topk, toxicity
+from hearthway.llm import language_id, quality, topk, toxicity
 from hearthway.llm.language_id import Model, identify, keep_identified
 from hearthway.llm.topk import top_k
 
@@ -106,6 +106,58 @@ def test_backoff_takes_the_longest_known_ngram():
     assert np.allclose(model.word("xy"), expected)
 
 
+def test_a_rare_language_is_learned_beside_a_frequent_one(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "KEPT_WORDS", 40)
+    monkeypatch.setattr(language_id, "KEPT_GRAMS", 200)
+    rng = np.random.default_rng(5)
+    often = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    seldom = ["".join(rng.choice(list("stuvwxyz"), 5)) for _ in range(15)]
+    rows = [(k, " ".join(rng.choice(often, 40)), "aa", None, None) for k in range(3000)]
+    rows += [(k, " ".join(rng.choice(seldom, 40)), "zz", None, None) for k in range(3000, 3006)]
+    df = spark.createDataFrame(rows, DOCS)
+    languages, words, _, texts = language_id.fit(df, F.lit(True), rows=60)
+    assert languages == ["aa", "zz"] and texts == [3000, 6] and len(words) <= 40
+    assert sum(n[1] > 0 for n in words.values()) == 15
+    asked = spark.createDataFrame([(1, " ".join(seldom[:6]), "aa", None, None)], DOCS)
+    assert [r["lang_pred"] for r in language_id.predict(asked.select("doc_id", "text"), (languages, words, {}, texts)).collect()] == ["zz"]
+
+
+def test_text_of_an_unlearned_language_scores_low(spark):
+    rows = [(k, "the quick dog and the cat" if k % 2 else "der schnelle hund und die katze", "en" if k % 2 else "de", None, None) for k in range(200)]
+    foreign = [(1000, "быстрая собака и кошка", None, None, None), (1001, "nopea koira ja kissa juoksivat ulos pihalle", None, None, None), (1002, "the dog and быстрая", None, None, None)]
+    df = spark.createDataFrame(rows + foreign, DOCS)
+    got = {r["doc_id"]: r["score"] for r in identify(df).collect()}
+    assert got[1000] == 0 and got[1001] < 0.5 < got[1002] <= 0.75 and got[1] > 0.9
+    assert {r["doc_id"] for r in keep_identified(df).where("doc_id >= 1000").collect()} == {1002}
+
+
+def test_scores_match_a_plain_reading(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(200)
+    languages, words, grams, texts = language_id.fit(docs, ~language_id.held_out())
+    logs = {}
+    for table in [words] + [{g: c for g, c in grams.items() if len(g) == n} for n in range(1, 5)]:
+        sums = [sum(c[k] + 0.5 for c in table.values()) for k in range(len(languages))]
+        logs |= {(table is words, x): [np.log((c[k] + 0.5) / sums[k]) for k in range(len(languages))] for x, c in table.items()}
+    for row in language_id.predict(docs.select("doc_id", "text"), (languages, words, grams, texts)).collect():
+        total, evidence, n = [np.log(t / sum(texts)) for t in texts], 0.0, 0
+        for word in language_id.WORD.findall((row["text"] or "").lower()):
+            if not any(c.isalpha() for c in word):
+                continue
+            n += 1
+            if word in words:
+                found, sure = [logs[True, word]], 1.0
+            else:
+                marked = f"_{word}_"
+                longest = [next((g for g in (marked[k : k + m] for m in (4, 3, 2, 1) if k + m <= len(marked)) if g in grams), None) for k in range(len(marked) - 1)]
+                found = [logs[False, g] for g in longest if g]
+                sure = sum(len(g) >= 3 for g in longest if g) / max(1, len(marked) - 2)
+            total = [t + (sum(f[k] for f in found) / len(found) if found else 0.0) for k, t in enumerate(total)]
+            evidence += sure
+        best = int(np.argmax(total))
+        score = evidence / n / sum(np.exp(t - total[best]) for t in total) if n else 0.0
+        assert row["lang_pred"] == (languages[best] if n else "und") and abs(row["score"] - score) < 1e-9
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
     lang = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
