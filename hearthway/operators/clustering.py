@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -90,12 +89,19 @@ def silhouette_scores(
     seed: int = 13,
     sample: int = 0,
     key: str | None = None,
+    metric: str = "squared",
 ) -> DataFrame:
     """(k, run, score) of repeated k-means fits.
 
     The score is the silhouette on squared Euclidean distance, which needs one pass. With
-    `sample` it is the Euclidean silhouette of that many rows instead.
+    `sample` it is the Euclidean silhouette of that many rows instead, with the metric `euclidean` and no
+    sample that of all rows; both need a `key`.
     """
+    if metric not in ("squared", "euclidean"):
+        raise ValueError(f"unknown metric {metric!r}")
+    euclidean = bool(sample) or metric == "euclidean"
+    if euclidean and key is None:
+        raise ValueError("a Euclidean silhouette needs a key")
     if min(ks) < 2:
         raise ValueError("a silhouette needs at least two clusters")
     kept = ["features", key] if key else ["features"]
@@ -105,7 +111,7 @@ def silhouette_scores(
     for k in ks:
         for run in range(iterations):
             labelled = _fit(data, k, seed + 1000 * k + run).transform(data)
-            if sample:
+            if euclidean:
                 score = silhouette_euclidean(labelled, sample, seed + run, key)
             else:
                 score = evaluator.evaluate(labelled)
@@ -114,17 +120,17 @@ def silhouette_scores(
     return df.sparkSession.createDataFrame(rows, "k int, run int, score double")
 
 
-#: Rows of a block of the Euclidean silhouette.
+#: Rows of a block of the Euclidean silhouette, about.
 SILHOUETTE_BLOCK = 2_000
 
 
 def silhouette_euclidean(labelled: DataFrame, sample: int, seed: int, key: str) -> float | None:
     """Mean Euclidean silhouette of `sample` random rows among themselves; 0 takes all rows.
 
-    Rows are written in blocks of one cluster each, and every block meets every other in a join, so
-    neither a task nor the driver holds more than two blocks. Each pair of blocks gives the sums of
-    distances of the rows of one to the rows of the other. The work grows with the square of
-    the rows, which is what the measure is made of. Fewer than two clusters have no silhouette.
+    Rows are dealt into blocks by a hash. Every unordered pair of blocks is a group of its own, so a
+    task holds two blocks and measures each distance once: it gives the sums of distances from the rows of either block
+    to the clusters of the other. The work grows with the square of the rows, which is what the measure is
+    made of. Fewer than two clusters have no silhouette.
     """
     chosen = sample_rows(labelled.select(key, "label", vector_to_array("features").alias("v")), sample, seed, key)
     rows = cut_lineage(chosen.select("label", "v").withColumn("row", F.monotonically_increasing_id()))
@@ -132,28 +138,17 @@ def silhouette_euclidean(labelled: DataFrame, sample: int, seed: int, key: str)
     if sizes.count() < 2:
         return None
     blocks = -(-rows.count() // SILHOUETTE_BLOCK)
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.array(frame["v"].tolist())
-        return pd.DataFrame({"label": frame["label"].iloc[:1], "part": frame["part"].iloc[:1], "size": [len(frame)], "rows": [frame["row"].to_numpy(np.int64).tobytes()], "v": [matrix.tobytes()]})
-
-    packed = cut_lineage(dealt.groupBy("label", "part").applyInPandas(pack, "label int, part long, size int, rows binary, v binary"))
-    other = packed.select(F.col("label").alias("other"), F.col("size").alias("others"), F.col("v").alias("w"))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                some, points = np.frombuffer(r.v).reshape(r.size, -1), np.frombuffer(r.w).reshape(r.others, -1)
-                sums = np.empty(len(some))
-                for low in range(0, len(some), 500):
-                    mine = some[low : low + 500]
-                    squares = (mine**2).sum(axis=1)[:, None] + (points**2).sum(axis=1) - 2 * mine @ points.T
-                    sums[low : low + 500] = np.sqrt(np.maximum(squares, 0)).sum(axis=1)
-                yield pd.DataFrame({"row": np.frombuffer(r.rows, np.int64), "label": r.label, "other": r.other, "d": sums})
-
-    pairs = packed.repartition(max(1, min(blocks * blocks, 200))).crossJoin(other)
-    sums = pairs.mapInPandas(measure, "row long, label int, other int, d double").groupBy("row", "label", "other").agg(F.sum("d").alias("d"))
+        packed = {"row": frame["row"].to_numpy(np.int64), "label": frame["label"].to_numpy(np.int32), "v": np.array(frame["v"].tolist())}
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "size": [len(frame)], **{n: [x.tobytes()] for n, x in packed.items()}})
+
+    packed = cut_lineage(dealt.groupBy("block").applyInPandas(pack, "block long, size int, row binary, label binary, v binary"))
+    placed = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    measured = pairs.groupBy("low", "high").applyInPandas(_distances, "row long, label int, other int, d double")
+    sums = measured.groupBy("row", "label", "other").agg(F.sum("d").alias("d"))
     inside = F.max(F.when(F.col("other") == F.col("label"), F.col("d") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("inside")
     outside = F.min(F.when(F.col("other") != F.col("label"), F.col("d") / F.col("n"))).alias("outside")
     alone = F.max((F.col("other") == F.col("label")) & (F.col("n") == 1)).alias("alone")
@@ -162,11 +157,55 @@ def silhouette_euclidean(labelled: DataFrame, sample: int, seed: int, key: str)
     return scored.agg(F.avg(F.when(F.col("alone"), 0.0).otherwise(F.coalesce(value, F.lit(0.0))))).first()[0]
 
 
+def _distances(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sums of distances between the rows of two blocks, or of one block among themselves, by cluster."""
+    blocks = [
+        (np.frombuffer(r.row, np.int64), np.frombuffer(r.label, np.int32), np.frombuffer(r.v).reshape(r.size, -1))
+        for r in frame.itertuples()
+    ]
+    # A pair one of whose blocks holds no rows has nothing to measure.
+    empty = pd.DataFrame({"row": np.zeros(0, np.int64), "label": np.zeros(0, np.int32), "other": np.zeros(0, np.int32), "d": np.zeros(0)})
+    if len(blocks) == 1 and frame["low"].iloc[0] != frame["high"].iloc[0]:
+        return empty
+    (rows, labels, points), (their_rows, their_labels, others) = blocks[0], blocks[-1]
+    clusters, place = np.unique(labels, return_inverse=True)
+    their_clusters, their_place = np.unique(their_labels, return_inverse=True)
+    forth = np.empty((len(rows), len(their_clusters)))
+    back = np.zeros((len(their_rows), len(clusters)))
+    member, their_member = np.eye(len(clusters))[place], np.eye(len(their_clusters))[their_place]
+    for low in range(0, len(rows), 500):
+        mine = points[low : low + 500]
+        squares = (mine**2).sum(axis=1)[:, None] + (others**2).sum(axis=1) - 2 * mine @ others.T
+        distance = np.sqrt(np.maximum(squares, 0))
+        forth[low : low + 500] = distance @ their_member
+        back += distance.T @ member[low : low + 500]
+    sides = [(rows, labels, their_clusters, forth)]
+    if len(blocks) == 2:
+        sides.append((their_rows, their_labels, clusters, back))
+    return pd.concat(
+        [
+            pd.DataFrame({"row": np.repeat(r, len(c)), "label": np.repeat(own, len(c)), "other": np.tile(c, len(r)), "d": d.ravel()})
+            for r, own, c, d in sides
+        ]
+    )
+
+
 def kmeans_assign(df: DataFrame, k: int = settings.CLUSTERS, seed: int = 13) -> DataFrame:
     """`df` with its k-means `label`."""
     return _fit(df, k, seed).transform(df)
 
 
+def named_by_lowest(df: DataFrame, labels: list[str], key: str) -> DataFrame:
+    """Each label column replaced by the lowest key of its cluster, so that numberings of clusters do not matter.
+
+    The names of the clusters are few rows, joined per label column.
+    """
+    for label in labels:
+        names = df.groupBy(F.col(label).alias("_label")).agg(F.min(key).alias("_name"))
+        df = df.join(names, F.col(label).eqNullSafe(F.col("_label"))).withColumn(label, F.col("_name")).drop("_label", "_name")
+    return df
+
+
 def kmeans_seed_test(
     df: DataFrame, k: int = settings.CLUSTERS, seeds: list[int] = settings.CLUSTER_SEEDS, n_runs: int = 10
 ) -> DataFrame:

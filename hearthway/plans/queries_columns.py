@@ -278,3 +278,25 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         not_null=["c_nationkey"],
         at_most_100=["c_acctbal"],
     )
+
+
+@query(
+    "check_invariants_orders",
+    """select count(*) = (select count(*) from orders) as rows_kept, count(*) filter (where o_custkey is null) = 0 as o_custkey_present,
+ count(*) filter (where doubted is null) = 0 as doubted_present, round(max(coalesce(sure, 0) + coalesce(rest, 0)), 0) = 100 as shares_add_up,
+ max(sure) <= 100 as sure_at_most_100, max(over) <= 100 as over_at_most_100, count(distinct o_orderkey) = count(*) as o_orderkey_unique from (
+ select *, o_orderkey % 100 as sure, 100 - o_orderkey % 100 as rest, o_orderkey % 100 + 50 as over, case when o_orderkey % 17 > 0 then 1 end as doubted from orders) o""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that hold beside facts that do not."""
+    orders = V.table(spark, sf_dir, "orders")
+    rest = F.col("o_orderkey") % 100
+    shares = orders.withColumns({"sure": rest, "rest": 100 - rest, "over": rest + 50, "doubted": F.when(F.col("o_orderkey") % 17 > 0, 1)})
+    return C.check_invariants(
+        shares,
+        key="o_orderkey",
+        expected_rows=orders.count(),
+        not_null=["o_custkey", "doubted"],
+        total_100=["sure", "rest"],
+        at_most_100=["sure", "over"],
+    )

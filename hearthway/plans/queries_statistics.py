@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthway import settings
 from hearthway.operators import aggregates as A
 from hearthway.operators import autocorrelation as M
+from hearthway.operators import classify as K
 from hearthway.operators import clustering as L
 from hearthway.operators import grid
 from hearthway.operators import reshape as R
@@ -354,3 +355,89 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = L.cluster_density(numbers(spark, sf_dir), "label", ["f0", "f1"], points=200)
     return curve.withColumns({"x": F.round("x", 6), "density": F.round("density", 6)})
+
+
+def separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as points of six groups far apart, on whole numbers: id, x, y, features."""
+    part, key = F.col("c_nationkey") % 6, F.col("c_custkey")
+    x = (300 * part + key % 13).cast("double").alias("x")
+    y = (300 * (part * part % 7) + key % 11).cast("double").alias("y")
+    return L.features(V.table(spark, sf_dir, "customer").select(key.alias("id"), x, y), ["x", "y"])
+
+
+SEPARATED_SQL = """g as (select c_custkey as id, c_nationkey % 6 as part, cast(300 * (c_nationkey % 6) + c_custkey % 13 as double) as x,
+ cast(300 * ((c_nationkey % 6) * (c_nationkey % 6) % 7) + c_custkey % 11 as double) as y from customer)"""
+LOWEST_SQL = "min(id) over (partition by part)"
+SILHOUETTE_SQL = f"""{SEPARATED_SQL}, s as (select part, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x + y * y) as q from g group by part),
+ d as (select id, g.part, s.part as other, n, n * (x * x + y * y) + q - 2 * (x * sx + y * sy) as total from g, s),
+ v as (select id, max(case when other = part then total / (n - 1) end) as a, min(case when other <> part then total / n end) as b from d group by id),
+ m as (select round(avg((b - a) / greatest(a, b)), 9) as score from v)"""
+
+
+@query("kmeans_assign_separated", f"with {SEPARATED_SQL} select id, {LOWEST_SQL} as label from g")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.named_by_lowest(L.kmeans_assign(separated(spark, sf_dir)).select("id", "label"), ["label"], "id")
+
+
+SEED_LABELS = [f"label_{seed}" for seed in settings.CLUSTER_SEEDS]
+
+
+@query("kmeans_seed_test_separated", f"with {SEPARATED_SQL} select id, {', '.join(f'{LOWEST_SQL} as {c}' for c in SEED_LABELS)} from g")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tested = L.kmeans_seed_test(separated(spark, sf_dir), n_runs=10)
+    return L.named_by_lowest(tested.select("id", *SEED_LABELS), SEED_LABELS, "id")
+
+
+@query(
+    "elbow_curve_separated",
+    f"""with {SEPARATED_SQL}, c as (select 1 as k, sqrt(pow(x - avg(x) over (), 2) + pow(y - avg(y) over (), 2)) as d from g
+ union all select 6, sqrt(pow(x - avg(x) over p, 2) + pow(y - avg(y) over p, 2)) from g window p as (partition by part))
+ select k, round(avg(d), 6) as distortion, round(sum(d * d), 1) as inertia from c group by k""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = L.elbow_curve(separated(spark, sf_dir), [1, 6])
+    return curve.withColumns({"distortion": F.round("distortion", 6), "inertia": F.round("inertia", 1)})
+
+
+@query("silhouette_scores_separated", f"with {SILHOUETTE_SQL} select 6 as k, run, score from m, (select unnest(range(10)) as run) r")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.silhouette_scores(separated(spark, sf_dir), [6], iterations=10).withColumn("score", F.round("score", 9))
+
+
+@query("silhouette_spread_separated", f"with {SILHOUETTE_SQL} select 6 as k, score as min, score as p25, score as median, score as p75, score as max from m")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.score_spread(L.silhouette_scores(separated(spark, sf_dir), [6], iterations=10).withColumn("score", F.round("score", 9)))
+
+
+@query(
+    "silhouette_euclidean_separated",
+    f"""with {SEPARATED_SQL}, d as (select p.id, p.part, q.part as other, sum(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))) as total, count(*) as n
+ from g p, g q group by p.id, p.part, q.part),
+ v as (select id, max(case when other = part then total / (n - 1) end) as a, min(case when other <> part then total / n end) as b from d group by id)
+ select 6 as k, 0 as run, round(avg((b - a) / greatest(a, b)), 9) as score from v""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = L.silhouette_scores(separated(spark, sf_dir), [6], iterations=1, key="id", metric="euclidean")
+    return scores.withColumn("score", F.round("score", 9))
+
+
+@query(
+    "pca_project_two",
+    """with g as (select c_custkey as id, c_acctbal / 1000 as x, c_nationkey / 10 as y from customer),
+ c as (select avg(x) as mx, avg(y) as my, var_samp(x) as a, covar_samp(x, y) as b, var_samp(y) as c from g),
+ e as (select mx, my, b as ux, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) - a as uy from c)
+ select id, round(abs((x - mx) * ux + (y - my) * uy) / sqrt(ux * ux + uy * uy), 6) as pc1,
+  round(abs((y - my) * ux - (x - mx) * uy) / sqrt(ux * ux + uy * uy), 6) as pc2 from g, e""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the scores: the direction of a component has no sign of its own."""
+    rows = V.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).cast("double").alias("x"), (F.col("c_nationkey") / 10).alias("y")
+    )
+    scores = L.pca_project(L.features(rows, ["x", "y"]))
+    return scores.select("id", *[F.round(F.abs(c), 6).alias(c) for c in ("pc1", "pc2")])
+
+
+@query("classify_natural_separated", f"with {SEPARATED_SQL} select id, x, part as x_class, max(x) over (partition by part) as x_upper from g")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.classify_natural(separated(spark, sf_dir).select("id", "x"), "x", 6)

@@ -329,3 +329,14 @@ def test_each_set_has_a_graph_of_its_own(spark):
     assert [tuple(r) for r in N.isolated_zones(members, graph, by=["set"]).collect()] == [("one", min(names))]
 
 
+
+
+def test_unknown_metric_and_missing_key_are_refused(spark):
+    for arguments in ({"metric": "cosine"}, {"metric": "euclidean"}, {"sample": 5}):
+        with pytest.raises(ValueError):
+            L.silhouette_scores(spark.range(3), [2], **arguments)
+
+
+def test_labels_named_by_the_lowest_key(spark):
+    df = spark.createDataFrame([(1, 5, 0), (2, 3, 0), (3, 5, 1), (4, None, 1)], "id int, a int, b int")
+    assert sorted(map(tuple, L.named_by_lowest(df, ["a", "b"], "id").select("id", "a", "b").collect())) == [(1, 1, 1), (2, 2, 1), (3, 1, 3), (4, 4, 3)]
