@@ -38,7 +38,7 @@ TELLING = 3
 TRAIN_ROWS = 20_000
 #: Words and n-grams that a model keeps; the most frequent ones of each language, as many of each.
 KEPT_WORDS, KEPT_GRAMS = 100_000, 40_000
-#: Scores of unseen words that a worker remembers.
+#: Scores of words that a worker remembers, about.
 KEPT_UNSEEN = 100_000
 UNKNOWN = "und"
 
@@ -62,7 +62,14 @@ class Model:
         self.grams: dict[str, np.ndarray] = {}
         for n in range(1, LONGEST + 1):
             self.grams |= self._logs({g: c for g, c in counts.items() if len(g) == n})
-        self.seen: dict[str, np.ndarray] = {}
+        self.rows = {g: k for k, g in enumerate(self.grams)}
+        self.table = np.array(list(self.grams.values()), float).reshape(len(self.rows), len(languages))
+        self.forget()
+
+    def forget(self) -> None:
+        """Judged words have a row of `store` each; the first row is that of words without a letter."""
+        self.places: dict[str, int] = {}
+        self.store = np.zeros((1, len(self.languages) + 1))
 
     @staticmethod
     def _logs(table: dict[str, list[int]]) -> dict[str, np.ndarray]:
@@ -73,25 +80,35 @@ class Model:
 
     def word(self, word: str) -> np.ndarray:
         """The score of a word in each language."""
-        return self.judged(word)[:-1]
-
-    def judged(self, word: str) -> np.ndarray:
-        """The score of a word in each language, and last its evidence."""
-        if (known := self.words.get(word)) is not None:
-            return np.append(known, 1.0)
-        marked = f"_{word}_"
-        total, n, telling = np.zeros(len(self.languages)), 0, 0
-        for k in range(len(marked) - 1):
-            for size in range(min(LONGEST, len(marked) - k), 0, -1):
-                found = self.grams.get(marked[k : k + size])
-                if found is not None:
-                    total = total + found
-                    n += 1
-                    telling += size >= TELLING
-                    break
-        # The last TELLING - 2 places are too near to the end to hold such an n-gram.
-        places = max(1, len(marked) - TELLING + 1)
-        return np.append(total / n if n else total, min(1.0, telling / places))
+        return self.judged([word])[0, :-1]
+
+    def judged(self, words: list[str]) -> np.ndarray:
+        """A row per word: its score in each language, and last its evidence."""
+        out = np.zeros((len(words), len(self.languages) + 1))
+        rows: list[int] = []
+        unseen, begins = [], []
+        for place, word in enumerate(words):
+            if (known := self.words.get(word)) is not None:
+                out[place, :-1], out[place, -1] = known, 1.0
+                continue
+            marked = f"_{word}_"
+            length, begin, telling = len(marked), len(rows), 0
+            for k in range(length - 1):
+                for size in range(min(LONGEST, length - k), 0, -1):
+                    row = self.rows.get(marked[k : k + size])
+                    if row is not None:
+                        rows.append(row)
+                        telling += size >= TELLING
+                        break
+            # The last TELLING - 1 places are too near to the end to hold such an n-gram.
+            out[place, -1] = min(1.0, telling / max(1, length - TELLING + 1))
+            if len(rows) > begin:
+                unseen.append(place)
+                begins.append(begin)
+        if unseen:
+            counts = np.diff(np.append(begins, len(rows)))
+            out[unseen, :-1] = np.add.reduceat(self.table[rows], begins, axis=0) / counts[:, None]
+        return out
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The best language of each text, and its score."""
@@ -101,15 +118,13 @@ class Model:
         flat = pa.array([w for x in split for w in x], pa.string()).dictionary_encode()
         unique = flat.dictionary.to_pylist()
         lettered = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in unique], bool)
-        if len(self.seen) > KEPT_UNSEEN:
-            self.seen.clear()
-        table = np.zeros((len(unique) + 1, len(self.languages) + 1))
-        for k, w in enumerate(unique):
-            if lettered[k]:
-                found = self.seen.get(w)
-                if found is None:
-                    found = self.seen[w] = self.judged(w)
-                table[k] = found
+        if len(self.places) > KEPT_UNSEEN:
+            self.forget()
+        fresh = [w for w, has in zip(unique, lettered) if has and w not in self.places]
+        if fresh:
+            self.places.update(zip(fresh, range(len(self.store), len(self.store) + len(fresh))))
+            self.store = np.concatenate([self.store, self.judged(fresh)])
+        table = self.store[np.fromiter((self.places.get(w, 0) for w in unique), np.int64, len(unique))]
         ends = np.cumsum([len(x) for x in split], dtype=np.int64)
         where = flat.indices.to_numpy(zero_copy_only=False)
         running = np.zeros((len(where) + 1, len(self.languages) + 1))
