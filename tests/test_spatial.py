@@ -362,3 +362,11 @@ def test_rectangles_are_settled_by_boxes(spark, monkeypatch):
         (8, [[{"x": 1.0, "y": 1.0}, {"x": None, "y": 1.0}, {"x": None, "y": None}, {"x": 1.0, "y": None}, {"x": 1.0, "y": 1.0}]]),
     ]
     assert {r.zone_id for r in S.contained_polygons(spark.createDataFrame(shapes, ZONE), "zone_id").collect()} == {1, 2, 3, 4, 6}
+
+
+def test_zone_graph_reads_written_outlines(spark):
+    """Outlines that are expressions do not reach the plan of the graph, which could not be optimised with them inside centroids."""
+    cells = grid.used_cells(spark.createDataFrame([(k, 700.0 * k, 900.0 * (k % 7)) for k in range(60)], POINT), 1000.0)
+    graph = N.zone_graph(grid.hex_outlines(cells, 1000.0), 2)
+    assert "LogicalRDD" not in graph._jdf.queryExecution().analyzed().toString()
+    assert graph.groupBy("i").count().filter("count < 2").count() == 0
