@@ -370,3 +370,16 @@ def test_zone_graph_reads_written_outlines(spark):
     graph = N.zone_graph(grid.hex_outlines(cells, 1000.0), 2)
     assert "LogicalRDD" not in graph._jdf.queryExecution().analyzed().toString()
     assert graph.groupBy("i").count().filter("count < 2").count() == 0
+
+
+def test_distance_band_tasks_follow_the_pairs(spark, monkeypatch):
+    """A crowd is spread over tasks by the pairs it forms, with the same pairs."""
+    draw = random.Random(4)
+    points = [(k, draw.uniform(0, 50), draw.uniform(0, 50)) for k in range(300)] + [(k, 500.0, draw.uniform(0, 3)) for k in range(300, 330)] + [(400, None, 1.0)]
+    monkeypatch.setattr(N, "BAND_POINTS", 16)
+    monkeypatch.setattr(N, "BAND_PAIRS", 1000)
+    edges = N.distance_band_weights(spark.createDataFrame(points, POINT), 10.0, "source_id")
+    known = [p for p in points if p[1] is not None]
+    near = {(i, j) for i, a, b in known for j, c, d in known if i != j and math.hypot(a - c, b - d) <= 10}
+    assert sorted((r.i, r.j) for r in edges.collect()) == sorted(near)
+    assert edges.rdd.getNumPartitions() > 8
