@@ -383,3 +383,15 @@ def test_distance_band_tasks_follow_the_pairs(spark, monkeypatch):
     near = {(i, j) for i, a, b in known for j, c, d in known if i != j and math.hypot(a - c, b - d) <= 10}
     assert sorted((r.i, r.j) for r in edges.collect()) == sorted(near)
     assert edges.rdd.getNumPartitions() > 8
+
+
+def test_isolated_points_form_no_pairs(spark, monkeypatch):
+    draw = random.Random(5)
+    points = [(k, draw.uniform(0, 200), draw.uniform(0, 200)) for k in range(150)]
+    points += [(500, 1000.0, 1000.0), (500, 1001.0, 1000.0), (501, 1000.0, 1006.0), (502, 1000.0, -3000.0), (503, None, 5.0), (504, float("nan"), 5.0), (505, float("nan"), 5.0), (None, 10.0, 10.0)]
+    points += [(600, -10.0, -400.0), (601, 0.0, -400.0), (602, 10.001, -400.0), (700, 0.0, -600.0), (700, 0.0, -600.0)]
+    linked = {i for i, a, b in points for j, c, d in points if None not in (i, j, a, c) and i != j and math.hypot(a - c, b - d) <= 10}
+    expected = sorted((k for k, _, _ in points if k not in linked), key=str)
+    monkeypatch.setattr(N, "distance_band_weights", None)
+    found = N.isolated_points(spark.createDataFrame(points, POINT), 10.0, "source_id")
+    assert sorted((r.source_id for r in found.collect()), key=str) == expected
