@@ -7,9 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from hearthway import settings
 from hearthway.functions import geometry as G
 from hearthway.operators.columns import with_global
+from hearthway.operators.kmeans import Fit, Points
 from hearthway.operators.ranking import quantiles
 from hearthway.operators.reshape import sample_rows, unpivot_long
 from hearthway.operators.equi import equi_join
@@ -51,34 +50,14 @@ def _fit(df: DataFrame, k: int, seed: int) -> KMeansModel:
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(df)
 
 
-def _distance_to_centre(model: KMeansModel) -> Column:
-    """Euclidean distance of a row to the centre of its label; k centres as literals."""
-    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
-    mine = F.get(centres, F.col("label"))
-    squares = F.zip_with(vector_to_array("features"), mine, lambda a, b: (a - b) * (a - b))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
-
-
 def elbow_curve(df: DataFrame, ks: list[int], seed: int = 13) -> DataFrame:
     """(k, distortion, inertia): mean distance and summed squared distance to the centres.
 
-    `df` has a vector column `features`. k = 1 has its centre at the mean. The table is
-    kept in memory and on disk while the fits run over it; one row per k is returned.
+    `df` has a vector column `features`. k = 1 has its centre at the mean. All fits share their passes over the distinct points; one row per k is returned.
     """
-    data = df.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for k in ks:
-        if k == 1:
-            scaler = StandardScaler(inputCol="features", outputCol="_c", withMean=True, withStd=False)
-            centred = scaler.fit(data).transform(data)
-            squares = F.transform(vector_to_array("_c"), lambda v: v * v)
-            measured = centred.select(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v)).alias("d"))
-        else:
-            model = _fit(data, k, seed)
-            measured = model.transform(data).select(_distance_to_centre(model).alias("d"))
-        found = measured.agg(F.avg("d").alias("distortion"), F.sum(F.col("d") * F.col("d")).alias("inertia")).first()
-        rows.append((k, found["distortion"], found["inertia"]))
-    data.unpersist()
+    points = Points(df)
+    found = points.measure(points.fit([Fit(k, seed) for k in ks]))
+    rows = [(k, float(found[n][:, 1].sum() / found[n][:, 0].sum()), float(found[n][:, 2].sum())) for n, k in enumerate(ks)]
     return df.sparkSession.createDataFrame(rows, "k int, distortion double, inertia double")
 
 
@@ -93,7 +72,7 @@ def silhouette_scores(
 ) -> DataFrame:
     """(k, run, score) of repeated k-means fits.
 
-    The score is the silhouette on squared Euclidean distance, which needs one pass. With
+    All fits and scores share their passes over the distinct points. The score is the silhouette on squared Euclidean distance, which needs one pass. With
     `sample` it is the Euclidean silhouette of that many rows instead, with the metric `euclidean` and no
     sample that of all rows; both need a `key`.
     """
@@ -104,19 +83,15 @@ def silhouette_scores(
         raise ValueError("a Euclidean silhouette needs a key")
     if min(ks) < 2:
         raise ValueError("a silhouette needs at least two clusters")
-    kept = ["features", key] if key else ["features"]
-    data = df.select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="label")
-    rows = []
-    for k in ks:
-        for run in range(iterations):
-            labelled = _fit(data, k, seed + 1000 * k + run).transform(data)
-            if euclidean:
-                score = silhouette_euclidean(labelled, sample, seed + run, key)
-            else:
-                score = evaluator.evaluate(labelled)
-            rows.append((k, run, float(score)))
-    data.unpersist()
+    points = Points(df)
+    runs = [(k, run) for k in ks for run in range(iterations)]
+    centres = points.fit([Fit(k, seed + 1000 * k + run) for k, run in runs])
+    if euclidean:
+        data = df.select("features", key)
+        scores = {n: silhouette_euclidean(data.withColumn("label", points.label("features", centres[n])), sample, seed + run, key) for n, (_, run) in enumerate(runs)}
+    else:
+        scores = points.silhouettes(centres)
+    rows = [(k, run, float(scores[n])) for n, (k, run) in enumerate(runs)]
     return df.sparkSession.createDataFrame(rows, "k int, run int, score double")
 
 
@@ -127,24 +102,25 @@ SILHOUETTE_BLOCK = 2_000
 def silhouette_euclidean(labelled: DataFrame, sample: int, seed: int, key: str) -> float | None:
     """Mean Euclidean silhouette of `sample` random rows among themselves; 0 takes all rows.
 
-    Rows are dealt into blocks by a hash. Every unordered pair of blocks is a group of its own, so a
+    Equal rows of a cluster are one weighted row. Rows are dealt into blocks by a hash. Every unordered pair of blocks is a group of its own, so a
     task holds two blocks and measures each distance once: it gives the sums of distances from the rows of either block
-    to the clusters of the other. The work grows with the square of the rows, which is what the measure is
+    to the clusters of the other. The work grows with the square of the distinct rows, which is what the measure is
     made of. Fewer than two clusters have no silhouette.
     """
     chosen = sample_rows(labelled.select(key, "label", vector_to_array("features").alias("v")), sample, seed, key)
-    rows = cut_lineage(chosen.select("label", "v").withColumn("row", F.monotonically_increasing_id()))
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    merged = chosen.groupBy("label", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    rows = cut_lineage(merged.withColumn("row", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("label").agg(F.sum("w").alias("n"))
     if sizes.count() < 2:
         return None
     blocks = -(-rows.count() // SILHOUETTE_BLOCK)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        packed = {"row": frame["row"].to_numpy(np.int64), "label": frame["label"].to_numpy(np.int32), "v": np.array(frame["v"].tolist())}
+        packed = {"row": frame["row"].to_numpy(np.int64), "label": frame["label"].to_numpy(np.int32), "w": frame["w"].to_numpy(float), "v": np.array(frame["v"].tolist())}
         return pd.DataFrame({"block": frame["block"].iloc[:1], "size": [len(frame)], **{n: [x.tobytes()] for n, x in packed.items()}})
 
-    packed = cut_lineage(dealt.groupBy("block").applyInPandas(pack, "block long, size int, row binary, label binary, v binary"))
+    packed = cut_lineage(dealt.groupBy("block").applyInPandas(pack, "block long, size int, row binary, label binary, w binary, v binary"))
     placed = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     pairs = placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
     measured = pairs.groupBy("low", "high").applyInPandas(_distances, "row long, label int, other int, d double")
@@ -152,27 +128,28 @@ def silhouette_euclidean(labelled: DataFrame, sample: int, seed: int, key: str)
     inside = F.max(F.when(F.col("other") == F.col("label"), F.col("d") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("inside")
     outside = F.min(F.when(F.col("other") != F.col("label"), F.col("d") / F.col("n"))).alias("outside")
     alone = F.max((F.col("other") == F.col("label")) & (F.col("n") == 1)).alias("alone")
-    scored = sums.join(sizes.withColumnRenamed("label", "other"), "other").groupBy("row").agg(inside, outside, alone)
+    scored = sums.join(sizes.withColumnRenamed("label", "other"), "other").groupBy("row").agg(inside, outside, alone).join(rows.select("row", "w"), "row")
     value = F.try_divide(F.col("outside") - F.col("inside"), F.greatest("inside", "outside"))
-    return scored.agg(F.avg(F.when(F.col("alone"), 0.0).otherwise(F.coalesce(value, F.lit(0.0))))).first()[0]
+    score = F.when(F.col("alone"), 0.0).otherwise(F.coalesce(value, F.lit(0.0)))
+    return scored.agg(F.sum(score * F.col("w")) / F.sum("w")).first()[0]
 
 
 def _distances(frame: pd.DataFrame) -> pd.DataFrame:
     """Sums of distances between the rows of two blocks, or of one block among themselves, by cluster."""
     blocks = [
-        (np.frombuffer(r.row, np.int64), np.frombuffer(r.label, np.int32), np.frombuffer(r.v).reshape(r.size, -1))
+        (np.frombuffer(r.row, np.int64), np.frombuffer(r.label, np.int32), np.frombuffer(r.v).reshape(r.size, -1), np.frombuffer(r.w))
         for r in frame.itertuples()
     ]
     # A pair one of whose blocks holds no rows has nothing to measure.
     empty = pd.DataFrame({"row": np.zeros(0, np.int64), "label": np.zeros(0, np.int32), "other": np.zeros(0, np.int32), "d": np.zeros(0)})
     if len(blocks) == 1 and frame["low"].iloc[0] != frame["high"].iloc[0]:
         return empty
-    (rows, labels, points), (their_rows, their_labels, others) = blocks[0], blocks[-1]
+    (rows, labels, points, weights), (their_rows, their_labels, others, their_weights) = blocks[0], blocks[-1]
     clusters, place = np.unique(labels, return_inverse=True)
     their_clusters, their_place = np.unique(their_labels, return_inverse=True)
     forth = np.empty((len(rows), len(their_clusters)))
     back = np.zeros((len(their_rows), len(clusters)))
-    member, their_member = np.eye(len(clusters))[place], np.eye(len(their_clusters))[their_place]
+    member, their_member = np.eye(len(clusters))[place] * weights[:, None], np.eye(len(their_clusters))[their_place] * their_weights[:, None]
     for low in range(0, len(rows), 500):
         mine = points[low : low + 500]
         squares = (mine**2).sum(axis=1)[:, None] + (others**2).sum(axis=1) - 2 * mine @ others.T
@@ -210,12 +187,13 @@ def kmeans_seed_test(
     df: DataFrame, k: int = settings.CLUSTERS, seeds: list[int] = settings.CLUSTER_SEEDS, n_runs: int = 10
 ) -> DataFrame:
     """A column `label_{seed}` per seed, each from the best of `n_runs` starts."""
-    data = df.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    points = Points(df)
+    runs = [(seed, run) for seed in seeds for run in range(n_runs)]
+    centres = points.fit([Fit(k, seed * 1000 + run) for seed, run in runs])
+    costs = {n: table[:, 2].sum() for n, table in points.measure(centres).items()}
     for seed in seeds:
-        starts = [_fit(data, k, seed * 1000 + run) for run in range(n_runs)]
-        best = min(starts, key=lambda model: model.summary.trainingCost)
-        df = best.setPredictionCol(f"label_{seed}").transform(df)
-    data.unpersist()
+        best = min((n for n, (own, _) in enumerate(runs) if own == seed), key=costs.get)
+        df = df.withColumn(f"label_{seed}", points.label("features", centres[best]))
     return df
 
 

@@ -340,3 +340,67 @@ def test_unknown_metric_and_missing_key_are_refused(spark):
 def test_labels_named_by_the_lowest_key(spark):
     df = spark.createDataFrame([(1, 5, 0), (2, 3, 0), (3, 5, 1), (4, None, 1)], "id int, a int, b int")
     assert sorted(map(tuple, L.named_by_lowest(df, ["a", "b"], "id").select("id", "a", "b").collect())) == [(1, 1, 1), (2, 2, 1), (3, 1, 3), (4, 4, 3)]
+
+
+def separated_groups(spark, copies):
+    """Six groups far apart on whole numbers, each point `copies` times."""
+    rows = [(g * 1000 + n * 10 + c, 300.0 * g + n % 13, 300.0 * (g * g % 7) + n % 11) for g in range(6) for n in range(40) for c in range(copies)]
+    return rows, L.features(spark.createDataFrame(rows, "id long, x double, y double"), ["x", "y"])
+
+
+def test_every_run_finds_separated_groups(spark):
+    rows, df = separated_groups(spark, 3)
+    at = np.array([r[1:] for r in rows])
+    group = np.array([r[0] // 1000 for r in rows])
+    squares = ((at[:, None] - at[None]) ** 2).sum(axis=2)
+    means = np.array([[squares[n, group == g].sum() / ((group == g).sum() - (g == group[n])) for g in range(6)] for n in range(len(rows))])
+    inside = means[np.arange(len(rows)), group]
+    means[np.arange(len(rows)), group] = np.inf
+    want = ((means.min(axis=1) - inside) / means.min(axis=1)).mean()
+    scores = L.silhouette_scores(df, [6], iterations=60).collect()
+    assert [r.score for r in scores] == pytest.approx([want] * 60, abs=1e-12)
+
+
+def test_fits_share_passes_over_distinct_points(spark, monkeypatch):
+    """The passes do not grow with the number of fits, nor their points with copies."""
+    passes = []
+    scan = L.Points.scan
+    monkeypatch.setattr(L.Points, "scan", lambda self, *rest: passes.append(sum(r.n for r in self.blocks.collect())) or scan(self, *rest))
+    _, df = separated_groups(spark, 5)
+    L.silhouette_scores(df, [5, 6, 7], iterations=6)
+    assert len(passes) <= 3 + 2 * 3 + 20 + 2 and set(passes) == {240}
+    passes.clear()
+    L.kmeans_seed_test(df, 6, [1, 2, 3], n_runs=4)
+    L.elbow_curve(df, [1, 2, 3, 4, 5])
+    assert len(passes) <= 2 * 32 and set(passes) == {240}
+
+
+def test_euclidean_silhouette_measures_copies_once(spark, monkeypatch):
+    rows, df = separated_groups(spark, 5)
+    labelled = df.withColumn("label", F.expr("cast(id div 1000 as int)"))
+    at, group = np.array([r[1:] for r in rows]), np.array([r[0] // 1000 for r in rows])
+    gaps = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+    means = np.array([[gaps[n, group == g].sum() / ((group == g).sum() - (g == group[n])) for g in range(6)] for n in range(len(rows))])
+    inside = means[np.arange(len(rows)), group]
+    means[np.arange(len(rows)), group] = np.inf
+    want = ((means.min(axis=1) - inside) / np.maximum(means.min(axis=1), inside)).mean()
+    # 240 distinct points are three blocks of 80, 1,200 rows would be fifteen.
+    monkeypatch.setattr(L, "SILHOUETTE_BLOCK", 80)
+    written = []
+    cut = L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    assert L.silhouette_euclidean(labelled, 0, 1, "id") == pytest.approx(want)
+    assert written[0].count() == 240
+
+
+def test_fits_over_several_blocks(spark):
+    """Blocks from which no start is drawn, among others: the centres are the means of the groups."""
+    draw = random.Random(12)
+    rows = [(k, 100.0 * (k % 4) + draw.random(), draw.random()) for k in range(6000)]
+    df = L.features(spark.createDataFrame(rows, "id long, x double, y double"), ["x", "y"])
+    points = L.Points(df)
+    assert points.blocks.count() > 3
+    found = points.fit([L.Fit(4, seed) for seed in range(8)])
+    want = sorted([np.mean([r[1] for r in rows[g::4]]), np.mean([r[2] for r in rows[g::4]])] for g in range(4))
+    for centres in found.values():
+        assert np.allclose(sorted((centres + points.middle).tolist()), want)
