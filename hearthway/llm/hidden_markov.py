@@ -7,8 +7,8 @@ were not learned. So what is broadcast has a fixed size, while the counts behind
 
 Texts are first brought into blocks of about `BLOCK_BYTES`. A block lists its distinct words once: counts are summed over these lists, and joined
 back to them, so a frequent word is one row per block and not one per place. Each round of Baum-Welch then is one scan of the coded
-texts: every task adds up the expected counts of its texts, they are summed by class and the new model has one row per class. The first rounds
-read a bounded sample, from which the states get their start; `ROUNDS` rounds read all learned texts.
+texts: every task adds up the expected counts of its texts, they are summed by class and the new model has one row per class. The states get their start
+from one reading of all learned texts in `PARTS` parts, each of which moves the model (stepwise EM); `ROUNDS` rounds of all learned texts follow.
 
 The likelihood of a text is exact: the scaled forward recursion runs over its whole sequence. Texts are cut into segments for that, whose products of transitions give
 the vector with which each segment is entered, so long texts are worked on in parallel and in bounded memory.
@@ -38,8 +38,8 @@ OWN, SHARED = 4096, 4096
 #: Class 0 is the end, then come the words with classes of their own, then the shared ones.
 CLASSES = 1 + OWN + SHARED
 STATES = 8
-#: Rounds over a sample of about SAMPLE_TEXTS learned texts, then rounds over all of them.
-SAMPLE_ROUNDS, SAMPLE_TEXTS, ROUNDS = 12, 3_000, 3
+#: Parts of the learned texts that the start is made from, how fast later parts weigh less, and rounds over all learned texts behind it.
+PARTS, FADE, ROUNDS = 8, 0.6, 3
 #: Weight of the class frequencies in the emissions of a state, and of an even spread in its transitions, in tokens.
 PRIOR_TOKENS, PRIOR_MOVES = 5.0, 0.5
 #: Tokens in a segment, and segments worked on side by side.
@@ -332,8 +332,8 @@ def sequences(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]
         yield part, np.frombuffer(b"".join(rows[part]), np.uint16), np.array([len(x) // 2 for x in rows[part]])
 
 
-def learn_round(coded: DataFrame, model: Model, totals: Totals) -> Model:
-    """One round of Baum-Welch over the coded texts: a row per class and state reaches the driver, whatever the data."""
+def expected_counts(coded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected first states, moves and emissions over the coded texts: a row per class and state reaches the driver, whatever the data."""
     states = len(model.start)
     # Rows of emissions, moves and first states in one table of fixed size.
     schema = "row int, " + ", ".join(f"s{k} double" for k in range(states))
@@ -353,7 +353,12 @@ def learn_round(coded: DataFrame, model: Model, totals: Totals) -> Model:
     for row in summed.collect():
         table[row[0]] = row[1:]
     shared.destroy()
-    return estimate(table[-1], table[CLASSES:-1], table[:CLASSES], totals)
+    return table[-1], table[CLASSES:-1], table[:CLASSES]
+
+
+def learn_round(coded: DataFrame, model: Model, totals: Totals) -> Model:
+    """One round of Baum-Welch over the coded texts."""
+    return estimate(*expected_counts(coded, model), totals)
 
 
 def fit(coded: DataFrame, totals: Totals, seed: int = 1) -> Model:
@@ -361,14 +366,21 @@ def fit(coded: DataFrame, totals: Totals, seed: int = 1) -> Model:
     model = first_model(totals, seed)
     if not totals.texts:
         return model
-    learned = coded.where("learned").select("classes")
-    share = min(1.0, SAMPLE_TEXTS / totals.texts)
-    drawn = learned.where(F.rand(seed) < share)
-    sample = cut_lineage(drawn.repartition(max(1, coded.sparkSession.sparkContext.defaultParallelism)))
-    for _ in range(SAMPLE_ROUNDS):
-        model = learn_round(sample, model, totals)
+    learned = coded.where("learned")
+    part = F.pmod(F.xxhash64("id", "n_tokens"), F.lit(PARTS))
+    running, steps = None, 0
+    for number in range(PARTS):
+        found = expected_counts(learned.where(part == number).select("classes"), model)
+        if not (held := found[2].sum()):
+            continue
+        # As many counts as all learned texts would give.
+        found = [x * (totals.tokens / held) for x in found]
+        steps += 1
+        weight = steps**-FADE
+        running = found if running is None else [(1 - weight) * x + weight * y for x, y in zip(running, found)]
+        model = estimate(*running, totals)
     for _ in range(ROUNDS):
-        model = learn_round(learned, model, totals)
+        model = learn_round(learned.select("classes"), model, totals)
     return model
 
 

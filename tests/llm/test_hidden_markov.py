@@ -156,3 +156,17 @@ def test_defined_results_without_texts(spark):
     assert all(np.isfinite(r["score"]) for r in got)
     assert hm.score_texts(df.limit(0), learn()).count() == 0
     assert hm.score_texts(df, F.lit(True)).columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+def test_every_learned_text_moves_the_start(spark, rows, monkeypatch):
+    """Without the rounds behind it, the start has read each learned text exactly once and nothing else."""
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], DOCS).repartition(3)
+    made = hm.blocks(df, learn(), "doc_id", "text")
+    classed, totals = hm.count_words(made)
+    coded = hm.code_texts(made, classed, totals)
+    read = []
+    count = hm.expected_counts
+    monkeypatch.setattr(hm, "expected_counts", lambda some, model: read.append(sorted(bytes(r[0]) for r in some.collect())) or count(some, model))
+    monkeypatch.setattr(hm, "ROUNDS", 0)
+    hm.fit(coded, totals)
+    assert sorted(sum(read, [])) == sorted(bytes(r["classes"]) for r in coded.where("learned").collect())
