@@ -221,7 +221,8 @@ def clustered(texts: DataFrame, words: int, percent: int, shingles: int = 0) ->
 
     schema = "bucket long, nodes array<long>, counts array<int>, keys array<long>, a array<long>, b array<long>"
     dealt = narrow.mapInArrow(trimmed(emit), schema).repartition("bucket").sortWithinPartitions("bucket")
-    return components(dealt.mapInArrow(trimmed(tie), "a long, b long"))
+    # Written first: a stage of two Python steps starts twice the workers, which stay in the executors' memory.
+    return components(cut_lineage(dealt.mapInArrow(trimmed(tie), "a long, b long")))
 
 
 class SignatureTree:
@@ -443,7 +444,7 @@ def _verified(texts: DataFrame, sets: DataFrame, words: int, percent: int) -> Da
     asked = minor.select("cluster", "s1", "s2", "doc_id", "label", "group", F.explode(every("blocks")).alias("block"), F.lit(True).alias("asked"))
     held = large.join(groups, "cluster").select("cluster", "s1", "s2", "doc_id", "label", F.explode(every("groups")).alias("group"), "block", F.lit(False).alias("asked"))
     second = asked.unionByName(held).withColumn("task", F.xxhash64("group", "block"))
-    return links.union(_linked(fetch_rows(texts, second, "doc_id"), words, percent))
+    return links.union(cut_lineage(_linked(fetch_rows(texts, second, "doc_id"), words, percent)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

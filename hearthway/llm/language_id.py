@@ -17,7 +17,6 @@ results. Other columns are neither read nor inputs.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthway.llm.shared import as_texts, byte_chunks, free_name, trimmed, worker_latest
+from hearthway.llm.shared import as_texts, column_chunks, free_name, trimmed, worker_release
 from hearthway.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,6 +39,8 @@ TRAIN_ROWS = 20_000
 KEPT_WORDS, KEPT_GRAMS = 100_000, 40_000
 #: Scores of words that a worker remembers, about.
 KEPT_UNSEEN = 100_000
+#: Text that is worked on at a time, about, one text at least.
+STEP_BYTES = 1 << 20
 UNKNOWN = "und"
 
 
@@ -51,19 +52,25 @@ def grams(word: str) -> Iterator[str]:
             yield marked[k : k + n]
 
 
+class Logs:
+    """Log frequencies of items per language: a row of one table each."""
+
+    def __init__(self, rows: dict[str, int], table: np.ndarray):
+        self.rows, self.table = rows, table
+
+    def __getitem__(self, item: str) -> np.ndarray:
+        return self.table[self.rows[item]]
+
+
 class Model:
     """Log frequencies per language of words and n-grams; `texts` counts all labelled texts of each language."""
 
     def __init__(self, languages: list[str], words: dict[str, list[int]], counts: dict[str, list[int]], texts: list[int]):
         self.languages = languages
         self.prior = np.log(np.asarray(texts, float) / max(1, sum(texts))) if languages else np.zeros(0)
-        self.words = self._logs(words)
+        self.words = self._logs([words])
         # Each length is a distribution of its own.
-        self.grams: dict[str, np.ndarray] = {}
-        for n in range(1, LONGEST + 1):
-            self.grams |= self._logs({g: c for g, c in counts.items() if len(g) == n})
-        self.rows = {g: k for k, g in enumerate(self.grams)}
-        self.table = np.array(list(self.grams.values()), float).reshape(len(self.rows), len(languages))
+        self.grams = self._logs([{g: c for g, c in counts.items() if len(g) == n} for n in range(1, LONGEST + 1)])
         self.forget()
 
     def forget(self) -> None:
@@ -71,12 +78,10 @@ class Model:
         self.places: dict[str, int] = {}
         self.store = np.zeros((1, len(self.languages) + 1))
 
-    @staticmethod
-    def _logs(table: dict[str, list[int]]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        counts = np.asarray(list(table.values()), float) + 0.5
-        return dict(zip(table, np.log(counts / counts.sum(axis=0))))
+    def _logs(self, kinds: list[dict[str, list[int]]]) -> Logs:
+        tables = [np.asarray(list(x.values()), float) + 0.5 for x in kinds if x]
+        items = [item for x in kinds for item in x]
+        return Logs(dict(zip(items, range(len(items)))), np.concatenate([np.zeros((0, len(self.languages))), *(np.log(x / x.sum(axis=0)) for x in tables)]))
 
     def word(self, word: str) -> np.ndarray:
         """The score of a word in each language."""
@@ -87,15 +92,16 @@ class Model:
         out = np.zeros((len(words), len(self.languages) + 1))
         rows: list[int] = []
         unseen, begins = [], []
+        row_of = self.grams.rows
+        known = [self.words.rows.get(w, -1) for w in words]
         for place, word in enumerate(words):
-            if (known := self.words.get(word)) is not None:
-                out[place, :-1], out[place, -1] = known, 1.0
+            if known[place] >= 0:
                 continue
             marked = f"_{word}_"
             length, begin, telling = len(marked), len(rows), 0
             for k in range(length - 1):
                 for size in range(min(LONGEST, length - k), 0, -1):
-                    row = self.rows.get(marked[k : k + size])
+                    row = row_of.get(marked[k : k + size])
                     if row is not None:
                         rows.append(row)
                         telling += size >= TELLING
@@ -107,7 +113,9 @@ class Model:
                 begins.append(begin)
         if unseen:
             counts = np.diff(np.append(begins, len(rows)))
-            out[unseen, :-1] = np.add.reduceat(self.table[rows], begins, axis=0) / counts[:, None]
+            out[unseen, :-1] = np.add.reduceat(self.grams.table[rows], begins, axis=0) / counts[:, None]
+        at = np.asarray(known, np.int64)
+        out[at >= 0, :-1], out[at >= 0, -1] = self.words.table[at[at >= 0]], 1.0
         return out
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -117,18 +125,19 @@ class Model:
         split = [WORD.findall(x.lower()) for x in texts]
         flat = pa.array([w for x in split for w in x], pa.string()).dictionary_encode()
         unique = flat.dictionary.to_pylist()
-        lettered = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in unique], bool)
         if len(self.places) > KEPT_UNSEEN:
             self.forget()
-        fresh = [w for w, has in zip(unique, lettered) if has and w not in self.places]
+        fresh = [w for w in unique if w not in self.places and (w.isalpha() or any(map(str.isalpha, w)))]
         if fresh:
             self.places.update(zip(fresh, range(len(self.store), len(self.store) + len(fresh))))
             self.store = np.concatenate([self.store, self.judged(fresh)])
-        table = self.store[np.fromiter((self.places.get(w, 0) for w in unique), np.int64, len(unique))]
+        rows = np.fromiter((self.places.get(w, 0) for w in unique), np.int64, len(unique))
+        lettered, table = rows > 0, self.store[rows]
         ends = np.cumsum([len(x) for x in split], dtype=np.int64)
         where = flat.indices.to_numpy(zero_copy_only=False)
         running = np.zeros((len(where) + 1, len(self.languages) + 1))
-        np.cumsum(table[where], axis=0, out=running[1:])
+        np.take(table, where, axis=0, out=running[1:], mode="clip")
+        np.cumsum(running[1:], axis=0, out=running[1:])
         letters = np.concatenate([[0], np.cumsum(lettered[where])])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         sums = running[ends] - running[starts]
@@ -158,10 +167,12 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     narrow = chosen.select(F.col("_lang").alias("lang"), F.col("_text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
         words: Counter[tuple[str, str]] = Counter()
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1))):
-                words.update((lang, w) for w in WORD.findall(text.lower()))
+            for some in column_chunks(batch.column(1), STEP_BYTES):
+                for lang, text in zip(batch.column(0)[some.start : some.stop].to_pylist(), as_texts(batch.column(1)[some.start : some.stop])):
+                    words.update((lang, w) for w in WORD.findall(text.lower()))
         chars: Counter[tuple[str, str]] = Counter()
         for (lang, word), n in words.items():
             for g in grams(word):
@@ -195,17 +206,17 @@ def predict(docs: DataFrame, model: tuple, text_col: str = "text", names: tuple[
     """All rows and columns with the predicted language and its score."""
     schema = T.StructType([*docs.schema.fields]).add(names[0], "string").add(names[1], "double")
     place = docs.columns.index(text_col)
-    # Plain tables travel, of at most KEPT_WORDS + KEPT_GRAMS entries; a worker makes its model once.
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = uuid.uuid4().hex
+    # A model travels, of at most KEPT_WORDS + KEPT_GRAMS entries, and is the only copy that a worker holds.
+    shared = docs.sparkSession.sparkContext.broadcast(Model(*model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_latest("language_model", name, lambda: Model(*shared.value))
+        worker_release()
+        own = shared.value
         for batch in batches:
-            texts = as_texts(batch.column(place))
-            for some in byte_chunks(texts, 2 << 20):
-                langs, scores = own.score(texts[some])
+            # A batch of long texts is not held a second time as strings.
+            for some in column_chunks(batch.column(place), STEP_BYTES):
                 part = batch.slice(some.start, some.stop - some.start)
+                langs, scores = own.score(as_texts(part.column(place)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(trimmed(run), schema)

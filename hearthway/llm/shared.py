@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,14 +84,23 @@ def as_texts(column: pa.Array) -> list[str]:
 
 def byte_chunks(items: list[bytes] | list[str], limit: int) -> Iterator[slice]:
     """Slices of consecutive items of about `limit` bytes or characters, one item at least."""
+    yield from _size_chunks([len(x) for x in items], limit)
+
+
+def column_chunks(column: pa.Array, limit: int) -> Iterator[slice]:
+    """Slices of consecutive rows of a text column of about `limit` bytes, one row at least; the texts themselves stay in the column."""
+    yield from _size_chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit)
+
+
+def _size_chunks(sizes: list[int], limit: int) -> Iterator[slice]:
     begin, size = 0, 0
-    for k, item in enumerate(items):
-        if size and size + len(item) > limit:
+    for k, item in enumerate(sizes):
+        if size and size + item > limit:
             yield slice(begin, k)
             begin, size = k, 0
-        size += len(item)
-    if begin < len(items):
-        yield slice(begin, len(items))
+        size += item
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -154,7 +164,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round lets each task reduce its own edges to a forest (so repeated edges vanish
     before a shuffle), then links every node to the smallest neighbour of its smallest
     neighbour. Rounds grow with the logarithm of the length of a chain. Edges are narrow,
-    written to the shared folder each round.
+    written to the shared folder each round. `edges` should be read from a written table: a stage that also makes
+    them in Python keeps twice the Python workers, and these stay.
     """
     schema = "a long, b long"
     partial = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")

@@ -1,12 +1,14 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthway.llm import jaccard
+from hearthway.llm import jaccard, shared
 from hearthway.llm.jaccard import Parts, drop_near_duplicates, link_sets, near_duplicates
 from hearthway.llm.shared import components
+from hearthway.session import cut_lineage
 
 SCHEMA = "doc_id long, text string, cluster string, component_id int"
 
@@ -156,3 +158,21 @@ def test_buckets_are_worked_on_one_by_one(spark, monkeypatch):
     want = sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str)
     monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 40)
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str) == want == brute(rows, 3, 90)
+
+
+def test_a_stage_has_one_python_step(spark, monkeypatch):
+    """Two steps in a stage would start twice the Python workers, which stay in the executors' memory for all later stages."""
+    plans = []
+    for module in (jaccard, shared):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, write=cut_lineage: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    # One large cluster in several blocks, with sets outside its main component.
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 40)
+    rng = np.random.default_rng(12)
+    body = [f"w{k}" for k in range(60)]
+    texts = [" ".join(body[:-1] + [f"x{k}"]) for k in range(8)] + [" ".join(rng.permutation(body)) for _ in range(4)]
+    rows = list(enumerate(texts))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == sorted(brute(rows, 3, 90))
+    # What is shuffled is a stage of its own.
+    steps = [sum("InArrow" in x or "InPandas" in x for x in part.split("\n")) for plan in plans for part in re.split(r".*Exchange.*", plan)]
+    assert max(steps) == 1

@@ -1,10 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hearthway.llm import language_id, quality, topk, toxicity
 from hearthway.llm.language_id import Model, identify, keep_identified
+from hearthway.llm.shared import column_chunks
 from hearthway.llm.topk import top_k
 
 SMALL = "/root/testdata/sf0.01"
@@ -215,3 +217,22 @@ def test_sparse_sites_shrink_to_their_priors(spark):
     assert {r["own_score"] for r in quality.classify(df, labels.limit(0), F.col("source"), F.col("lang")).collect()} == {0.5}
 
 
+def test_a_worker_holds_little_more_than_its_batch(spark, monkeypatch):
+    """Texts are strings a step at a time, and the model that travels is the only copy of its tables."""
+    monkeypatch.setattr(language_id, "STEP_BYTES", 100)
+    column = pa.array(["ä" * 30, None, "x" * 90, "", "y" * 500, "z"])
+    assert [(x.start, x.stop) for x in column_chunks(column, 100)] == [(0, 2), (2, 4), (4, 5), (5, 6)]
+    assert [(x.start, x.stop) for x in column_chunks(column[1:], 100)] == [(0, 3), (3, 4), (4, 5)]
+    assert list(column_chunks(column[:0], 100)) == []
+    sent = []
+    broadcast = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or broadcast(value))
+    model = (["aa", "bb"], {"one": [9, 1], "two": [1, 9]}, {"o": [3, 1]}, [1, 1])
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["one " * 100, None, "two one two " * 40, "", "12 ²", "oo one"])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    assert [got[k]["lang_pred"] for k in range(6)] == ["aa", "und", "bb", "und", "und", "aa"]
+    assert [round(got[k]["score"], 6) for k in (0, 1, 2, 3, 4)] == [1, 0, 1, 0, 0]
+    plain = Model(*model)
+    for k, text in ((0, "one " * 100), (2, "two one two " * 40), (5, "oo one")):
+        assert np.isclose(plain.score([text])[1][0], got[k]["score"], rtol=1e-12)
+    assert len(sent) == 1 and isinstance(sent[0], Model) and sent[0].words.table.shape == (2, 2)
