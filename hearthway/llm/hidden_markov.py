@@ -42,8 +42,10 @@ STATES = 8
 PARTS, FADE, ROUNDS = 8, 0.6, 3
 #: Weight of the class frequencies in the emissions of a state, and of an even spread in its transitions, in tokens.
 PRIOR_TOKENS, PRIOR_MOVES = 5.0, 0.5
-#: Tokens in a segment, and segments worked on side by side.
-SEGMENT, GROUP = 256, 1_200
+#: Tokens in a tail of a text, and segments worked on side by side; fewer texts than LONE of a batch have tails.
+SEGMENT, GROUP, LONE = 256, 1_200, 96
+#: Places from one scaling to the next.
+SCALED = 4
 #: Tokens of texts that are worked on at a time, one text at least.
 BATCH_TOKENS = 400_000
 
@@ -227,102 +229,158 @@ def first_model(totals: Totals, seed: int) -> Model:
 
 
 class Segments:
-    """Sequences of classes cut into segments, with the vectors of states at their borders."""
+    """Sequences of classes cut into segments: a head as long as many sequences are, side by side, and tails of `SEGMENT`.
+
+    A vector has a row per state and a column per segment. The sum of a vector is taken out every `SCALED` places.
+    """
 
     def __init__(self, model: Model, classes: np.ndarray, sizes: np.ndarray):
         self.model, self.classes = model, classes
-        per = -(-sizes // SEGMENT)
-        first = np.cumsum(per) - per
+        self.states = len(model.start)
+        self.emit, self.onward = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+        # Fewer than LONE sequences reach behind the head, so their heads are in the first group.
+        head = max(SEGMENT, int(np.partition(sizes, -LONE)[-LONE])) if len(sizes) >= LONE else SEGMENT
+        per = 1 + -(-np.maximum(sizes - head, 0) // SEGMENT)
+        self.first, self.per = np.cumsum(per) - per, per
         self.text = np.repeat(np.arange(len(sizes)), per)
-        number = np.arange(len(self.text)) - first[self.text]
+        number = np.arange(len(self.text)) - self.first[self.text]
         self.head = number == 0
-        self.begin = (np.cumsum(sizes) - sizes)[self.text] + number * SEGMENT
-        self.length = np.minimum(SEGMENT, sizes[self.text] - number * SEGMENT)
-        states = len(model.start)
-        self.enter, self.leave = np.tile(model.start, (len(self.text), 1)), np.ones((len(self.text), states))
-        long = np.flatnonzero(per[self.text] > 1)
-        if len(long):
-            products = np.zeros((len(self.text), states, states))
-            for group in self.groups(long):
-                products[group] = self.product(group)
-            for k in range(1, int(per.max())):
-                at = first[per > k] + k
-                self.enter[at] = unit(np.einsum("ni,nij->nj", self.enter[at - 1], products[at - 1]))
-            for k in range(int(per.max()) - 1, 0, -1):
-                at = first[per > k] + k
-                self.leave[at - 1] = unit(np.einsum("nij,nj->ni", products[at], self.leave[at]))
-
-    def groups(self, some: np.ndarray) -> Iterator[np.ndarray]:
+        offset = np.where(self.head, 0, head + (number - 1) * SEGMENT)
+        self.begin = (np.cumsum(sizes) - sizes)[self.text] + offset
+        self.length = np.minimum(np.where(self.head, head, SEGMENT), sizes[self.text] - offset)
+        self.enter, self.leave = np.tile(model.start[:, None], len(self.text)), np.ones((self.states, len(self.text)))
+
+    def groups(self, some: np.ndarray, most: int) -> Iterator[np.ndarray]:
         """Segments in groups, longest first."""
         some = some[np.argsort(-self.length[some], kind="stable")]
-        for k in range(0, len(some), GROUP):
-            yield some[k : k + GROUP]
+        for k in range(0, len(some), most):
+            yield some[k : k + most]
+
+    def heads(self) -> Iterator[np.ndarray]:
+        return self.groups(np.flatnonzero(self.head), max(GROUP, LONE))
 
-    def steps(self, group: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(place, segments that reach it, their classes there)."""
+    def tails(self) -> Iterator[np.ndarray]:
+        return self.groups(np.flatnonzero(~self.head), GROUP)
+
+    def steps(self, group: np.ndarray) -> tuple[list[slice], np.ndarray]:
+        """For each place the tokens of the segments that reach it, which are the first ones of the group, and the classes of all tokens."""
         lengths = self.length[group]
-        for t in range(int(lengths[0])):
-            n = int(np.searchsorted(-lengths, -t, "left"))
-            yield t, n, self.classes[self.begin[group[:n]] + t]
+        reach = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+        ends = np.cumsum(reach)
+        place = np.repeat(np.arange(len(reach)), reach)
+        column = np.arange(ends[-1]) - (ends - reach)[place]
+        return [slice(e - n, e) for e, n in zip(ends.tolist(), reach.tolist())], self.classes[self.begin[group][column] + place].astype(np.int64)
+
+    def cross(self, group: np.ndarray, last: np.ndarray, back: bool) -> None:
+        """Vectors at the borders of all tails and, if asked, behind the heads, from the products of moves and emissions over each tail.
+
+        `last` has the vectors at the ends of the heads in `group`.
+        """
+        if self.head.all():
+            return
+        products = np.zeros((self.states, self.states, len(self.text)))
+        for some in self.tails():
+            products[:, :, some] = self.product(some)
+        long = self.per[self.text[group]] > 1
+        self.enter[:, group[long] + 1] = last[:, long] / last[:, long].sum(axis=0)
+        for k in range(2, int(self.per.max())):
+            at = self.first[self.per > k] + k
+            vector = np.einsum("in,ijn->jn", self.enter[:, at - 1], products[:, :, at - 1])
+            self.enter[:, at] = vector / vector.sum(axis=0)
+        for k in range(int(self.per.max()) - 1, 0, -1) if back else ():
+            at = self.first[self.per > k] + k
+            vector = np.einsum("ijn,jn->in", products[:, :, at], self.leave[:, at])
+            self.leave[:, at - 1] = vector / vector.sum(axis=0)
 
     def product(self, group: np.ndarray) -> np.ndarray:
-        """The product of moves and emissions over each segment, up to a factor."""
-        move, states = self.model.move, len(self.model.start)
-        out = np.where(self.head[group][:, None, None], np.eye(states), move)
-        for t, n, classes in self.steps(group):
+        """The product of moves and emissions over each tail, up to a factor."""
+        steps, classes = self.steps(group)
+        out = np.tile(self.onward.T[:, :, None], len(group))
+        for t, at in enumerate(steps):
+            n = at.stop - at.start
+            now = self.onward @ out[:, :, :n] if t else out
+            now *= self.emit[:, classes[at]]
+            if t % SCALED == SCALED - 1:
+                now /= now.sum(axis=(0, 1))
+            out[:, :, :n] = now
+        return out / out.sum(axis=(0, 1))
+
+    def forward(self, group: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+        """The log of the likelihood that each segment adds, the vectors at its end and, if kept, steps, classes, emissions, vectors and scales at each place."""
+        steps, classes = self.steps(group)
+        logs, last = np.zeros(len(group)), np.empty((self.states, len(group)))
+        emissions = self.emit[:, classes] if keep else None
+        vectors = np.empty_like(emissions) if keep else None
+        scales: list[np.ndarray | None] = []
+        now = np.where(self.head[group], self.enter[:, group], self.onward @ self.enter[:, group])
+        for t, at in enumerate(steps):
+            n = at.stop - at.start
             if t:
-                out[:n] = (out[:n].reshape(-1, states) @ move).reshape(n, states, states)
-            out[:n] *= self.model.emit[classes][:, None, :]
-            if t % 4 == 3:
-                out[:n] /= out[:n].sum(axis=(1, 2), keepdims=True)
-        return out / out.sum(axis=(1, 2), keepdims=True)
-
-    def forward(self, group: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """The log of the likelihood that each segment adds and, if kept, the scaled vectors at each place."""
-        logs = np.zeros(len(group))
-        vectors = np.zeros((int(self.length[group[0]]), len(group), len(self.model.start))) if keep else None
-        now = np.where(self.head[group][:, None], self.enter[group], self.enter[group] @ self.model.move)
-        for t, n, classes in self.steps(group):
-            now = (now[:n] @ self.model.move if t else now) * self.model.emit[classes]
-            scale = now.sum(axis=1)
-            now /= scale[:, None]
-            logs[:n] += np.log(scale)
+                last[:, n : now.shape[1]] = now[:, n:]
+                now = self.onward @ now[:, :n]
+            now *= emissions[:, at] if keep else self.emit[:, classes[at]]
+            scale = None
+            if t % SCALED == SCALED - 1:
+                scale = now.sum(axis=0)
+                now /= scale
+                logs[:n] += np.log(scale)
             if keep:
-                vectors[t, :n] = now
-        return logs, vectors
+                vectors[:, at] = now
+                scales.append(scale)
+        last[:, : now.shape[1]] = now
+        return logs + np.log(last.sum(axis=0)), last, (steps, classes, emissions, vectors, scales) if keep else None
 
     def log_likelihood(self, texts: int) -> np.ndarray:
         out = np.zeros(texts)
-        for group in self.groups(np.arange(len(self.text))):
-            logs, _ = self.forward(group, False)
+        for number, group in enumerate(self.heads()):
+            logs, last, _ = self.forward(group, False)
             out += np.bincount(self.text[group], weights=logs, minlength=texts)
+            if not number:
+                self.cross(group, last, False)
+        for group in self.tails():
+            out += np.bincount(self.text[group], weights=self.forward(group, False)[0], minlength=texts)
         return out
 
     def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of first states, moves and emissions."""
-        model, states = self.model, len(self.model.start)
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(model.emit), states))
-        for group in self.groups(np.arange(len(self.text))):
-            _, vectors = self.forward(group, True)
-            seen = np.zeros(vectors.shape[:2], np.int64)
-            later, inner = self.leave[group], ~self.head[group]
-            for t, n, classes in reversed(list(self.steps(group))):
-                seen[t, :n] = classes
-                weight = model.emit[classes] * later[:n]
-                chance = unit(vectors[t, :n] * later[:n])
-                before = vectors[t - 1, :n] if t else self.enter[group]
-                share = before / ((before @ model.move) * weight).sum(axis=1, keepdims=True)
-                if t:
-                    move += share.T @ weight
-                    later[:n] = unit(weight @ model.move.T)
-                else:
-                    move += share[inner].T @ weight[inner]
-                    start += chance[~inner].sum(axis=0)
-                vectors[t, :n] = chance
-            flat = seen.ravel()
-            for s in range(states):
-                emit[:, s] += np.bincount(flat, weights=vectors[:, :, s].ravel(), minlength=len(emit))
-        return start, move * model.move, emit
+        sums = np.zeros(self.states), np.zeros((self.states, self.states)), np.zeros_like(self.emit)
+        for number, group in enumerate(self.heads()):
+            _, last, kept = self.forward(group, True)
+            if not number:
+                self.cross(group, last, True)
+            self.backward(group, last, kept, *sums)
+        for group in self.tails():
+            _, last, kept = self.forward(group, True)
+            self.backward(group, last, kept, *sums)
+        start, move, emit = sums
+        return start, move * self.model.move, emit.T
+
+    def backward(self, group: np.ndarray, last: np.ndarray, kept: tuple, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+        """Add the expected counts of a group whose forward vectors are given; moves up to their chances.
+
+        Both directions share the scales, so that the product of their vectors adds up to 1 at every place.
+        """
+        steps, classes, emissions, vectors, scales = kept
+        later = self.leave[:, group]
+        later = later / (last * later).sum(axis=0)
+        inner = ~self.head[group]
+        for t in range(len(steps) - 1, -1, -1):
+            at = steps[t]
+            n = at.stop - at.start
+            weight, chance = emissions[:, at], vectors[:, at]
+            weight *= later[:, :n]
+            if scales[t] is not None:
+                weight /= scales[t]
+            chance *= later[:, :n]
+            if t:
+                before = steps[t - 1].start
+                move += vectors[:, before : before + n] @ weight.T
+                later[:, :n] = self.model.move @ weight
+            else:
+                move += self.enter[:, group[inner]] @ weight[:, inner].T
+                start += chance[:, ~inner].sum(axis=1)
+        for s in range(self.states):
+            emit[s] += np.bincount(classes, weights=vectors[s], minlength=emit.shape[1])
 
 
 def sequences(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:

@@ -79,6 +79,34 @@ def test_segments_give_what_whole_sequences_give(monkeypatch, segment, group):
         assert np.allclose(got, sum(x[k] for x in one), rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("lone,group", [(1, 1), (2, 3), (4, 2), (7, 50)])
+def test_heads_and_tails_give_what_whole_sequences_give(monkeypatch, lone, group):
+    monkeypatch.setattr(hm, "SEGMENT", 3)
+    monkeypatch.setattr(hm, "GROUP", group)
+    monkeypatch.setattr(hm, "LONE", lone)
+    model = some_model(6, 3, 6)
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 6, n).tolist() for n in (1, 30, 5, 17, 30, 1, 41, 17)]
+    made = hm.Segments(model, np.concatenate(texts), np.array([len(x) for x in texts]))
+    one = [plain_pass(model, x) for x in texts]
+    assert np.allclose(made.log_likelihood(len(texts)), [x[0] for x in one], rtol=1e-12)
+    for got, k in zip(made.expected(), (1, 2, 3)):
+        assert np.allclose(got, sum(x[k] for x in one), rtol=1e-9, atol=1e-12)
+
+
+def test_long_texts_side_by_side_need_no_products(monkeypatch):
+    """A product of moves costs as much as a vector per state; only the few texts that are longer than the others pay it."""
+    tokens = []
+    product = hm.Segments.product
+    monkeypatch.setattr(hm.Segments, "product", lambda self, group: tokens.append(int(self.length[group].sum())) or product(self, group))
+    model, rng = some_model(6, 3, 8), np.random.default_rng(9)
+    sizes = np.array([1000] * 200 + [3000])
+    made = hm.Segments(model, rng.integers(0, 6, sizes.sum()), sizes)
+    made.log_likelihood(len(sizes))
+    made.expected()
+    assert sum(tokens) == 2 * 2000
+
+
 def test_long_sequences_do_not_underflow():
     model = some_model(6, 3, 3)
     tiny = hm.Model(model.start, model.move, model.emit * 1e-25)
