@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthway.llm.shared import as_bytes, byte_chunks, components, fetch_rows, forest, free_name, mix64, trimmed, worker_release
-from hearthway.session import cut_lineage
+from hearthway.session import cut_lineage, free_shuffles
 
 #: Sizes of a class of sets differ by this factor at most.
 CLASS_RATIO = 1.25
@@ -420,6 +420,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _verified(texts: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     clusters = cut_lineage(clustered(texts, words, percent, shingles))
+    # Keys and texts are the large shuffles; each goes before the next is made.
+    free_shuffles(texts.sparkSession)
     members = sets.drop("first").join(clusters.select(F.col("node").alias("s1"), F.col("root").alias("cluster")), "s1")
     members = cut_lineage(members)
     size = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where("sets > 1")
@@ -431,7 +433,9 @@ def _verified(texts: DataFrame, sets: DataFrame, words: int, percent: int) -> Da
     links = cut_lineage(_linked(fetch_rows(texts, first, "doc_id"), words, percent))
 
     large = placed.where("blocks > 1").select("cluster", "block", "blocks", "s1", "s2", "doc_id", "n")
-    if large.isEmpty():
+    alone = large.isEmpty()
+    free_shuffles(texts.sparkSession)
+    if alone:
         return links
     # Sets outside the largest component of a large cluster still have to meet all of its blocks.
     roots = components(links).withColumnRenamed("node", "s1")

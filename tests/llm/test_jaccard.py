@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from hearthway.llm import jaccard, shared
 from hearthway.llm.jaccard import Parts, drop_near_duplicates, link_sets, near_duplicates
 from hearthway.llm.shared import components
-from hearthway.session import cut_lineage
+from hearthway.session import cut_lineage, free_shuffles
 
 SCHEMA = "doc_id long, text string, cluster string, component_id int"
 
@@ -176,3 +177,24 @@ def test_a_stage_has_one_python_step(spark, monkeypatch):
     # What is shuffled is a stage of its own.
     steps = [sum("InArrow" in x or "InPandas" in x for x in part.split("\n")) for plan in plans for part in re.split(r".*Exchange.*", plan)]
     assert max(steps) == 1
+
+
+def test_shuffles_of_written_steps_are_freed(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size())}
+
+    def step():
+        before = files()
+        cut_lineage(spark.range(1000).repartition(2, "id"))
+        return {x for x in files() - before if x.startswith("shuffle_")}
+
+    first = step()
+    step()
+    free_shuffles(spark)
+    until = time.time() + 30
+    while first & files() and time.time() < until:
+        time.sleep(0.1)
+    assert first and not first & files()
