@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthway.llm.shared import as_bytes, byte_chunks, components, fetch_rows, forest, free_name, mix64, trimmed, worker_release
@@ -225,6 +225,83 @@ def clustered(texts: DataFrame, words: int, percent: int, shingles: int = 0) ->
     return components(cut_lineage(dealt.mapInArrow(trimmed(tie), "a long, b long")))
 
 
+def rare_clusters(texts: DataFrame, members: DataFrame, words: int, percent: int, shingles: int) -> DataFrame:
+    """(node, root) of the `members` that share one of their rarest shingles with another of their cluster, directly or over others.
+
+    Two linked sets share a shingle among the first n - ceil(percent * n / 100) + 1 of each, n being its own size and the
+    order that of the number of sets that hold a shingle. Sets that have so many shingles to themselves link with
+    nobody; common passages come last and tie nothing together. `members` has s1, n and cluster. Shingles go to buckets, as keys do in `clustered`.
+    """
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_SHINGLES))
+    narrow = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("text")
+    names = ["bucket", "nodes", "counts", "keys"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
+        for batch in batches:
+            bodies = as_bytes(batch.column(0))
+            for some in byte_chunks(bodies, 1 << 20):
+                sets = shingle_sets(bodies[some], words)
+                held = {int(n): x for n, x in zip(digests(sets)[0], sets) if len(x)}
+                yield packed(held)
+
+    def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        key = np.concatenate([np.zeros(0, np.uint64), *held.values()])
+        node = np.repeat(np.fromiter(held, np.int64, len(held)), [len(x) for x in held.values()])
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((node, bucket))
+        key, node, bucket = key[order].view(np.int64), node[order], bucket[order]
+        rows: list[list] = [[] for _ in names]
+        for at in np.split(np.arange(len(key)), np.flatnonzero(np.diff(bucket)) + 1):
+            if len(at):
+                nodes, counts = np.unique(node[at], return_counts=True)
+                for column, value in zip(rows, (int(bucket[at[0]]), nodes, counts, key[at])):
+                    column.append(value)
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, current = [], [], None
+        for batch in batches:
+            of = batch.column("bucket").to_numpy()
+            for low, high in zip(starts := np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)]), [*starts[1:], len(of)]):
+                if of[low] != current:
+                    yield from held_by(keys, nodes)
+                    keys, nodes, current = [], [], of[low]
+                flat = {n: batch.column(n).slice(low, high - low).flatten().to_numpy() for n in names[1:]}
+                keys.append(flat["keys"].copy())
+                nodes.append(np.repeat(flat["nodes"], flat["counts"]))
+        yield from held_by(keys, nodes)
+
+    def held_by(keys: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The shingles of a bucket that several sets hold, a row per set."""
+        key, node = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *nodes])
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        # Copies of a text are one set.
+        other = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+        key, node = key[other], node[other]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        sizes = np.diff(np.append(heads, len(key)))
+        holders = np.repeat(sizes, sizes)
+        several = holders > 1
+        key, node, holders = key[several], node[several], holders[several]
+        for low in range(0, len(key), 100_000):
+            part = slice(low, low + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(key[part]), pa.array(holders[part], pa.int64())], names=["s1", "key", "holders"])
+
+    schema = "bucket long, nodes array<long>, counts array<int>, keys array<long>"
+    dealt = narrow.mapInArrow(trimmed(emit), schema).repartition("bucket").sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(trimmed(count), "s1 long, key long, holders long").join(members.select("s1", "n", "cluster"), "s1")
+    own = Window.partitionBy("s1")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    # Shingles that no other set holds come before all others.
+    placed = shared.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "key")))
+    rare = cut_lineage(placed.where(F.col("place") <= first).select("cluster", "key", "s1"))
+    least = rare.groupBy("cluster", "key").agg(F.min("s1").alias("a"))
+    return components(cut_lineage(rare.join(least, ["cluster", "key"]).select("a", F.col("s1").alias("b")).where("a <> b")))
+
+
 class SignatureTree:
     """Levels of nodes over sets: OR of bitmaps, range of sizes, most colliding tokens."""
 
@@ -424,6 +501,13 @@ def _verified(texts: DataFrame, sets: DataFrame, words: int, percent: int) -> Da
     free_shuffles(texts.sparkSession)
     members = sets.drop("first").join(clusters.select(F.col("node").alias("s1"), F.col("root").alias("cluster")), "s1")
     members = cut_lineage(members)
+    crowded = members.groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("cluster")
+    if not crowded.isEmpty():
+        # Chance ties of common passages make few large clusters; comparing all their blocks would send each text to every block.
+        crowd = cut_lineage(members.join(crowded, "cluster", "left_semi"))
+        closer = rare_clusters(texts, crowd, words, percent, shingles).select(F.col("node").alias("s1"), F.col("root").alias("cluster"))
+        members = cut_lineage(members.join(crowded, "cluster", "left_anti").unionByName(crowd.drop("cluster").join(closer, "s1")))
+        free_shuffles(texts.sparkSession)
     size = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where("sets > 1")
     blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long")
     placed = members.join(size, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod("s1", "blocks"))

@@ -198,3 +198,17 @@ def test_shuffles_of_written_steps_are_freed(spark):
     while first & files() and time.time() < until:
         time.sleep(0.1)
     assert first and not first & files()
+
+
+def test_texts_of_a_crowd_without_links_are_not_sent_to_every_block(spark, monkeypatch):
+    """Texts tied by common words alone, each with words of its own: before, every block of them met every other one."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
+    rng = np.random.default_rng(5)
+    bodies = [[f"c{x}" for x in rng.choice(60, 30, replace=False)] + [f"own{k}x{j}" for j in range(20)] for k in range(80)]
+    bodies += [[*body[:-1], f"changed{k}"] for k, body in enumerate(bodies[:6])]
+    rows = [(k, " ".join(x)) for k, x in enumerate(bodies)]
+    sent = []
+    monkeypatch.setattr(jaccard, "_linked", lambda rows, *a, f=jaccard._linked: sent.append(rows.count()) or f(rows, *a))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=1, percent=80)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == sorted(brute(rows, 1, 80))
+    assert 12 <= sum(sent) <= len(rows)
