@@ -1,9 +1,12 @@
 """Hand-made rows for missing values, ties and limits."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from hearthway.functions.scalar import local_time_text, nan_to_null, transfers_of
+from hearthway.functions.scalar import local_time_text, nan_to_null, rounded, transfers_of
 from hearthway.operators.correlation import correlation_matrix
 from hearthway.operators import aggregates as A
 from hearthway.operators import classify as K
@@ -219,3 +222,16 @@ def test_neighbours_are_told_apart(spark, tmp_path):
     weighted = A.weighted_time(read.withColumn("total_time_min", read.duration_min), ["school"], {"school": 2.0, "school2": 1.0}, neighbor=2)
     assert {r.school_2_travel_time for r in weighted.collect()} == {20.0, 21.0, 22.0}
     assert {r.total_duration for r in A.total_times(read).collect()} == {20.0, 22.0, 24.0}
+
+
+@pytest.mark.parametrize("digits", [0, 2, 6, 9])
+def test_rounded_equals_round(spark, digits):
+    draw = random.Random(digits)
+    values = [draw.uniform(-1, 1) * 10 ** draw.uniform(-12, 18) for _ in range(3000)]
+    ties = [(n + 0.5) / 10**digits for n in range(-400, 400)]
+    near = [math.nextafter(t, way) for t in ties for way in (-math.inf, math.inf)]
+    odd = [None, 0.0, -0.0, -1e-12, 1e308, -1e308, 5e-324, math.inf, -math.inf, math.nan, 2.0**40, 2.0**52 + 0.5]
+    table = spark.createDataFrame([(v,) for v in values + ties + near + odd], "v double")
+    found = table.select("v", F.round("v", digits).alias("a"), rounded(F.col("v"), digits).alias("b"))
+    assert found.filter(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
+    assert found.filter("b = 0").filter(F.hex(F.col("b").cast("string")) != F.hex(F.lit("0.0"))).count() == 0

@@ -385,6 +385,24 @@ def test_distance_band_tasks_follow_the_pairs(spark, monkeypatch):
     assert edges.rdd.getNumPartitions() > 8
 
 
+def test_distance_band_blocks_meet_once_with_copies_and_odd_points(spark, monkeypatch):
+    """Blocks that meet once give each pair of rows in both directions: repeated rows, keys and places, missing keys, points without a place."""
+    draw = random.Random(6)
+    points = [(k, draw.uniform(-25, 25), draw.uniform(-25, 25)) for k in range(150)] + [(k % 3, 4.0, 4.0) for k in range(40)]
+    points += [(200, 0.0, 0.0), (201, 10.0, 0.0), (202, -1e-20, 0.0), (203, 10.0, 10.0), (None, 1.0, 1.0), (205, None, 1.0)]
+    points += [(206, float("nan"), 1.0), (207, float("inf"), 1.0), (208, 1.0, -float("inf")), (209, float("inf"), 1.0)]
+    monkeypatch.setattr(N, "BAND_POINTS", 8)
+    monkeypatch.setattr(N, "BAND_SLICE", 3)
+    edges = N.distance_band_weights(spark.createDataFrame(points, POINT), 10.0, "source_id")
+    rows = [p for p in points if None not in p and all(map(math.isfinite, p))]
+    far = [(i, j, math.sqrt((a - c) * (a - c) + (b - d) * (b - d))) for i, a, b in rows for j, c, d in rows if i != j]
+    expected = sorted((i, j, d, 1 / d if d else 0.0) for i, j, d in far if d <= 10)
+    assert sorted((r.i, r.j, r.distance, r.w or 0.0) for r in edges.collect()) == expected
+    # Points meet as arrays: no join hands on single pairs.
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Generate inline(") == 3
+    assert N.distance_band_weights(spark.createDataFrame([], POINT), 10.0, "source_id").count() == 0
+
+
 def test_isolated_points_form_no_pairs(spark, monkeypatch):
     draw = random.Random(5)
     points = [(k, draw.uniform(0, 200), draw.uniform(0, 200)) for k in range(150)]
